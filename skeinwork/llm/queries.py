@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality_rules
+from . import exact_dedup, html_extract, line_templates, mixing, packing, quality_rules, warc
 from .common import table
 from .ngram_join import NgramJaccardJoin
 
@@ -13,6 +13,10 @@ from .ngram_join import NgramJaccardJoin
 TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -34,6 +38,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -67,5 +79,28 @@ FROM sets s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_
 """
 
 
+SQL["op9_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line_no, list_transform(list_filter(regexp_split_to_array(parts[i], '[\x20\x09-\x0D]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS toks
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
+), leaves AS (
+  SELECT *, concat(len(toks), ' ', toks[1], ' ', toks[2], ' ', toks[3]) AS leaf, array_to_string(toks, ' ') AS variant FROM lines WHERE len(toks) >= 4
+), tokens AS (SELECT leaf, variant, first(toks) AS toks, count(*) AS w, min(doc_id) AS a, max(doc_id) AS b FROM leaves GROUP BY leaf, variant
+), forks AS (SELECT leaf FROM tokens GROUP BY leaf HAVING count(*) > 1 AND min(a) <> max(b)
+), spread AS (SELECT leaf, pos, toks[pos] AS tok, sum(w) AS w FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS pos FROM tokens WHERE leaf IN (FROM forks)) GROUP BY ALL
+), modal AS (SELECT leaf, pos, tok FROM spread QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY w DESC, tok DESC) = 1
+), base AS (SELECT leaf, list(tok ORDER BY pos) AS base FROM modal GROUP BY leaf
+), named AS (
+  SELECT t.leaf, t.variant, CASE WHEN b.base IS NOT NULL AND len(list_filter(range(1, len(t.toks) + 1), lambda i: t.toks[i] = b.base[i])) >= ceil(len(t.toks) * 0.7 - 1e-9) THEN 'leaf' ELSE 'own ' || t.variant END AS template
+  FROM tokens t LEFT JOIN base b ON b.leaf = t.leaf
+), ranked AS (
+  SELECT doc_id, line_no, row_number() OVER (PARTITION BY l.leaf, template ORDER BY doc_id, line_no) > 1 AND min(doc_id) OVER w <> max(doc_id) OVER w AS gone
+  FROM leaves l JOIN named n ON n.leaf = l.leaf AND n.variant = l.variant WINDOW w AS (PARTITION BY l.leaf, template)
+), parts AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents)
+SELECT p.doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY p.line_no) FILTER (NOT coalesce(gone, false)), '') AS text
+FROM parts p LEFT JOIN ranked r ON r.doc_id = p.doc_id AND r.line_no = p.line_no GROUP BY p.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
