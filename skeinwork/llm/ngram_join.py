@@ -3,15 +3,17 @@
 Set-relation skipping, in two forms. Index level: a document is indexed under the window of its
 least shingle hashes, lists keep each entry's position, and whole blocks of a list whose sizes or
 positions can't reach the threshold are skipped. Answer level: sets that are equal share one entry;
-the members of a list are first checked against one leader of the list only, and whoever is as
+the members of a long list are first checked against a leader of the list only, and whoever is as
 similar as that shares the leader's answers, so a list is searched again only across the classes
 that are still apart.
 
-Why no link is lost. Let p(n) = n - ceil(t n) + 1 and let a window hold the 2 p(n) least hashes.
-Two linked sets share at least min(p(x), p(y)) + 1 hashes of their windows. Either one of these is
-in a list of at most ``long_list`` entries, and all of those lists are searched whole; or all are in
-long lists, and then each of the two has more than q(n) = p(ceil(t n)) such hashes, of which it
-indexes all but the last q(n), so that they still meet in one.
+Why no link is lost. Let p(n) = n - ceil(t n) + 1, a window hold the w(n) = min(n, 2 p(n)) least
+hashes, and need(n) = w(n) - p(n) + 1. Two linked sets share at least min(need(x), need(y)) hashes of
+their windows. Short lists (at most ``long_list`` entries) are paired whole, and a pair's shared short
+lists are counted; a pair passes if its count and the long lists that both are in can make up the
+need. A pair that shares no short list must share that many long ones, so both documents belong to
+the few that are in need(ceil(t n)) long lists. These are indexed a second time by the classic prefix
+filter over whole sets, rarest shingle first, whose lists are only long where documents are alike.
 
 Defined results: without words or text a document has no shingles, links with nothing and is its
 own component; so is one with a null doc_id (its component_id is null); rows that share a doc_id
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, fresh, materialise, whole_text
@@ -36,7 +38,11 @@ CACHE_WORDS = 400_000
 #: Ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 500_000
 #: Rows of one leader in one task.
-SALT_ROWS = 400
+SALT_ROWS = 100
+#: Turns of leaders before classes that are still apart are searched in blocks.
+TURNS = 2
+#: Hashes in a block (8 bytes each), and columns of a step of a block's product.
+BLOCK_HASHES, CHUNK = 400_000, 2048
 
 
 class WordHashes(dict):
@@ -96,7 +102,7 @@ class NgramJaccardJoin:
     num: int = 85
     den: int = 100
     #: Entries up to which a list counts as short.
-    long_list: int = 16
+    long_list: int = 6
 
     def least(self, n: int) -> int:
         """ceil(t n): the least intersection a set of n elements needs."""
@@ -142,44 +148,140 @@ class NgramJaccardJoin:
 
     # -- candidates ---------------------------------------------------------------------------
 
-    def postings(self, sets: DataFrame) -> DataFrame:
-        """(tok, id, n, pos, long) of the index entries that can meet another one."""
-        t, q = F.col("n"), F.col("n")
-        least = lambda n: F.ceil(F.lit(self.num) * n / F.lit(float(self.den)) - 1e-9).cast("int")
-        entry = sets.select(F.col("doc_id").alias("id"), "n", F.posexplode("win").alias("pos", "tok"))
-        counted = entry.withColumn("m", F.count("*").over(_window("tok"))).where("m >= 2").withColumn("long", F.col("m") > self.long_list)
-        shared = materialise(counted.drop("m"), "shared")
-        small = least(t)
-        q = small - least(small) + 1
-        per_doc = _window("id")
-        heavy = shared.where("long").withColumns({"all_long": F.count("*").over(per_doc), "nth": F.row_number().over(per_doc.orderBy("pos", "tok"))})
-        # two whole windows may be shorter than twice p; whatever is in a window that holds its whole set counts
-        need = F.when(F.col("n") <= 2 * (F.col("n") - least(F.col("n")) + 1), 0).otherwise(q)
-        heavy = heavy.where((F.col("all_long") > need) & (F.col("nth") <= F.col("all_long") - need)).select(*shared.columns)
-        return shared.where("not long").unionByName(heavy)
-
-    def stars(self, postings: DataFrame) -> DataFrame:
-        """(a, b): each entry of a list with the list's leader; long lists have one of four leaders."""
-        which = F.when(F.col("long"), F.xxhash64("id", F.pmod("tok", F.lit(4)))).otherwise(F.col("id"))
-        leaders = materialise(postings.groupBy("tok").agg(F.min(F.struct(which.alias("w"), F.col("id").alias("b"), F.col("n").alias("nb"))).alias("l")), "leaders")
-        leaders = leaders.select(F.col("tok").alias("t"), "l.b", "l.nb")
-        met = postings.join(leaders, F.col("tok") == F.col("t")).where(F.col("id") != F.col("b")).where(self._sizes(F.col("n"), F.col("nb")))
-        return met.select(F.col("id").alias("a"), "b").distinct()
-
-    def _sizes(self, x, y):
+    def _least(self, n: Column) -> Column:
+        return F.floor((F.lit(self.num).cast("bigint") * n + self.den - 1) / self.den).cast("int")
+
+    def _need(self, n: Column) -> Column:
+        p = n - self._least(n) + 1
+        return F.least(n, 2 * p) - p + 1
+
+    def _sizes(self, x: Column, y: Column) -> Column:
         return F.least(x, y) * self.den >= F.greatest(x, y) * self.num
 
-    def across(self, postings: DataFrame, labels: DataFrame) -> DataFrame:
-        """(a, b): entries of one list whose classes are still apart, by blocks of size and position."""
-        named = postings.join(labels.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left")
-        named = materialise(named.select("tok", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "named")
-        apart = materialise(named.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("tok").alias("t")), "apart")
-        live = materialise(named.join(apart, F.col("tok") == F.col("t"), "left_semi"), "live")
-        x, y = live.select([F.col(c).alias("x" + c) for c in live.columns]), live.select([F.col(c).alias("y" + c) for c in live.columns])
-        reach = F.least("xpos", "ypos") + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
-        enough = reach * (self.den + self.num) >= self.num * (F.col("xn") + F.col("yn"))
-        met = x.join(y, (F.col("xtok") == F.col("ytok")) & (F.col("xid") > F.col("yid")) & (F.col("xc") != F.col("yc")) & self._sizes(F.col("xn"), F.col("yn")) & enough)
-        return met.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
+    def _reach(self, x: str, y: str) -> Column:
+        """Sizes and positions of the two entries leave room for a link."""
+        xn, yn, xp, yp = F.col(x + "n"), F.col(y + "n"), F.col(x + "pos"), F.col(y + "pos")
+        most = F.least(xp, yp) + F.least(xn - xp, yn - yp)
+        return self._sizes(xn, yn) & (most * (self.den + self.num) >= self.num * (xn + yn))
+
+    def window_entries(self, sets: DataFrame) -> DataFrame:
+        """(tok, id, n, pos, long) of the window entries that share their list."""
+        entry = sets.select(F.col("doc_id").alias("id"), "n", F.posexplode("win").alias("pos", "tok"))
+        counted = entry.withColumn("m", F.count("*").over(Window.partitionBy("tok"))).where("m >= 2")
+        return counted.select("tok", "id", "n", "pos", (F.col("m") > self.long_list).alias("long"))
+
+    def short_pairs(self, entries: DataFrame, in_long: DataFrame) -> DataFrame:
+        """(a, b): pairs of short lists that share enough of them. in_long: (d, h), long lists a document is in."""
+        # a short list has at most long_list entries, so it fits one row
+        lists = entries.where("not long").groupBy("tok").agg(F.collect_list(F.struct("id", "n", "pos")).alias("l")).where(F.size("l") > 1)
+        x = lists.select("l", F.explode("l").alias("x")).select(F.explode("l").alias("y"), "x").where("x.id > y.id")
+        x = x.select(*[F.col(f"{s}.{c}").alias(s + c) for s in "xy" for c in ("id", "n", "pos")]).where(self._reach("x", "y"))
+        met = x.groupBy("xid", "yid", "xn", "yn").agg(F.count("*").alias("c"))
+        hx, hy = in_long.select(F.col("d").alias("xd"), F.col("h").alias("xh")), in_long.select(F.col("d").alias("yd"), F.col("h").alias("yh"))
+        met = met.join(hx, F.col("xid") == F.col("xd"), "left").join(hy, F.col("yid") == F.col("yd"), "left")
+        both = F.least(F.coalesce("xh", F.lit(0)), F.coalesce("yh", F.lit(0)))
+        return met.where(F.col("c") + both >= F.least(self._need(F.col("xn")), self._need(F.col("yn")))).select(F.col("xid").alias("a"), F.col("yid").alias("b"))
+
+    def prefix_entries(self, whole: DataFrame) -> DataFrame:
+        """(tok, id, n, pos) of the documents in ``whole`` (id, n, arr): prefixes of whole sets, rarest
+        shingle first."""
+        entry = whole.select("id", "n", F.explode("arr").alias("tok"))
+        counted = materialise(entry.withColumn("m", F.count("*").over(Window.partitionBy("tok"))), "counted")
+        ranked = counted.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("m", "tok")) - 1)
+        return ranked.where((F.col("pos") <= F.col("n") - self._least(F.col("n"))) & (F.col("m") > 1)).select("tok", "id", "n", "pos")
+
+    def stars(self, entries: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+        """(a, b): each entry with its list's leader of this turn, where their classes are apart.
+
+        Lists of the same documents tend to have the same four leaders, so that few different pairs
+        come out.
+        """
+        named = entries.join(labels.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left").select("tok", "id", "n", F.coalesce("component", "id").alias("c"))
+        named = materialise(named, "turn")
+        which = F.struct(F.xxhash64("id", F.pmod("tok", F.lit(4)), F.lit(turn)).alias("w"), F.col("id").alias("yid"), F.col("n").alias("yn"), F.col("c").alias("yc"))
+        leaders = materialise(named.groupBy("tok").agg(F.min(which).alias("l")).select(F.col("tok").alias("t"), "l.yid", "l.yn", "l.yc"), "leaders")
+        met = named.join(leaders, F.col("tok") == F.col("t")).where(F.col("c") != F.col("yc")).where(self._sizes(F.col("n"), F.col("yn")))
+        return met.select(F.greatest("id", "yid").alias("a"), F.least("id", "yid").alias("b")).distinct()
+
+    def crowd_links(self, docs: DataFrame, crowded: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """Links that join classes among the ``crowded`` documents.
+
+        Turns of leaders first, as long as they still join classes; what is apart then is searched
+        in blocks.
+        """
+        whole = materialise(self.whole_sets(docs, crowded).withColumn("n", F.size("arr")), "crowd")
+        entries = materialise(self.prefix_entries(whole), "prefixes")
+        labels, tried, found = materialise(components(links), "labels"), pairs, None
+        for turn in range(TURNS):
+            stars = materialise(self.stars(entries, labels, turn).join(tried, ["a", "b"], "left_anti"), "stars")
+            new = materialise(self.check(stars, whole, True).distinct(), "starred")
+            found = new if found is None else found.unionByName(new)
+            n = new.count()
+            if not n:
+                break
+            tried = tried.unionByName(stars)
+            labels = materialise(components(links.unionByName(found)), "labels")
+        crossed = materialise(self.across(entries, labels, whole).distinct(), "crossed")
+        return found.unionByName(crossed)
+
+    def across(self, entries: DataFrame, labels: DataFrame, whole: DataFrame) -> DataFrame:
+        """(a, b): links between classes that still meet in a list.
+
+        The documents of lists with the same leader form a group, which is dealt to blocks of at most
+        about BLOCK_HASHES hashes; a task gets two blocks and the leader. Every set is turned into its
+        difference from the leader, and the intersection of two sets follows from their intersections
+        with the leader and what their differences share, which are short. One link for each two
+        classes of a task comes out.
+        """
+        num, den = self.num, self.den
+        named = entries.join(labels.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left")
+        named = materialise(named.select("tok", "id", "n", F.coalesce("component", "id").alias("c")), "named")
+        first = F.struct(F.xxhash64("id").alias("w"), "id").alias("s")
+        apart = named.groupBy("tok").agg(F.min(first).alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        apart = materialise(apart.select(F.col("tok").alias("t"), F.col("s.id").alias("g")), "apart")
+        members = materialise(named.join(apart, F.col("tok") == F.col("t")).select("g", "id", "n", "c").distinct(), "members")
+        blocks = materialise(members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("k")).withColumnRenamed("g", "gg"), "blocks")
+        own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+        others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
+        dealt = members.join(blocks, F.col("g") == F.col("gg")).select("g", "id", "c", F.explode(others).alias("at"), F.lit(False).alias("lead"))
+        pairs = dealt.select("g", "at").distinct().select("g", F.col("g").alias("id"), F.col("g").alias("c"), "at", F.lit(True).alias("lead"))
+        dealt = materialise(dealt.unionByName(pairs).select("g", "id", "c", "at.i", "at.j", "lead"), "dealt").withColumnRenamed("id", "m")
+        rows = dealt.join(whole, F.col("m") == F.col("id")).select("g", "i", "j", "id", "c", "lead", "arr")
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("lead", "descending"), ("id", "ascending")]).combine_chunks()
+            arrays = _array(table.to_batches()[0], "arr")
+            lead, arrays = arrays[0], arrays[1:]
+            ids, label = table.column("id").to_numpy()[1:], table.column("c").to_numpy()[1:]
+            size = np.array([len(x) for x in arrays])
+            apart = [np.setxor1d(x, lead, assume_unique=True) for x in arrays]
+            shared = (size + len(lead) - np.array([len(x) for x in apart])) // 2  # with the leader
+            flat = np.concatenate(apart)
+            _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+            keep = count[at] > 1
+            column = np.cumsum(count > 1)[at] - 1
+            row = np.repeat(np.arange(len(apart)), [len(x) for x in apart])
+            seen: set[tuple[int, int]] = set()
+            out: list[tuple[int, int]] = []
+            common = np.zeros((len(ids), len(ids)), np.float32)
+            width = int((count > 1).sum())
+            for lo in range(0, width, CHUNK):  # a bounded number of columns at a time
+                pick = keep & (column >= lo) & (column < lo + CHUNK)
+                part = np.zeros((len(ids), min(CHUNK, width - lo)), np.float32)
+                part[row[pick], column[pick] - lo] = 1
+                common += part @ part.T
+            # |x & y| = |x & L| + |y & L| - |L| + |common differences|, as a hash in both differences
+            # is either missing from both (and in L) or in both (and not in L)
+            inter = shared[:, None] + shared[None, :] - len(lead) + common
+            linked = (den * inter >= num * (size[:, None] + size[None, :] - inter)) & (label[:, None] != label[None, :])
+            for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+                key = (min(label[x], label[y]), max(label[x], label[y]))
+                if key not in seen:
+                    seen.add(key)
+                    out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+            return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+        return rows.groupBy("g", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
     # -- verification -------------------------------------------------------------------------
 
@@ -233,8 +335,7 @@ class NgramJaccardJoin:
     # -- results ------------------------------------------------------------------------------
 
     def classes(self, docs: DataFrame) -> DataFrame:
-        """One row a document: doc_id, n_shingles, component_id, rep_id (its equal set's least doc_id)
-        and n_links (verified links of that representative)."""
+        """One row a document: doc_id, n_shingles, component_id."""
         sets = materialise(self.sets(docs), "sets")
         live = sets.where("n > 0 and doc_id is not null")
         equal = materialise(live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal")
@@ -243,20 +344,17 @@ class NgramJaccardJoin:
         )
         drop = copies.select("id").distinct()
         reps = live.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, F.col("doc_id") == F.col("id"), "left_anti")
-        postings = materialise(self.postings(reps), "postings")
-        stars = materialise(self.stars(postings), "stars")
-        links = self.verified(docs, reps, stars)
-        labels = materialise(components(links), "labels")
-        more = self.across(postings, labels)
-        tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
-        links = links.unionByName(self.verified(docs, reps, more))
+        entries = materialise(self.window_entries(reps), "entries")
+        in_long = materialise(entries.where("long").groupBy(F.col("id").alias("d"), "n").agg(F.count("*").alias("h")), "in_long")
+        pairs = materialise(self.short_pairs(entries, in_long), "pairs")
+        links = self.verified(docs, reps, pairs)
+
+        crowded = materialise(in_long.where(F.col("h") >= self._need(self._least(F.col("n")))).select(F.col("d").alias("id")), "crowded")
+        links = links.unionByName(self.crowd_links(docs, crowded, pairs, links))
         same = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
         labels = materialise(components(links.unionByName(same)), "labels").withColumnRenamed("id", "i")
-        degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("n_links"))
-        out = sets.select("doc_id", F.col("n").cast("bigint").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("i"), "left").join(materialise(degree, "degree"), F.col("doc_id") == F.col("d"), "left")
-        linked = F.col("n_shingles") > 0
-        return out.select("doc_id", "n_shingles", F.when(linked, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+        out = sets.select("doc_id", F.col("n").cast("bigint").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("i"), "left")
+        return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
     def keep_one(self, docs: DataFrame) -> DataFrame:
         """The documents that are the least doc_id of their component, with all their columns; of
@@ -265,9 +363,3 @@ class NgramJaccardJoin:
         gone = materialise(gone, "gone")
         key = column(docs, "doc_id", "bigint")
         return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key == F.col(gone.columns[0]), "left_anti")
-
-
-def _window(by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(by)
