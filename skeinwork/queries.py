@@ -151,10 +151,10 @@ def skipped_counter(g: Graph) -> DataFrame:
 
 # -- merging ----------------------------------------------------------------------------------
 
-_SIGHT = "SELECT upper(p_name) AS k, p_name AS name, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq, CAST(round(100 - l_discount * 100) AS INT) AS confidence, CASE WHEN l_linestatus = 'O' THEN 'confirmed' ELSE 'inferred' END AS status, CASE WHEN l_linenumber > 2 THEN p_brand ELSE '' END AS description FROM lineitem JOIN part ON l_partkey = p_partkey"
+_SIGHT = "SELECT upper(p_name) AS k, p_name AS name, CAST((l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS BIGINT) AS seq, CAST(round(100 - l_discount * 100) AS INT) AS confidence, CASE WHEN l_linestatus = 'O' THEN 'confirmed' ELSE 'inferred' END AS status, CASE WHEN l_linenumber > 2 THEN p_brand ELSE '' END AS description FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
-@on_tables(f"SELECT k, arg_min(name, seq) AS name, max(confidence) AS confidence, arg_max(status, confidence * 100000000000 - seq) AS status, arg_min(description, seq) FILTER (description <> '') AS description, count(*) AS sightings FROM ({_SIGHT}) GROUP BY k", "lineitem", "part")
+@on_tables(f"SELECT k, arg_min(name, seq) AS name, max(confidence) AS confidence, first(status ORDER BY confidence DESC, seq) AS status, arg_min(description, seq) FILTER (description <> '') AS description, count(*) AS sightings FROM ({_SIGHT}) GROUP BY k", "lineitem", "part")
 def entity_merge(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     rows = lineitem.sparkSession.sql(_SIGHT.replace("lineitem", "{lineitem}").replace("part ON", "{part} ON"), lineitem=lineitem, part=part)
     return merge.merge_entities(rows, ["k"])
@@ -346,10 +346,10 @@ def impact_by_type(g: Graph) -> DataFrame:
 
 
 @on_graph(f""", l1 AS (SELECT source_id AS id, conf AS m, status <> 'confirmed' AS g FROM relationships WHERE target_id = '{ROOT}'),
-l2 AS (SELECT r.source_id AS id, least(l1.m, r.conf) AS m, l1.g OR r.status <> 'confirmed' AS g, r.conf, r.relation_type, r.id AS via FROM l1 JOIN relationships r ON r.target_id = l1.id ORDER BY m DESC, g, conf DESC, relation_type, via LIMIT 60 - 1 - (SELECT count(*) FROM l1))
+l2 AS (SELECT r.source_id AS id, least(l1.m, r.conf) AS m, l1.g OR r.status <> 'confirmed' AS g, r.conf, r.relation_type, r.id AS via FROM l1 JOIN relationships r ON r.target_id = l1.id ORDER BY m DESC, g, conf DESC, relation_type, via LIMIT 20 - 1 - (SELECT count(*) FROM l1))
 SELECT id, 1 AS depth, CAST(m AS INTEGER) AS min_conf FROM l1 UNION ALL SELECT id, 2, CAST(m AS INTEGER) FROM l2""")
 def impact_budget(g: Graph) -> DataFrame:
-    return walk.impact(g.relationships, g.entities, ROOT, max_nodes=60).select("id", "depth", "min_conf")
+    return walk.impact(g.relationships, g.entities, ROOT, max_nodes=20).select("id", "depth", "min_conf")
 
 
 @on_graph(f", ends AS (SELECT source_id AS a, target_id AS b FROM relationships UNION SELECT target_id, source_id FROM relationships) SELECT b AS id, 1 AS depth FROM ends WHERE a = 'n3' AND b <> 'n3' UNION ALL SELECT 'n3', 0")
