@@ -1,0 +1,221 @@
+"""N-gram join, packing, archives, extraction, toxicity and language model on small inputs."""
+
+import random
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from skeinwork.llm import html_extract, lm_scoring, packing, toxicity, warc
+from skeinwork.llm.ngram_join import NgramJaccardJoin
+from skeinwork.llm.queries import TOKENIZER
+
+
+def near_docs(seed=5, groups=6, copies=9):
+    rng, out, n = random.Random(seed), [], 0
+    passage = " ".join(f"p{i}" for i in range(30))
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.randrange(12, 90))]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                words += passage.split()
+            out.append((n, " ".join(words)))
+            n += 1
+    return out
+
+
+def brute_components(rows, k, num, den):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.setdefault(i, set()).update({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        c = len(sets[a] & sets[b])
+        if c and den * c >= num * (len(sets[a]) + len(sets[b]) - c):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("k", "num", "long_list"), [(4, 85, 6), (5, 80, 2)])
+def test_join_matches_brute_force(spark, k, num, long_list):
+    rows = [*near_docs(), (1000, None), (1001, ""), (1002, "one two"), (1003, "One  two"), (1004, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in NgramJaccardJoin(k, num, 100, long_list).classes(docs).collect()}
+    assert got == brute_components(rows, k, num, 100)
+
+
+def test_join_edge_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")], "doc_id bigint, text string")
+    got = [(r.doc_id, r.component_id) for r in NgramJaccardJoin().classes(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, None), (1, 1), (1, 1), (2, 1)], key=str)
+    assert NgramJaccardJoin().classes(docs.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in NgramJaccardJoin().keep_one(docs.where("doc_id is not null")).collect()) == [1, 1]
+
+
+def test_best_fit_and_bounds():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = np.sort(rng.integers(1, 101, 60))[::-1]
+        bins = packing.best_fit(lengths, 100)
+        load = np.bincount(bins, lengths)
+        assert load.max() <= 100 and packing.lower_bound(lengths, 100) <= len(load)
+    assert packing.lower_bound(np.full(9, 51), 100) == 9 and packing.lower_bound(np.full(9, 34), 100) == 5
+    assert packing.lower_bound(np.array([], int), 100) == 0
+
+
+def test_packing_is_whole_and_tight(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["river", "Überfluss", "x1", "#", "  ", "​", "日本"]) for _ in range(rng.randrange(0, 900)))) for i in range(150)] + [(900, None), (901, "long " * 7000), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = packing.pack(packing.pieces(docs, *TOKENIZER), per_group=60).collect()
+    slow = Tokenizer.from_file(TOKENIZER[0])
+    want = {}
+    for i, t in rows:
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        n = len(ids)
+        first = n % 2048 or 2048 if n > 2048 else n
+        cuts = [0, *range(first, n + 1, 2048)] if n > 2048 else [0, n]
+        want |= {(i, k): (a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(places) <= packing.lower_bound(np.array([r.length for r in got]), 2048) + 2
+    assert packing.pack(packing.pieces(docs.limit(0), *TOKENIZER)).count() == 0
+
+
+def test_archives_round_trip(spark):
+    import base64
+    import hashlib
+
+    rows = [(3, "http://a/ü?q=1", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "u", None), (5, "u", ""), (None, "u", "<p>x</p>"), (7, "v", "y" * 600_000), (7, "v", "z"), (8, "v", "y" * 600_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    index = warc.write_archives(pages)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(index).collect()), key=str)
+    sha = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    firsts = {}
+    for i, _, h in rows:
+        firsts[h or ""] = min(x for x in (firsts.get(h or ""), i) if x is not None)
+    want = sorted(((i, len((h or "").encode()), sha(h), "response" if firsts[h or ""] == i else "revisit", None if firsts[h or ""] == i else firsts[h or ""]) for i, _, h in rows), key=str)
+    assert got == want
+    for r in index.collect():
+        fields, _, end = warc.parse(warc.BundleReader(r.bundle).record(r.frame, r.offset, r.length))
+        assert fields["WARC-Record-ID"] == r.record_id and end == r.length
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    kinds = {r.page_id: r.record_type for r in warc.read_archives(warc.write_archives(pages, least_bytes=9)).collect()}
+    assert kinds[3] == "response" and kinds[8] == "revisit"
+
+
+def test_bundles_open_as_plain_zstandard(spark):
+    import io
+
+    import zstandard
+
+    index = warc.write_archives(spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(50)], "page_id bigint, url string, html string")).collect()
+    path = index[0].bundle.removeprefix("file://")
+    with open(path, "rb") as f:
+        data = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(f.read()), read_across_frames=True).read()
+    assert data.count(b"WARC/1.1\r\n") == sum(r.bundle == index[0].bundle for r in index)
+
+
+PAGE = """<!doctype html><html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><!-- <p>no</p> --><header><nav><a href=/>Home</a></nav></header>
+<div id="cookie-banner">We use cookies on this site.</div><main><article><h1>Title &amp; more</h1><p>First <b>bold</b>word   of
+a long enough paragraph, with <a href="x>y">a link</a>.</p><div class="ad">Buy now and save a lot.</div><p>Second paragraph stands here&nbsp;too.<br>After a break.</p>
+<form><label>Mail</label><input></form></article><section class="comments"><p>I liked reading this very much, thank you.</p></section></main><aside><ul><li><a href=1>Other</a></li></ul></aside><footer>&copy; us</footer></body></html>"""
+
+
+def test_extraction():
+    want = "Title & more\nFirst boldword of a long enough paragraph, with a link.\nSecond paragraph stands here too. After a break."
+    assert html_extract.main_text(PAGE) == want
+    assert html_extract.main_text("") == "" and html_extract.main_text("<nav><a>Home</a></nav>") == ""
+    cut = html_extract.main_text(PAGE[: PAGE.index("After")])
+    assert cut.endswith("Second paragraph stands here too.")
+    for page in html_extract.PAGES:
+        inside = [" ".join(re.sub("<[^>]*>", "", x).split()) for x in re.findall(r"\[\[(.*?)\]\]", page, re.S)]
+        assert html_extract.main_text(page.replace("[[", "").replace("]]", "")) == "\n".join(inside)
+
+
+def test_extraction_is_linear_on_odd_pages():
+    for odd in ("<" * 200_000, "<a href='" * 40_000, "<p>" * 100_000, "<div class=\"x" * 30_000, "<script>" * 20_000):
+        html_extract.main_text(odd)
+
+
+def test_extraction_rows(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "w", ""), (1, "u", PAGE)], "page_id bigint, url string, html string")
+    rows = html_extract.extract(pages).collect()
+    assert len(rows) == 4 and all(r.n_chars == len(r.text) for r in rows) and html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_toxicity(spark):
+    rng, rows, labels = random.Random(2), [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        words = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        if toxic:
+            for _ in range(2):
+                words[rng.randrange(60)] = rng.choice(["idiot", "Worthless.", f"zorp{rng.choice('abcdefgh')}a", "scum,"])
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    rows += [(9000, None, None, None), (None, "idiot scum", None, None), (9001, "x " * 60_000, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labs = spark.createDataFrame([*labels, (9000, None, None)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, labs).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i].held_out == (i in set(held)) for i in range(600)) and held
+    assert sum(got[i].predicted == (i % 5 == 0) for i in held) >= 0.97 * len(held)
+    assert got[9000].predicted == 0 and got[None].predicted == 1 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+    assert toxicity.score(docs.limit(0), labs).count() == 0
+    assert toxicity.score(docs, labs.limit(0)).where("doc_id is null").first().predicted == 1
+
+
+def test_language_model(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(4)
+    pairs = {f"a{i}": f"b{i}" for i in range(20)}
+    rows = [(i, " ".join(x for _ in range(60) for x in (lambda a: (a, pairs[a]))(f"A{rng.randrange(20)}".lower()))) for i in range(400)] + [(900, None), (None, "a1 new"), (901, "unknown")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    counts = Counter()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*(t or "").lower().split(), "\0end"])
+    total = sum(counts.values())
+    for i, t in rows:
+        tokens = [*(t or "").lower().split(), "\0end"]
+        base = sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in tokens)
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(counts[w] > 0 for w in tokens), total)
+        assert r.base_score == pytest.approx(base)
+    held = [got[i] for i in range(400) if got[i].held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert lm_scoring.score(docs.limit(0)).count() == 0
+
+
+def test_model_is_normalised():
+    model = lm_scoring.LogBilinear.start(np.array([5.0, 3.0, 2.0]))
+    norm = model.normalisers()
+    s = np.array([[[(model.r[n] @ model.c1 + model.r[f] @ model.c2) @ model.q[t] + model.b[t] - norm[f, n] for t in range(3)] for n in range(4)] for f in range(4)])
+    assert np.allclose(np.exp(s).sum(2), 1, atol=1e-4)
