@@ -110,5 +110,48 @@ FROM parts p LEFT JOIN ranked r ON r.doc_id = p.doc_id AND r.line_no = p.line_no
 """
 
 
+SQL["op8_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST((i // 4) * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM s
+"""
+
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_JSD = "sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {p}[i] > 0 THEN {p}[i] * log2(2 * {p}[i] / ({p}[i] + {q}[i])) ELSE 0 END + CASE WHEN {q}[i] > 0 THEN {q}[i] * log2(2 * {q}[i] / ({p}[i] + {q}[i])) ELSE 0 END)) / 2))"
+_MEANS = "SELECT a.lang, a.c, b.h FROM (SELECT lang, list(m ORDER BY i) AS c FROM (SELECT lang, i, avg(cs[i]) AS m FROM {t}, range(1, {k} + 1) r(i) GROUP BY lang, i) GROUP BY lang) a JOIN (SELECT lang, list(m ORDER BY i) AS h FROM (SELECT lang, i, avg(hs[i]) AS m FROM {t}, range(1, {n} + 1) r(i) GROUP BY lang, i) GROUP BY lang) b ON a.lang = b.lang"
+_COUNT = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
+_SIZES = {"k": len(quality_rules.CHAR_CLASSES), "n": len(quality_rules.COMMON_WORDS) + 1}
+SQL["op2_quality_rules"] = rf"""
+WITH words AS (
+  SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)
+), grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+), covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE c > 1) GROUP BY doc_id
+), counted AS (
+  SELECT w.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS n_chars, {_COUNT("#*$%&|<>")} AS n_symbols, coalesce(c.n, 0) AS n_repeat_words,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, {_COUNT("a-z")} AS c1, {_COUNT("A-Z")} AS c2, {_COUNT("0-9")} AS c3, {_COUNT(".,;:!?''" + chr(34) + "()-")} AS c5, {_COUNT(r"^\x00-\x7F").replace("[^^", "[")} AS c7,
+    list_transform({_LIST(quality_rules.COMMON_WORDS)}, lambda c: len(list_filter(w, lambda x: lower(regexp_replace(x, '[.,;:!?]+$', '')) = c))) AS hits
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM words) w LEFT JOIN covered c ON c.doc_id = w.doc_id
+), shares AS (
+  SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    list_transform([c1, c2, c3, n_symbols, c5, word_chars - c1 - c2 - c3 - n_symbols - c5 - c7, c7, n_chars - word_chars], lambda x: x / greatest(n_chars, 1)) AS cs,
+    list_transform(list_append(hits, n_words - list_sum(hits)), lambda x: x / greatest(n_words, 1)) AS hs
+  FROM counted
+), good AS (SELECT * FROM shares WHERE NOT base_failed AND lang IN ('de', 'en', 'es', 'fr')
+), first AS ({_MEANS.format(t="good", **_SIZES)}
+), near AS (SELECT g.* FROM good g JOIN first f ON f.lang = g.lang WHERE {_JSD.format(p="cs", q="f.c")} <= {quality_rules.TRIM} AND {_JSD.format(p="hs", q="f.h")} <= {2 * quality_rules.TRIM}
+), again AS ({_MEANS.format(t="near", **_SIZES)}
+), refs AS (FROM again UNION ALL SELECT * FROM first WHERE lang NOT IN (SELECT lang FROM again)
+), judged AS (
+  SELECT s.doc_id, min({_JSD.format(p="s.cs", q="r.c")}) AS dc, min({_JSD.format(p="s.hs", q="r.h")}) AS dw
+  FROM shares s JOIN refs r ON r.lang = s.lang OR coalesce(s.lang, '') NOT IN (SELECT lang FROM refs) GROUP BY s.doc_id
+)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce((n_chars >= {quality_rules.GUARD_CHARS} AND dc > {quality_rules.MAX_CHAR_DISTANCE}) OR (n_words >= {quality_rules.GUARD_WORDS} AND dw > {quality_rules.MAX_WORD_DISTANCE}), false) AS kept
+FROM shares s LEFT JOIN judged j ON j.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
