@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import naming, text
-from .operators import changes, compare, graph, merge, overlay, search, stats, walk
+from .operators import changes, compare, graph, ingest, merge, overlay, search, stats, walk
+from .operators.extract.base import analyze_files
+from .operators.extract.others import default_registry
 from .plans.projection import Graph, with_graph
 from .plans.projection import graph as project
 from .schema import STRUCTURAL, WRITES
@@ -560,6 +562,44 @@ def normalized_urls(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]*)", 1).alias("host"), naming.normalize_path(F.regexp_extract(bare, r"^https?://[^/]*(/.*)$", 1)).alias("path"))
 
 
+@on_tables("SELECT doc_id, 'a   ' || regexp_replace(replace(text, '*/', ''), '[^\n]', ' ', 'g') || '   b' AS clean FROM documents", "documents")
+def blank_noise(docs: DataFrame) -> DataFrame:
+    source = F.concat(F.lit("a /*"), F.replace("text", F.lit("*/"), F.lit("")), F.lit("*/ b"))
+    return docs.select("doc_id", text.blank_noise(source).alias("clean"))
+
+
+_SOURCE = "concat('insert into wms.t', o_custkey % 50, ' (num, gross) values (:P', o_custkey % 9, '_NUM, :P', o_custkey % 9, '_GROSS);\n-- from t99\nselect a.num from t', o_custkey % 50, ' a join u', o_custkey % 7, ' b on a.num = b.num;')"
+
+
+def _built(orders: DataFrame) -> ingest.GraphTables:
+    files = orders.select(F.concat(F.lit("f"), F.col("o_orderkey"), F.lit(".sql")).alias("path"), F.expr(_SOURCE).alias("text"))
+    return ingest.build(files, default_registry(), "orders")
+
+
+@on_tables("SELECT relation_type, count(*) AS n FROM (SELECT unnest(['QUERY_WRITES_TABLE', 'QUERY_READS_TABLE', 'QUERY_READS_TABLE', 'TABLE_JOINS_TABLE', 'QUERY_USES_COLUMN', 'QUERY_USES_COLUMN', 'QUERY_USES_COLUMN', 'QUERY_USES_COLUMN', 'TABLE_HAS_COLUMN', 'TABLE_HAS_COLUMN', 'TABLE_HAS_COLUMN', 'TABLE_HAS_COLUMN', 'APEX_PAGE_CONTAINS_ITEM', 'APEX_PAGE_CONTAINS_ITEM', 'APEX_ITEM_MAPS_TO_COLUMN', 'APEX_ITEM_MAPS_TO_COLUMN']) AS relation_type FROM orders) GROUP BY relation_type", "orders")
+def ingest_edges(orders: DataFrame) -> DataFrame:
+    return stats.count_by(_built(orders).relationships, "relation_type")
+
+
+@on_tables("SELECT 'OracleTable|WMS||T' || (o_custkey % 50) AS identity_key, count(*) AS sightings FROM orders GROUP BY 1 UNION ALL SELECT 'OracleTable|||T' || (o_custkey % 50), count(*) FROM orders GROUP BY 1 UNION ALL SELECT 'OracleTable|||U' || (o_custkey % 7), count(*) FROM orders GROUP BY 1", "orders")
+def ingest_tables(orders: DataFrame) -> DataFrame:
+    return _built(orders).entities.where("entity_type = 'OracleTable'").select("identity_key", "sightings")
+
+
+@on_tables("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all('update t set a = :P' || doc_id % 100 || '_A where b = :APP_USER', ':(P[0-9]+_[A-Z]+)', 1)) AS item FROM documents) GROUP BY doc_id", "documents")
+def apex_binds(docs: DataFrame) -> DataFrame:
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("update t set a = :P"), F.col("doc_id") % 100, F.lit("_A where b = :APP_USER")).alias("text"))
+    drafts = analyze_files(files.withColumn("path", F.concat("path", F.lit(".sql"))), default_registry()).where("kind = 'entity' and entity_type = 'ApexItem'")
+    return drafts.groupBy(F.regexp_extract("path", "^([0-9]+)", 1).cast("bigint").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+@on_tables("SELECT event_id, 'ORA-' || (10000 + event_id % 7) AS error FROM events WHERE event_type = 'error'", "events")
+def log_errors(events: DataFrame) -> DataFrame:
+    files = events.where("event_type = 'error'").select(F.concat(F.lit("e"), F.col("event_id"), F.lit(".log")).alias("path"), F.concat(F.lit("[x] ORA-"), 10000 + F.col("event_id") % 7, F.lit(": failed\nORA-06512: at \"A.B\", line 3")).alias("text"))
+    found = analyze_files(files, default_registry()).where("kind = 'entity' and entity_type = 'Error'")
+    return found.select(F.regexp_extract("path", "e([0-9]+)", 1).cast("bigint").alias("event_id"), F.col("name").alias("error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
