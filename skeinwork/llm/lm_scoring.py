@@ -13,7 +13,7 @@ Training goes over all training documents: every task trains on its part from on
 noise-contrastive estimation with noise drawn from class frequencies, and the parameters are averaged
 by token count in a distributed aggregate.
 
-Only the ``HEAD`` most frequent words are sent to tasks (16 bytes each); all rarer words are looked up
+At most ``HEAD`` of the most frequent words are sent to tasks (16 bytes each); all rarer words are looked up
 by a join.
 
 Defined results: null text is empty and has the one end token; a null doc_id is not held out; repeated
@@ -128,9 +128,21 @@ class Places(dict):
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    """Totals of ``counts``; HEAD rows and one row for each surface class reach the driver."""
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
-    h, g, c = (top.column(x).to_numpy().copy() for x in ("h", "g", "c"))
+    """Totals of ``counts``; at most HEAD rows and one row for each surface class reach the driver.
+
+    The head is cut at a step of a logarithmic scale of counts, so that no task sorts all words.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    least, room = 1 << 30, HEAD
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.s):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.s
+    top = counts.where(step >= least).toArrow()
+    h, g, c = (top.column(x).to_numpy() for x in ("h", "g", "c"))
+    order = np.lexsort((h, -c))
+    h, g, c = h[order], g[order], c[order]
     own = min(OWN, len(h))
     sums = {r.g: (r.n, r.c) for r in counts.groupBy("g").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
     types, tokens = np.zeros(SURFACE, np.int64), np.zeros(SURFACE, np.int64)
