@@ -162,7 +162,7 @@ def units(page: str) -> list[tuple[str, str, str, int]]:
         if value in CONTAINERS:
             if what == "open":
                 own = _place(value, attrs)
-                inner = {"head": "main-head", "foot": "foot"}.get(own, own) if place == "main" and value in ("header", "footer") else own
+                inner = "main" if place == "main" and own == "head" else own  # an article's own heading
                 stack.append((value, place))
                 if not (place in ("comments", "advert", "notice") and inner == "main" and value not in ("article", "main")):
                     place = inner or place
@@ -215,7 +215,7 @@ def word_weight(context: str) -> float:
     for key in (context, f"{place}/link" if "link" in rest else f"{place}/text", place):
         if key in word:
             return word[key]
-    return -1.0 if place not in ("plain", "main", "main-head") else 0.5
+    return 0.5 if place in ("plain", "main") else -1.0
 
 
 def main_text(page: str) -> str:
