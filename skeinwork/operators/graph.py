@@ -52,8 +52,10 @@ def tables_of_file(rels: DataFrame, ents: DataFrame, files: DataFrame, path: str
     return _other_end(edges, ents, "target_id").withColumn("written", F.col("relation_type").isin(*WRITES))
 
 
-def entities_in_file(rels: DataFrame, ents: DataFrame, files: DataFrame, path: str) -> DataFrame:
-    """Entities that a file mentions, each with its first line there."""
+def entities_in_file(rels: DataFrame, ents: DataFrame, files: DataFrame, path: str, types: Sequence[str] | None = None) -> DataFrame:
+    """Entities that a file mentions, each with its first line there; of ``types`` only, as for its page items."""
+    if types is not None:
+        ents = ents.where(F.col("entity_type").isin(*types))
     own = files.where(F.col("path") == path).select(F.col("file_id").alias("f"))
     seen = rels.join(own, F.col("file_id") == F.col("f")).select(F.explode(F.array("source_id", "target_id")).alias("e"), "start_line")
     first = seen.groupBy("e").agg(F.min("start_line").alias("first_line"))
@@ -66,6 +68,17 @@ def from_type(rels: DataFrame, ents: DataFrame, entity_id: str, source_type: str
     return hits.select("other_id", "name", "relation_type", "edge_id", "conf")
 
 
+def images_of_report(rels: DataFrame, ents: DataFrame, entity_id: str) -> DataFrame:
+    return related(rels, ents, entity_id, "outgoing", relations=("REPORT_REFERENCES_IMAGE",), limit=None)
+
+
+def report_structure(reports: DataFrame) -> DataFrame:
+    """(name, band, section, height, elements) of reports with their metadata; other entities give nothing."""
+    bands = F.from_json(F.col("metadata")["bands"], "array<struct<section:string,height:string,elements:int>>")
+    rows = reports.where("entity_type = 'JasperReport'").select("name", F.posexplode(bands).alias("band", "b"))
+    return rows.select("name", "band", "b.section", F.col("b.height").cast("int").alias("height"), "b.elements")
+
+
 def orphans(rels: DataFrame, ents: DataFrame, types: Sequence[str] = REVIEWABLE, limit: int | None = 300) -> DataFrame:
     """Entities of ``types`` that no non-structural edge reaches."""
     reached = rels.where(~F.col("relation_type").isin(*STRUCTURAL)).select(F.col("target_id").alias("t"))

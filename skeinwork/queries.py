@@ -600,6 +600,34 @@ def log_errors(events: DataFrame) -> DataFrame:
     return found.select(F.regexp_extract("path", "e([0-9]+)", 1).cast("bigint").alias("event_id"), F.col("name").alias("error"))
 
 
+_REPORT = """concat('<jasperReport name="R', s_suppkey, '"><detail><band height="', s_nationkey, '"><image><reportElement/><imageExpression>"img/n', s_nationkey, '.png"</imageExpression></image></band></detail></jasperReport>')"""
+
+
+def _reports(suppliers: DataFrame) -> ingest.GraphTables:
+    files = suppliers.select(F.concat(F.lit("r"), F.col("s_suppkey"), F.lit(".jrxml")).alias("path"), F.expr(_REPORT).alias("text"))
+    return ingest.build(files, default_registry(), "reports")
+
+
+@on_tables("SELECT 'R' || s_suppkey AS name, 0 AS band, 'detail' AS section, s_nationkey AS height, 1 AS elements FROM supplier", "supplier")
+def report_structure(suppliers: DataFrame) -> DataFrame:
+    return graph.report_structure(_reports(suppliers).entities)
+
+
+@on_tables("SELECT 'img/n' || s_nationkey || '.png' AS image, 1.0 AS confidence FROM supplier WHERE s_suppkey = 3", "supplier")
+def images_of_report(suppliers: DataFrame) -> DataFrame:
+    built = _reports(suppliers)
+    report = built.entities.where("name = 'R3'").select("id").first()[0]
+    rels = built.relationships.withColumn("conf", F.col("confidence"))
+    return graph.images_of_report(rels, built.entities, report).select(F.col("name").alias("image"), F.col("conf").alias("confidence"))
+
+
+@on_tables("SELECT 'P' || (o_custkey % 9) || '_' || x AS name, 1 AS first_line FROM orders, (VALUES ('NUM'), ('GROSS')) v(x) WHERE o_orderkey = 5", "orders")
+def apex_items_in_file(orders: DataFrame) -> DataFrame:
+    built = _built(orders)
+    files = orders.select(F.concat(F.lit("f"), F.col("o_orderkey"), F.lit(".sql")).alias("path")).withColumn("file_id", F.col("path"))
+    return graph.entities_in_file(built.relationships, built.entities, files, "f5.sql", ("ApexItem",)).select("name", "first_line")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
