@@ -42,7 +42,7 @@ SALT_ROWS = 100
 #: Turns of leaders before classes that are still apart are searched in blocks.
 TURNS = 2
 #: Hashes in a block (8 bytes each), and columns of a step of a block's product.
-BLOCK_HASHES, CHUNK = 400_000, 2048
+BLOCK_HASHES, CHUNK = 120_000, 2048
 
 
 class WordHashes(dict):
