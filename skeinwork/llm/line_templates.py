@@ -17,7 +17,7 @@ same lines; a document that loses all lines has an empty text; an empty table gi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, fresh, materialise, whole_text
@@ -31,38 +31,35 @@ BROADCAST_LEAVES = 1 << 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, line_no, toks) of the lines that have enough tokens; d orders documents."""
+    """(d, line_no, toks, leaf) of all lines; d orders documents, leaf is 0 for lines with too few tokens.
+
+    Only lines with a digit go through the masking pattern, and only lines with unusual white space
+    through the splitting pattern. leaf is never null and nothing is filtered here, so that no
+    expression is pushed down and evaluated twice.
+    """
     doc = F.coalesce(column(docs, "doc_id", "bigint"), F.lit((1 << 63) - 1))
     rows = docs.select(doc.alias("d"), F.posexplode(F.split(whole_text(docs), "\n")).alias("line_no", "line"))
     masked = F.regexp_replace("line", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", FIELD)
-    toks = F.array_remove(F.split(masked, r"[\x20\x09-\x0D]+"), "")
-    return rows.select("d", "line_no", toks.alias("toks")).where(F.size("toks") >= MIN_TOKENS)
-
-
-def _leaf(toks: Column) -> Column:
-    return F.xxhash64(F.size(toks), *[F.get(toks, F.lit(i)) for i in range(DEPTH)])
-
-
-def _best_tokens(tokens: DataFrame) -> DataFrame:
-    """(leaf, base): the most frequent token of each position, the greater token on ties."""
-    spread = tokens.select("leaf", "w", F.posexplode("toks").alias("pos", "tok"))
-    counted = spread.groupBy("leaf", "pos", "tok").agg(F.sum("w").alias("w"))
-    best = counted.groupBy("leaf", "pos").agg(F.max(F.struct("w", "tok")).alias("m"))
-    return best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", "m.tok"))).alias("x")).select("leaf", F.col("x.tok").alias("base"))
+    rows = rows.select("d", "line_no", F.when(F.col("line").rlike("[0-9]"), masked).otherwise(F.col("line")).alias("line"))
+    plain = ~F.col("line").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$")
+    rows = rows.select("d", "line_no", F.when(plain, F.split("line", " ")).otherwise(F.array_remove(F.split("line", r"[\x20\x09-\x0D]+"), "")).alias("toks"))
+    leaf = F.xxhash64(F.size("toks"), *[F.get("toks", F.lit(i)) for i in range(DEPTH)])
+    return rows.select("d", "line_no", "toks", F.when(F.size("toks") >= MIN_TOKENS, leaf).otherwise(F.lit(0).cast("bigint")).alias("leaf"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(d, line_no) of every line to drop."""
-    lines = materialise(_lines(docs).select("d", "line_no", _leaf(F.col("toks")).alias("leaf"), F.xxhash64("toks").alias("variant")), "lines")
+    lines = materialise(_lines(docs).select("d", "line_no", "leaf", F.xxhash64("toks").alias("variant")), "lines").where("leaf <> 0")
     at = F.struct("d", "line_no")
     variants = materialise(lines.groupBy("leaf", "variant").agg(F.min(at).alias("first"), F.max("d").alias("last"), F.count("*").alias("w")), "variants")
     forks = variants.groupBy("leaf").agg(F.count("*").alias("n"), F.min("first.d").alias("a"), F.max("last").alias("b")).where("n > 1 and a <> b").select(F.col("leaf").alias("f"))
     forks = materialise(forks, "forks")
     side = F.broadcast(forks) if forks.count() <= BROADCAST_LEAVES else forks
-    again = _lines(docs).withColumn("leaf", _leaf(F.col("toks"))).join(side, F.col("leaf") == F.col("f"), "left_semi")
+    again = _lines(docs).join(side, F.col("leaf") == F.col("f"), "left_semi")
     tokens = again.groupBy("leaf", F.xxhash64("toks").alias("variant")).agg(F.first("toks").alias("toks"), F.count("*").alias("w"))
     tokens = materialise(tokens, "tokens")
-    base = materialise(_best_tokens(tokens), "base").withColumnRenamed("leaf", "l")
+    base = tokens.groupBy(F.col("leaf").alias("l")).agg(F.max_by("toks", F.struct("w", F.array_join("toks", " "))).alias("base"))
+    base = materialise(base, "base")
     same = F.aggregate(F.zip_with("toks", "base", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     general = tokens.join(base, F.col("leaf") == F.col("l")).where(same >= F.ceil(F.size("toks") * F.lit(SIMILAR) - 1e-9)).select(F.col("leaf").alias("l"), F.col("variant").alias("v"))
     general = materialise(general, "general")

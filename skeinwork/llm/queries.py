@@ -95,9 +95,7 @@ WITH lines AS (
   SELECT *, concat(len(toks), ' ', toks[1], ' ', toks[2], ' ', toks[3]) AS leaf, array_to_string(toks, ' ') AS variant FROM lines WHERE len(toks) >= 4
 ), tokens AS (SELECT leaf, variant, first(toks) AS toks, count(*) AS w, min(doc_id) AS a, max(doc_id) AS b FROM leaves GROUP BY leaf, variant
 ), forks AS (SELECT leaf FROM tokens GROUP BY leaf HAVING count(*) > 1 AND min(a) <> max(b)
-), spread AS (SELECT leaf, pos, toks[pos] AS tok, sum(w) AS w FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS pos FROM tokens WHERE leaf IN (FROM forks)) GROUP BY ALL
-), modal AS (SELECT leaf, pos, tok FROM spread QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY w DESC, tok DESC) = 1
-), base AS (SELECT leaf, list(tok ORDER BY pos) AS base FROM modal GROUP BY leaf
+), base AS (SELECT leaf, toks AS base FROM tokens WHERE leaf IN (FROM forks) QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY w DESC, variant DESC) = 1
 ), named AS (
   SELECT t.leaf, t.variant, CASE WHEN b.base IS NOT NULL AND len(list_filter(range(1, len(t.toks) + 1), lambda i: t.toks[i] = b.base[i])) >= ceil(len(t.toks) * 0.7 - 1e-9) THEN 'leaf' ELSE 'own ' || t.variant END AS template
   FROM tokens t LEFT JOIN base b ON b.leaf = t.leaf
