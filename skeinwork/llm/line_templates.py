@@ -28,6 +28,8 @@ SIMILAR = 0.7
 FIELD = "<*>"
 #: Leaves (8 bytes each) that may be broadcast.
 BROADCAST_LEAVES = 1 << 20
+#: Dropped line numbers (4 bytes each, four more a document) that may be broadcast.
+BROADCAST_LINES = 4 << 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -80,8 +82,10 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     d, lost = fresh(docs, "d"), fresh(docs, "lost")
     gone = materialise(dropped_lines(docs).groupBy("d").agg(F.collect_list("line_no").alias(lost)), "lost").withColumnRenamed("d", d)
+    n_lost = gone.agg(F.sum(F.size(lost) + 4)).first()[0] or 0
     doc = F.coalesce(column(docs, "doc_id", "bigint"), F.lit((1 << 63) - 1))
-    out = docs.join(gone, doc == F.col(d), "left")
+    # one way or the other by the size counted, not by an estimate from compressed files
+    out = docs.join(F.broadcast(gone) if n_lost <= BROADCAST_LINES else gone.hint("merge"), doc == F.col(d), "left")
     parts = F.split(whole_text(docs), "\n")
     # as (line number, line) pairs without the lost numbers: set operations on hashes, linear in the document
     keep = F.array_except(F.sequence(F.lit(0), F.size("__sk_parts") - 1), lost)
