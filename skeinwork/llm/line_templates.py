@@ -49,6 +49,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("d", "line_no", "toks", F.when(F.size("toks") >= MIN_TOKENS, leaf).otherwise(F.lit(0).cast("bigint")).alias("leaf"))
 
 
+def _voted(tokens: DataFrame) -> DataFrame:
+    """(l, base): by leaf the most frequent token of each position after the first DEPTH, the greater token on
+    ties. The first DEPTH tokens are the leaf's own. Distinct variants vote with their numbers of lines."""
+    spread = tokens.select("leaf", "w", F.posexplode(F.slice("toks", F.lit(DEPTH + 1), F.size("toks"))).alias("pos", "tok"))
+    counted = spread.groupBy("leaf", "pos", "tok").agg(F.sum("w").alias("w"))
+    best = counted.groupBy("leaf", "pos").agg(F.max(F.struct("w", "tok")).alias("m"))
+    return best.groupBy(F.col("leaf").alias("l")).agg(F.sort_array(F.collect_list(F.struct("pos", "m.tok"))).alias("x")).select("l", F.col("x.tok").alias("base"))
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(d, line_no) of every line to drop."""
     lines = materialise(_lines(docs).select("d", "line_no", "leaf", F.xxhash64("toks").alias("variant")), "lines").where("leaf <> 0")
@@ -60,9 +69,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     again = _lines(docs).join(side, F.col("leaf") == F.col("f"), "left_semi")
     tokens = again.groupBy("leaf", F.xxhash64("toks").alias("variant")).agg(F.first("toks").alias("toks"), F.count("*").alias("w"))
     tokens = materialise(tokens, "tokens")
-    base = tokens.groupBy(F.col("leaf").alias("l")).agg(F.max_by("toks", F.struct("w", F.array_join("toks", " "))).alias("base"))
-    base = materialise(base, "base")
-    same = F.aggregate(F.zip_with("toks", "base", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    base = materialise(_voted(tokens), "base")
+    rest = F.slice("toks", F.lit(DEPTH + 1), F.size("toks"))
+    same = F.aggregate(F.zip_with(rest, "base", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(DEPTH), lambda s, x: s + x)
     general = tokens.join(base, F.col("leaf") == F.col("l")).where(same >= F.ceil(F.size("toks") * F.lit(SIMILAR) - 1e-9)).select(F.col("leaf").alias("l"), F.col("variant").alias("v"))
     general = materialise(general, "general")
     named = variants.join(general, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v")), "left")

@@ -130,3 +130,11 @@ def test_line_templates(docs):
     assert got[7].n_dropped == 1 and got[7].text == "line one is here 12\nother text stands alone today"
     assert got[8].text == "short\nsomething else again is written" and got[8].n_lines == 3
     assert got[5].text == LONG and got[3].text == "" and len(line_templates.clean(docs).collect()) == len(ROWS)
+
+
+def test_leaf_template_is_voted_by_position(spark):
+    mixed = "notice from the {} office about {} roads being closed".format
+    rows = [(i, mixed(f"name{chr(97 + i)}", f"place{chr(97 + i)}")) for i in range(20)]
+    rows += [(100 + i, "notice from the board said nothing more than was needed") for i in range(3)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [i for i, n in sorted(got.items()) if not n] == [0, 100] and sum(got.values()) == 21
