@@ -4,13 +4,15 @@ A line's tokens that hold a digit become the variable field <*>. The tree has a
 count, then the first three tokens; lines that agree on these share a leaf. Per leaf and position the
 most frequent token makes up the leaf's template; a line that agrees with it in SIMILAR of its
 positions belongs to it, whatever stands in the others, and any other line is a template by itself.
+A line of under MIN_TOKENS tokens is a leaf by its own tokens, with its digits where nothing else is
+left of it, so a short line recurs only as the same line.
 A template that occurs in two or more documents recurs: all of its lines are dropped but the first
 one (least doc_id, then line number), so that no content is lost altogether.
 
 A recurring template is told by its least and greatest doc_id, so a line with any number of copies
 reaches the shuffle as one row a task.
 
-Defined results: null text is empty; lines of under MIN_TOKENS tokens are never dropped; a null
+Defined results: null text is empty; lines without a token are never dropped; a null
 doc_id sorts after all others; rows that share a doc_id are one document, so repeated rows keep the
 same lines; a document that loses all lines has an empty text; an empty table gives no rows.
 """
@@ -33,7 +35,7 @@ BROADCAST_LINES = 4 << 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, line_no, toks, leaf) of all lines; d orders documents, leaf is 0 for lines with too few tokens.
+    """(d, line_no, toks, leaf) of all lines; d orders documents, leaf is 0 for lines without a token.
 
     Only lines with a digit go through the masking pattern, and only lines with unusual white space
     through the splitting pattern. leaf is never null and nothing is filtered here, so that no
@@ -42,11 +44,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(column(docs, "doc_id", "bigint"), F.lit((1 << 63) - 1))
     rows = docs.select(doc.alias("d"), F.posexplode(F.split(whole_text(docs), "\n")).alias("line_no", "line"))
     masked = F.regexp_replace("line", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", FIELD)
-    rows = rows.select("d", "line_no", F.when(F.col("line").rlike("[0-9]"), masked).otherwise(F.col("line")).alias("line"))
-    plain = ~F.col("line").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$")
-    rows = rows.select("d", "line_no", F.when(plain, F.split("line", " ")).otherwise(F.array_remove(F.split("line", r"[\x20\x09-\x0D]+"), "")).alias("toks"))
+    rows = rows.select("d", "line_no", F.col("line").alias("raw"), F.when(F.col("line").rlike("[0-9]"), masked).otherwise(F.col("line")).alias("line"))
+    plain = ~F.col("line").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$|^$")
+    split = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+"), "")
+    rows = rows.select("d", "line_no", "raw", F.when(plain, F.split("line", " ")).otherwise(split("line")).alias("toks"))
+    bare = (F.size("toks") < MIN_TOKENS) & (F.size(F.array_remove("toks", FIELD)) == 0)
+    rows = rows.select("d", "line_no", F.when(bare, split("raw")).otherwise(F.col("toks")).alias("toks"))
     leaf = F.xxhash64(F.size("toks"), *[F.get("toks", F.lit(i)) for i in range(DEPTH)])
-    return rows.select("d", "line_no", "toks", F.when(F.size("toks") >= MIN_TOKENS, leaf).otherwise(F.lit(0).cast("bigint")).alias("leaf"))
+    return rows.select("d", "line_no", "toks", F.when(F.size("toks") > 0, leaf).otherwise(F.lit(0).cast("bigint")).alias("leaf"))
 
 
 def _voted(tokens: DataFrame) -> DataFrame:

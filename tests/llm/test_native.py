@@ -138,3 +138,9 @@ def test_leaf_template_is_voted_by_position(spark):
     rows += [(100 + i, "notice from the board said nothing more than was needed") for i in range(3)]
     got = {r.doc_id: r.n_dropped for r in line_templates.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [i for i, n in sorted(got.items()) if not n] == [0, 100] and sum(got.values()) == 21
+
+
+def test_short_lines_recur_too(spark):
+    rows = [(i, f"All rights reserved.\n\n{i}\n2024\nこの文章は空白を含まない長い行です。\nown{chr(97 + i)} line") for i in range(3)]
+    got = {r.doc_id: (r.n_lines, r.text) for r in line_templates.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: (6, rows[0][1]), 1: (6, "\n1\nownb line"), 2: (6, "\n2\nownc line")}
