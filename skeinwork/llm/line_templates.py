@@ -9,12 +9,12 @@ left of it, so a short line recurs only as the same line.
 A template that occurs in two or more documents recurs: all of its lines are dropped but the first
 one (least doc_id, then line number), so that no content is lost altogether.
 
-A recurring template is told by its least and greatest doc_id, so a line with any number of copies
+A recurring template is told by its least and greatest document, so a line with any number of copies
 reaches the shuffle as one row a task.
 
 Defined results: null text is empty; lines without a token are never dropped; a null
-doc_id sorts after all others; rows that share a doc_id are one document, so repeated rows keep the
-same lines; a document that loses all lines has an empty text; an empty table gives no rows.
+doc_id sorts after all others; a document is a doc_id with a text, so repeated rows keep the same lines
+and rows that share only the doc_id, or have none, are documents of their own; a document that loses all lines has an empty text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,28 +30,28 @@ SIMILAR = 0.7
 FIELD = "<*>"
 #: Leaves (8 bytes each) that may be broadcast.
 BROADCAST_LEAVES = 1 << 20
-#: Dropped line numbers (4 bytes each, four more a document) that may be broadcast.
+#: Dropped line numbers (4 bytes each, six more a document) that may be broadcast.
 BROADCAST_LINES = 4 << 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, line_no, toks, leaf) of all lines; d orders documents, leaf is 0 for lines without a token.
+    """(d, h, line_no, toks, leaf) of all lines; d and the text's hash h order documents, leaf is 0 for lines without a token.
 
     Only lines with a digit go through the masking pattern, and only lines with unusual white space
     through the splitting pattern. leaf is never null and nothing is filtered here, so that no
     expression is pushed down and evaluated twice.
     """
     doc = F.coalesce(column(docs, "doc_id", "bigint"), F.lit((1 << 63) - 1))
-    rows = docs.select(doc.alias("d"), F.posexplode(F.split(whole_text(docs), "\n")).alias("line_no", "line"))
+    rows = docs.select(doc.alias("d"), F.xxhash64(whole_text(docs)).alias("h"), F.posexplode(F.split(whole_text(docs), "\n")).alias("line_no", "line"))
     masked = F.regexp_replace("line", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", FIELD)
-    rows = rows.select("d", "line_no", F.col("line").alias("raw"), F.when(F.col("line").rlike("[0-9]"), masked).otherwise(F.col("line")).alias("line"))
+    rows = rows.select("d", "h", "line_no", F.col("line").alias("raw"), F.when(F.col("line").rlike("[0-9]"), masked).otherwise(F.col("line")).alias("line"))
     plain = ~F.col("line").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$|^$")
     split = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+"), "")
-    rows = rows.select("d", "line_no", "raw", F.when(plain, F.split("line", " ")).otherwise(split("line")).alias("toks"))
+    rows = rows.select("d", "h", "line_no", "raw", F.when(plain, F.split("line", " ")).otherwise(split("line")).alias("toks"))
     bare = (F.size("toks") < MIN_TOKENS) & (F.size(F.array_remove("toks", FIELD)) == 0)
-    rows = rows.select("d", "line_no", F.when(bare, split("raw")).otherwise(F.col("toks")).alias("toks"))
+    rows = rows.select("d", "h", "line_no", F.when(bare, split("raw")).otherwise(F.col("toks")).alias("toks"))
     leaf = F.xxhash64(F.size("toks"), *[F.get("toks", F.lit(i)) for i in range(DEPTH)])
-    return rows.select("d", "line_no", "toks", F.when(F.size("toks") > 0, leaf).otherwise(F.lit(0).cast("bigint")).alias("leaf"))
+    return rows.select("d", "h", "line_no", "toks", F.when(F.size("toks") > 0, leaf).otherwise(F.lit(0).cast("bigint")).alias("leaf"))
 
 
 def _voted(tokens: DataFrame) -> DataFrame:
@@ -64,11 +64,11 @@ def _voted(tokens: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(d, line_no) of every line to drop."""
-    lines = materialise(_lines(docs).select("d", "line_no", "leaf", F.xxhash64("toks").alias("variant")), "lines").where("leaf <> 0")
-    at = F.struct("d", "line_no")
-    variants = materialise(lines.groupBy("leaf", "variant").agg(F.min(at).alias("first"), F.max("d").alias("last"), F.count("*").alias("w")), "variants")
-    forks = variants.groupBy("leaf").agg(F.count("*").alias("n"), F.min("first.d").alias("a"), F.max("last").alias("b")).where("n > 1 and a <> b").select(F.col("leaf").alias("f"))
+    """(d, h, line_no) of every line to drop."""
+    lines = materialise(_lines(docs).select("d", "h", "line_no", "leaf", F.xxhash64("toks").alias("variant")), "lines").where("leaf <> 0")
+    at = F.struct("d", "h", "line_no")
+    variants = materialise(lines.groupBy("leaf", "variant").agg(F.min(at).alias("first"), F.max(F.struct("d", "h")).alias("last"), F.count("*").alias("w")), "variants")
+    forks = variants.groupBy("leaf").agg(F.count("*").alias("n"), F.min(F.struct("first.d", "first.h")).alias("a"), F.max("last").alias("b")).where("n > 1 and a <> b").select(F.col("leaf").alias("f"))
     forks = materialise(forks, "forks")
     side = F.broadcast(forks) if forks.count() <= BROADCAST_LEAVES else forks
     again = _lines(docs).join(side, F.col("leaf") == F.col("f"), "left_semi")
@@ -81,11 +81,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     general = materialise(general, "general")
     named = variants.join(general, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v")), "left")
     named = materialise(named.select("leaf", "variant", "first", "last", F.when(F.col("v").isNull(), F.col("variant")).alias("own")), "named")
-    recurring = named.groupBy(F.col("leaf").alias("l"), F.col("own").alias("o")).agg(F.min("first").alias("start"), F.max("last").alias("end")).where("start.d <> end")
+    recurring = named.groupBy(F.col("leaf").alias("l"), F.col("own").alias("o")).agg(F.min("first").alias("start"), F.max("last").alias("end")).where(F.struct("start.d", "start.h") != F.col("end"))
     recurring = materialise(recurring, "recurring")
     gone = named.join(recurring, (F.col("leaf") == F.col("l")) & F.col("own").eqNullSafe(F.col("o"))).select(F.col("leaf").alias("l"), F.col("variant").alias("v"), "start")
     gone = materialise(gone, "gone")
-    return lines.join(gone, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v"))).where(at != F.col("start")).select("d", "line_no").distinct()
+    return lines.join(gone, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v"))).where(at != F.col("start")).select("d", "h", "line_no").distinct()
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -94,12 +94,12 @@ def clean(docs: DataFrame) -> DataFrame:
     Only documents that lose a line are joined to what they lose; a document's lost line numbers are
     one array, no longer than the document.
     """
-    d, lost = fresh(docs, "d"), fresh(docs, "lost")
-    gone = materialise(dropped_lines(docs).groupBy("d").agg(F.collect_list("line_no").alias(lost)), "lost").withColumnRenamed("d", d)
-    n_lost = gone.agg(F.sum(F.size(lost) + 4)).first()[0] or 0
+    d, h, lost = fresh(docs, "d"), fresh(docs, "h"), fresh(docs, "lost")
+    gone = materialise(dropped_lines(docs).groupBy("d", "h").agg(F.collect_list("line_no").alias(lost)), "lost").withColumnsRenamed({"d": d, "h": h})
+    n_lost = gone.agg(F.sum(F.size(lost) + 6)).first()[0] or 0
     doc = F.coalesce(column(docs, "doc_id", "bigint"), F.lit((1 << 63) - 1))
     # one way or the other by the size counted, not by an estimate from compressed files
-    out = docs.join(F.broadcast(gone) if n_lost <= BROADCAST_LINES else gone.hint("merge"), doc == F.col(d), "left")
+    out = docs.join(F.broadcast(gone) if n_lost <= BROADCAST_LINES else gone.hint("merge"), (doc == F.col(d)) & (F.xxhash64(whole_text(docs)) == F.col(h)), "left")
     parts = F.split(whole_text(docs), "\n")
     # as (line number, line) pairs without the lost numbers: set operations on hashes, linear in the document
     keep = F.array_except(F.sequence(F.lit(0), F.size("__sk_parts") - 1), lost)

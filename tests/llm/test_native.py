@@ -144,3 +144,12 @@ def test_short_lines_recur_too(spark):
     rows = [(i, f"All rights reserved.\n\n{i}\n2024\nこの文章は空白を含まない長い行です。\nown{chr(97 + i)} line") for i in range(3)]
     got = {r.doc_id: (r.n_lines, r.text) for r in line_templates.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {0: (6, rows[0][1]), 1: (6, "\n1\nownb line"), 2: (6, "\n2\nownc line")}
+
+
+def test_lines_are_dropped_by_row(spark):
+    shared = "the same line stands in here"
+    rows = [(1, f"{shared}\nred apples grow on this tree"), (None, f"blue boats sail over that lake\n{shared}"), (None, f"{shared}\ngreen hills lie behind our house")]
+    rows += [(2, "only in rows of one id\nfirst text is about old ships"), (2, "second text is about new trains\nonly in rows of one id")]
+    got = sorted(r.text for r in line_templates.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    text = "\n".join(got)
+    assert all(text.count(x) == 1 for _, t in rows for x in t.split("\n")) and len(text.split("\n")) == 7 and rows[0][1] in got
