@@ -1,11 +1,13 @@
-"""Exact Jaccard join of word n-gram sets, reported as classes of linked documents.
+"""Jaccard join of word n-gram sets, reported as classes of linked documents.
 
 Set-relation skipping, in two forms. Index level: a document is indexed under the window of its
-least shingle hashes, lists keep each entry's position, and whole blocks of a list whose sizes or
-positions can't reach the threshold are skipped. Answer level: sets that are equal share one entry;
-the members of a long list are first checked against a leader of the list only, and whoever is as
-similar as that shares the leader's answers, so a list is searched again only across the classes
-that are still apart.
+least shingle hashes, and lists keep each entry's size and position. A short list is sorted by
+position, and an entry meets only the part of it that sizes and positions leave open; a group of
+documents from long lists is cut into blocks by size, and pairs of blocks whose sizes can't reach the
+threshold are skipped whole. Answer level: sets that are equal share one entry; the members of a
+long list are first checked against two leaders of the list only, and whoever is as similar as that
+shares the leader's answers, so a list is searched again only across the classes that are still
+apart, where a set's intersections follow from its leader's and the differences from it.
 
 Why no link is lost. Let p(n) = n - ceil(t n) + 1, a window hold the w(n) = min(n, 2 p(n)) least
 hashes, and need(n) = w(n) - p(n) + 1. Two linked sets share at least min(need(x), need(y)) hashes of
@@ -15,13 +17,18 @@ need. A pair that shares no short list must share that many long ones, so both d
 the few that are in need(ceil(t n)) long lists. These are indexed a second time by the classic prefix
 filter over whole sets, rarest shingle first, whose lists are only long where documents are alike.
 
+A hot shingle or leader is one row in an aggregate; the joins that carry its entries are sort-merge
+joins, whose hot partitions adaptive execution splits.
+
 Defined results: without words or text a document has no shingles, links with nothing and is its
 own component; so is one with a null doc_id (its component_id is null); rows that share a doc_id
-count as one document in links; repeated rows each get a row; an empty table gives no rows.
+count as one document in links, each text searched by itself; repeated rows each get a row; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,17 +39,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, fresh, materialise, whole_text
-from .components import components
+from .components import components, joined
 
 CACHE_WORDS = 400_000
 #: Ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 500_000
-#: Rows of one leader in one task.
-SALT_ROWS = 100
-#: Turns of leaders before classes that are still apart are searched in blocks.
-TURNS = 2
-#: Hashes in a block (8 bytes each), and columns of a step of a block's product.
-BLOCK_HASHES, CHUNK = 120_000, 2048
+#: Leaders of a long list before classes that are still apart are searched in blocks.
+LEADERS = 2
+#: Hashes (8 bytes each) and documents in a block, and columns of a step of a block's product.
+BLOCK_HASHES, BLOCK_ROWS, CHUNK = 120_000, 1000, 2048
 
 
 class WordHashes(dict):
@@ -135,16 +140,29 @@ class NgramJaccardJoin:
         return rows.mapInArrow(run, "doc_id bigint, n int, fp binary, win array<bigint>")
 
     def whole_sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
-        """(id, arr) for the documents in ``ids``: all of their shingle hashes."""
+        """(id, crowd, n, arr) for the documents in ``ids`` (id, crowd): all of their shingle hashes.
+
+        A task passes on a repeated row once.
+        """
         join = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
+            hashes, seen = WordHashes(), set()
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(t.as_py(), join.k, hashes) for t in batch.column(1)])], ["id", "arr"])
-
-        rows = docs.select(column(docs, "doc_id", "bigint").alias("id"), whole_text(docs).cast("binary").alias("text"))
-        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").mapInArrow(run, "id bigint, arr array<bigint>")
+                rows, found = [], []
+                for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                    s = shingle_hashes(text.as_py(), join.k, hashes)
+                    if (mark := (key, xxhash.xxh3_64_intdigest(s.tobytes()))) not in seen:
+                        seen.add(mark)
+                        rows.append(i)
+                        found.append(s)
+                pick = pa.array(rows, pa.int64())
+                sizes = pa.array([len(s) for s in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), sizes, _lists(found)], ["id", "crowd", "n", "arr"])
+
+        rows = docs.select(column(docs, "doc_id", "bigint").alias("d"), whole_text(docs).cast("binary").alias("text"))
+        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return rows.join(side, F.col("d") == F.col("id")).select("id", "crowd", "text").mapInArrow(run, "id bigint, crowd boolean, n int, arr array<bigint>")
 
     # -- candidates ---------------------------------------------------------------------------
 
@@ -158,101 +176,103 @@ class NgramJaccardJoin:
     def _sizes(self, x: Column, y: Column) -> Column:
         return F.least(x, y) * self.den >= F.greatest(x, y) * self.num
 
-    def _reach(self, x: str, y: str) -> Column:
+    def _reach(self, x: Column, y: Column) -> Column:
         """Sizes and positions of the two entries leave room for a link."""
-        xn, yn, xp, yp = F.col(x + "n"), F.col(y + "n"), F.col(x + "pos"), F.col(y + "pos")
-        most = F.least(xp, yp) + F.least(xn - xp, yn - yp)
-        return self._sizes(xn, yn) & (most * (self.den + self.num) >= self.num * (xn + yn))
+        most = F.least(x["pos"], y["pos"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"])
+        return self._sizes(x["n"], y["n"]) & (most * (self.den + self.num) >= self.num * (x["n"] + y["n"]))
+
+    @staticmethod
+    def _shared(entries: DataFrame) -> DataFrame:
+        """``entries`` of lists with two or more of them, with the list's length m."""
+        counts = entries.groupBy("tok").agg(F.count("*").alias("m")).where("m >= 2").withColumnRenamed("tok", "t")
+        return entries.join(counts, F.col("tok") == F.col("t")).drop("t")
 
     def window_entries(self, sets: DataFrame) -> DataFrame:
         """(tok, id, n, pos, long) of the window entries that share their list."""
-        entry = sets.select(F.col("doc_id").alias("id"), "n", F.posexplode("win").alias("pos", "tok"))
-        counted = entry.withColumn("m", F.count("*").over(Window.partitionBy("tok"))).where("m >= 2")
-        return counted.select("tok", "id", "n", "pos", (F.col("m") > self.long_list).alias("long"))
+        entry = sets.select("id", "n", F.posexplode("win").alias("pos", "tok"))
+        return self._shared(entry).select("tok", "id", "n", "pos", (F.col("m") > self.long_list).alias("long"))
 
     def short_pairs(self, entries: DataFrame, in_long: DataFrame) -> DataFrame:
         """(a, b): pairs of short lists that share enough of them. in_long: (d, h), long lists a document is in."""
         # a short list has at most long_list entries, so it fits one row
-        lists = entries.where("not long").groupBy("tok").agg(F.collect_list(F.struct("id", "n", "pos")).alias("l")).where(F.size("l") > 1)
-        x = lists.select("l", F.explode("l").alias("x")).select(F.explode("l").alias("y"), "x").where("x.id > y.id")
-        x = x.select(*[F.col(f"{s}.{c}").alias(s + c) for s in "xy" for c in ("id", "n", "pos")]).where(self._reach("x", "y"))
-        met = x.groupBy("xid", "yid", "xn", "yn").agg(F.count("*").alias("c"))
+        lists = entries.where("not long").groupBy("tok").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "n"))).alias("l"))
+        x = lists.select("l", F.posexplode("l").alias("i", "x"))
+        open_ = F.filter(F.slice("l", F.col("i") + 2, F.size("l")), lambda y: self._reach(F.col("x"), y) & (y["id"] != F.col("x.id")))
+        x = x.select("x", F.explode(open_).alias("y"))
+        first = F.col("x.id") > F.col("y.id")
+        side = lambda c, up: F.when(first, F.col(f"{'x' if up else 'y'}.{c}")).otherwise(F.col(f"{'y' if up else 'x'}.{c}"))
+        met = x.select(side("id", True).alias("xid"), side("id", False).alias("yid"), side("n", True).alias("xn"), side("n", False).alias("yn")).groupBy("xid", "yid", "xn", "yn").agg(F.count("*").alias("c"))
         hx, hy = in_long.select(F.col("d").alias("xd"), F.col("h").alias("xh")), in_long.select(F.col("d").alias("yd"), F.col("h").alias("yh"))
         met = met.join(hx, F.col("xid") == F.col("xd"), "left").join(hy, F.col("yid") == F.col("yd"), "left")
         both = F.least(F.coalesce("xh", F.lit(0)), F.coalesce("yh", F.lit(0)))
         return met.where(F.col("c") + both >= F.least(self._need(F.col("xn")), self._need(F.col("yn")))).select(F.col("xid").alias("a"), F.col("yid").alias("b"))
 
     def prefix_entries(self, whole: DataFrame) -> DataFrame:
-        """(tok, id, n, pos) of the documents in ``whole`` (id, n, arr): prefixes of whole sets, rarest
-        shingle first."""
+        """(tok, id, n) of the documents in ``whole`` (id, n, arr): prefixes of whole sets, rarest shingle first."""
         entry = whole.select("id", "n", F.explode("arr").alias("tok"))
-        counted = materialise(entry.withColumn("m", F.count("*").over(Window.partitionBy("tok"))), "counted")
-        ranked = counted.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("m", "tok")) - 1)
-        return ranked.where((F.col("pos") <= F.col("n") - self._least(F.col("n"))) & (F.col("m") > 1)).select("tok", "id", "n", "pos")
-
-    def stars(self, entries: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-        """(a, b): each entry with its list's leader of this turn, where their classes are apart.
-
-        Lists of the same documents tend to have the same four leaders, so that few different pairs
-        come out.
+        counts = entry.groupBy("tok").agg(F.count("*").alias("m")).withColumnRenamed("tok", "t")
+        # n tells two texts of one id apart; two of one size only make the prefix of both too long
+        ranked = entry.join(counts, F.col("tok") == F.col("t")).withColumn("pos", F.row_number().over(Window.partitionBy("id", "n").orderBy("m", "tok")) - 1)
+        texts = whole.groupBy(F.col("id").alias("i"), F.col("n").alias("k")).agg(F.count("*").cast("int").alias("texts")).where("texts > 1")
+        ranked = ranked.join(texts, (F.col("id") == F.col("i")) & (F.col("n") == F.col("k")), "left")
+        longest = (F.col("n") - self._least(F.col("n"))) + F.coalesce(F.col("texts") - 1, F.lit(0)) * F.col("n")
+        return ranked.where((F.col("pos") <= longest) & (F.col("m") > 1)).select("tok", "id", "n").distinct()
+
+    def stars(self, entries: DataFrame) -> DataFrame:
+        """(a, b): each entry with the LEADERS leaders of its list.
+
+        Lists of the same documents tend to have the same leaders, so that few different pairs come out.
         """
-        named = entries.join(labels.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left").select("tok", "id", "n", F.coalesce("component", "id").alias("c"))
-        named = materialise(named, "turn")
-        which = F.struct(F.xxhash64("id", F.pmod("tok", F.lit(4)), F.lit(turn)).alias("w"), F.col("id").alias("yid"), F.col("n").alias("yn"), F.col("c").alias("yc"))
-        leaders = materialise(named.groupBy("tok").agg(F.min(which).alias("l")).select(F.col("tok").alias("t"), "l.yid", "l.yn", "l.yc"), "leaders")
-        met = named.join(leaders, F.col("tok") == F.col("t")).where(F.col("c") != F.col("yc")).where(self._sizes(F.col("n"), F.col("yn")))
-        return met.select(F.greatest("id", "yid").alias("a"), F.least("id", "yid").alias("b")).distinct()
-
-    def crowd_links(self, docs: DataFrame, crowded: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
-        """Links that join classes among the ``crowded`` documents.
-
-        Turns of leaders first, as long as they still join classes; what is apart then is searched
-        in blocks.
-        """
-        whole = materialise(self.whole_sets(docs, crowded).withColumn("n", F.size("arr")), "crowd")
-        entries = materialise(self.prefix_entries(whole), "prefixes")
-        labels, tried, found = materialise(components(links), "labels"), pairs, None
-        for turn in range(TURNS):
-            stars = materialise(self.stars(entries, labels, turn).join(tried, ["a", "b"], "left_anti"), "stars")
-            new = materialise(self.check(stars, whole, True).distinct(), "starred")
-            found = new if found is None else found.unionByName(new)
-            n = new.count()
-            if not n:
-                break
-            tried = tried.unionByName(stars)
-            labels = materialise(components(links.unionByName(found)), "labels")
-        crossed = materialise(self.across(entries, labels, whole).distinct(), "crossed")
-        return found.unionByName(crossed)
+        which = [F.min(F.struct(F.xxhash64("id", F.pmod("tok", F.lit(4)), F.lit(turn)).alias("w"), F.col("id").alias("yid"), F.col("n").alias("yn"))) for turn in range(LEADERS)]
+        leaders = entries.groupBy(F.col("tok").alias("t")).agg(F.array(*which).alias("ls"))
+        met = entries.join(leaders, F.col("tok") == F.col("t")).select("id", "n", F.explode(F.array_distinct("ls")).alias("l"))
+        met = met.where((F.col("id") != F.col("l.yid")) & self._sizes(F.col("n"), F.col("l.yn")))
+        return met.select(F.greatest("id", "l.yid").alias("a"), F.least("id", "l.yid").alias("b"))
 
     def across(self, entries: DataFrame, labels: DataFrame, whole: DataFrame) -> DataFrame:
         """(a, b): links between classes that still meet in a list.
 
-        The documents of lists with the same leader form a group, which is dealt to blocks of at most
-        about BLOCK_HASHES hashes; a task gets two blocks and the leader. Every set is turned into its
-        difference from the leader, and the intersection of two sets follows from their intersections
-        with the leader and what their differences share, which are short. One link for each two
-        classes of a task comes out.
+        The documents of lists with the same leader form a group. It is cut by size, so that linked sets
+        lie in the same or in neighbouring cuts, and each cut is dealt to blocks of at most about
+        BLOCK_HASHES hashes and BLOCK_ROWS documents. A task gets two blocks and the leader. Every set is
+        turned into its difference from the leader, and the intersection of two sets follows from their
+        intersections with the leader and what their differences share, which are short. One link for
+        each two classes of a task comes out.
         """
         num, den = self.num, self.den
-        named = entries.join(labels.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left")
-        named = materialise(named.select("tok", "id", "n", F.coalesce("component", "id").alias("c")), "named")
+        named = entries.join(labels.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left").select("tok", "id", "n", F.coalesce("component", "id").alias("c"))
+        named = materialise(named, "named")
         first = F.struct(F.xxhash64("id").alias("w"), "id").alias("s")
         apart = named.groupBy("tok").agg(F.min(first).alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        apart = materialise(apart.select(F.col("tok").alias("t"), F.col("s.id").alias("g")), "apart")
-        members = materialise(named.join(apart, F.col("tok") == F.col("t")).select("g", "id", "n", "c").distinct(), "members")
-        blocks = materialise(members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("k")).withColumnRenamed("g", "gg"), "blocks")
-        own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-        others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-        dealt = members.join(blocks, F.col("g") == F.col("gg")).select("g", "id", "c", F.explode(others).alias("at"), F.lit(False).alias("lead"))
-        pairs = dealt.select("g", "at").distinct().select("g", F.col("g").alias("id"), F.col("g").alias("c"), "at", F.lit(True).alias("lead"))
-        dealt = materialise(dealt.unionByName(pairs).select("g", "id", "c", "at.i", "at.j", "lead"), "dealt").withColumnRenamed("id", "m")
-        rows = dealt.join(whole, F.col("m") == F.col("id")).select("g", "i", "j", "id", "c", "lead", "arr")
+        apart = apart.select(F.col("tok").alias("t"), F.col("s.id").alias("g"))
+        cut = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int") if num < den else F.col("n")
+        members = named.join(apart, F.col("tok") == F.col("t")).select("g", "id", "n", "c", cut.alias("s")).distinct()
+        members = materialise(members, "members")
+        # a group has few cuts, as many as its sizes have powers of 1 / t between them
+        blocks = members.groupBy("g", "s").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_HASHES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("k"))
+        blocks = blocks.groupBy(F.col("g").alias("gg")).agg(F.map_from_entries(F.collect_list(F.struct("s", "k"))).alias("ks"))
+        dealt = members.join(blocks, F.col("g") == F.col("gg")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("ks")[F.col("s")]).cast("int"))
+        at = lambda s, r, t, o, low: F.struct(s.alias("s"), r.cast("int").alias("r"), t.alias("t"), o.cast("int").alias("o"), F.lit(low).alias("low"))
+        s, own = F.col("s"), F.col("own")
+        numbers = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+        level = F.transform(numbers(F.col("ks")[s]), lambda o: F.when(o >= own, at(s, own, s, o, True)).otherwise(at(s, o, s, own, False)))
+        above = F.transform(numbers(F.col("ks")[s + 1]), lambda o: at(s, own, s + 1, o, True))
+        below = F.transform(numbers(F.col("ks")[s - 1]), lambda o: at(s - 1, o, s, own, False))
+        dealt = dealt.select("g", "id", "c", F.explode(F.concat(level, above, below)).alias("at")).select("g", "id", "c", "at.*", F.lit(False).alias("lead"))
+        # a task's two blocks are there only where it has two classes
+        tasks = dealt.groupBy("g", "s", "r", "t", "o").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").drop("c1", "c2")
+        dealt = materialise(dealt, "dealt")
+        tasks = materialise(tasks, "tasks")
+        leads = tasks.select("g", F.col("g").alias("id"), F.col("g").alias("c"), "s", "r", "t", "o", F.lit(True).alias("low"), F.lit(True).alias("lead"))
+        rows = dealt.join(tasks, ["g", "s", "r", "t", "o"], "left_semi").select(*leads.columns).unionByName(leads).withColumnRenamed("id", "m")
+        rows = rows.join(whole, F.col("m") == F.col("id")).select("g", "s", "r", "t", "o", "id", "c", "low", "lead", "arr")
 
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("lead", "descending"), ("id", "ascending")]).combine_chunks()
+            table = table.sort_by([("lead", "descending"), ("low", "descending"), ("id", "ascending")]).combine_chunks()
             arrays = _array(table.to_batches()[0], "arr")
             lead, arrays = arrays[0], arrays[1:]
             ids, label = table.column("id").to_numpy()[1:], table.column("c").to_numpy()[1:]
+            low = table.column("low").to_numpy(zero_copy_only=False)[1:]
             size = np.array([len(x) for x in arrays])
             apart = [np.setxor1d(x, lead, assume_unique=True) for x in arrays]
             shared = (size + len(lead) - np.array([len(x) for x in apart])) // 2  # with the leader
@@ -261,99 +281,91 @@ class NgramJaccardJoin:
             keep = count[at] > 1
             column = np.cumsum(count > 1)[at] - 1
             row = np.repeat(np.arange(len(apart)), [len(x) for x in apart])
+            # one block with itself, or the lower with the upper one
+            up = int(low.sum())
+            x, y = (slice(0, len(ids)), slice(0, len(ids))) if low.all() else (slice(0, up), slice(up, len(ids)))
             seen: set[tuple[int, int]] = set()
             out: list[tuple[int, int]] = []
-            common = np.zeros((len(ids), len(ids)), np.float32)
+            common = np.zeros((len(ids[x]), len(ids[y])), np.float32)
             width = int((count > 1).sum())
             for lo in range(0, width, CHUNK):  # a bounded number of columns at a time
                 pick = keep & (column >= lo) & (column < lo + CHUNK)
                 part = np.zeros((len(ids), min(CHUNK, width - lo)), np.float32)
                 part[row[pick], column[pick] - lo] = 1
-                common += part @ part.T
+                common += part[x] @ part[y].T
             # |x & y| = |x & L| + |y & L| - |L| + |common differences|, as a hash in both differences
             # is either missing from both (and in L) or in both (and not in L)
-            inter = shared[:, None] + shared[None, :] - len(lead) + common
-            linked = (den * inter >= num * (size[:, None] + size[None, :] - inter)) & (label[:, None] != label[None, :])
-            for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-                key = (min(label[x], label[y]), max(label[x], label[y]))
-                if key not in seen:
+            inter = shared[x][:, None] + shared[y][None, :] - len(lead) + common
+            linked = (den * inter >= num * (size[x][:, None] + size[y][None, :] - inter)) & (label[x][:, None] != label[y][None, :])
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                j = j + y.start
+                key = (min(label[i], label[j]), max(label[i], label[j]))
+                if key not in seen and ids[i] != ids[j]:
                     seen.add(key)
-                    out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
             return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-        return rows.groupBy("g", "i", "j").applyInArrow(run, "a bigint, b bigint")
+        return rows.groupBy("g", "s", "r", "t", "o").applyInArrow(run, "a bigint, b bigint")
 
     # -- verification -------------------------------------------------------------------------
 
-    def check(self, pairs: DataFrame, arrays: DataFrame, whole: bool) -> DataFrame:
-        """The (a, b) of ``pairs`` that pass. arrays: (id, n, arr).
+    def check(self, pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` that are linked. arrays: (id, n, arr).
 
-        Each pair ships one array: a partition reads a leader's array, then its followers'. A leader
-        with many followers is dealt to several partitions, SALT_ROWS of them to each.
+        The array of b, of which a leader has many pairs, is joined first, so that the pairs are then dealt by a.
         """
         num, den = self.num, self.den
 
-        def passes(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
-            if whole:
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                return den * common >= num * (nx + ny - common)
-            # below the lesser of the two windows' ends, all elements of both are known
-            end = min(x[-1] if len(x) < nx else np.uint64(2**64 - 1), y[-1] if len(y) < ny else np.uint64(2**64 - 1))
-            i, j = np.searchsorted(x, end, "right"), np.searchsorted(y, end, "right")
-            apart = int(i) + int(j) - 2 * len(np.intersect1d(x[:i], y[:j], assume_unique=True))
-            # intersection >= num / (num + den) * (nx + ny), so at most this many elements differ
-            return apart * (num + den) <= (den - num) * (nx + ny)
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leader, lead, lead_n = None, None, 0
             for batch in batches:
-                a, b, n = batch.column("a"), batch.column("b"), batch.column("n")
                 keep = []
-                for i, arr in enumerate(_array(batch, "arr")):
-                    if not a[i].is_valid:
-                        leader, lead, lead_n = b[i].as_py(), arr.copy(), n[i].as_py()
-                    elif leader == b[i].as_py() and passes(lead, lead_n, arr, n[i].as_py()):
+                for i, (x, y) in enumerate(zip(_array(batch, "x"), _array(batch, "y"), strict=True)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * common >= num * (len(x) + len(y) - common):
                         keep.append(i)
                 if keep:
-                    yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep))], ["a", "b"])
-
-        counts = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), "counts")
-        salted = pairs.join(counts.withColumnRenamed("b", "bb"), F.col("b") == F.col("bb")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-        salted = materialise(salted, "salted")
-        followers = salted.join(arrays, F.col("a") == F.col("id")).select("a", "b", "salt", "n", "arr")
-        leaders = counts.join(arrays, F.col("b") == F.col("id")).select(F.lit(None).cast("bigint").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "n", "arr")
-        dealt = leaders.unionByName(followers).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-        return dealt.select("a", "b", "n", "arr").mapInArrow(run, "a bigint, b bigint")
-
-    def verified(self, docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-        wins = sets.select(F.col("doc_id").alias("id"), "n", F.col("win").alias("arr"))
-        near = materialise(self.check(pairs, wins, False), "near")
-        ids = materialise(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "ids")
-        whole = self.whole_sets(docs, ids).withColumn("n", F.size("arr"))
-        return materialise(self.check(near, whole, True).distinct(), "links")
+                    pick = pa.array(keep)
+                    yield pa.RecordBatch.from_arrays([batch.column("a").take(pick), batch.column("b").take(pick)], ["a", "b"])
+
+        side = lambda name: arrays.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), F.col("arr").alias(name))
+        met = pairs.join(side("y"), F.col("b") == F.col("y_id")).select("a", "b", "y", "y_n")
+        met = met.join(side("x"), F.col("a") == F.col("x_id")).where(self._sizes(F.col("x_n"), F.col("y_n"))).select("a", "b", "x", "y")
+        return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
     # -- results ------------------------------------------------------------------------------
 
+    def shared_ids(self, live: DataFrame, reps: DataFrame) -> DataFrame:
+        """(a, b): links from a doc_id with several texts to what stands for each of them."""
+        ids = live.groupBy(F.col("doc_id").alias("d")).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("d")
+        ids = materialise(ids, "shared_ids")
+        texts = live.join(ids, F.col("doc_id") == F.col("d"), "left_semi").select("doc_id", F.col("fp").alias("f"))
+        return texts.join(reps, F.col("fp") == F.col("f")).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
     def classes(self, docs: DataFrame) -> DataFrame:
         """One row a document: doc_id, n_shingles, component_id."""
         sets = materialise(self.sets(docs), "sets")
         live = sets.where("n > 0 and doc_id is not null")
-        equal = materialise(live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal")
-        copies = materialise(
-            live.select("doc_id", "fp").join(equal.where("copies > 1").select(F.col("fp").alias("f"), "rep"), F.col("fp") == F.col("f")).where("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep"), "copies"
-        )
-        drop = copies.select("id").distinct()
-        reps = live.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, F.col("doc_id") == F.col("id"), "left_anti")
+        reps = materialise(live.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("win").alias("win"), F.count("*").alias("copies")), "reps")
         entries = materialise(self.window_entries(reps), "entries")
         in_long = materialise(entries.where("long").groupBy(F.col("id").alias("d"), "n").agg(F.count("*").alias("h")), "in_long")
         pairs = materialise(self.short_pairs(entries, in_long), "pairs")
-        links = self.verified(docs, reps, pairs)
-
-        crowded = materialise(in_long.where(F.col("h") >= self._need(self._least(F.col("n")))).select(F.col("d").alias("id")), "crowded")
-        links = links.unionByName(self.crowd_links(docs, crowded, pairs, links))
-        same = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        labels = materialise(components(links.unionByName(same)), "labels").withColumnRenamed("id", "i")
-        out = sets.select("doc_id", F.col("n").cast("bigint").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("i"), "left")
+        crowded = in_long.where(F.col("h") >= self._need(self._least(F.col("n")))).select(F.col("d").alias("id"), F.lit(True).alias("crowd"))
+        paired = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("crowd"))
+        ids = materialise(crowded.unionByName(paired).groupBy("id").agg(F.bool_or("crowd").alias("crowd")), "ids")
+
+        whole = materialise(self.whole_sets(docs, ids), "whole")
+        prefixes = materialise(self.prefix_entries(whole.where("crowd")), "prefixes")
+        tried = materialise(pairs.unionByName(self.stars(prefixes)).distinct(), "tried")
+        links = materialise(self.check(tried, whole).unionByName(self.shared_ids(live, reps)), "links")
+        labels = materialise(components(links), "labels")
+        # what is linked across classes joins whole classes, so only their labels are worked on again
+        crossed = materialise(self.across(prefixes, labels, whole), "crossed")
+        labels = materialise(joined(labels, crossed), "joined")
+
+        reps = reps.join(labels.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").where("copies > 1 or component is not null")
+        reps = reps.select(F.col("fp").alias("f"), F.coalesce("component", "id").alias("component"))
+        out = sets.select("doc_id", "fp", F.col("n").cast("bigint").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("key"))
+        out = out.join(reps, F.col("key") == F.col("f"), "left")
         return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
     def keep_one(self, docs: DataFrame) -> DataFrame:

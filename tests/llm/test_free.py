@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from skeinwork.llm import html_extract, lm_scoring, packing, toxicity, warc
+from skeinwork.llm import html_extract, lm_scoring, ngram_join, packing, toxicity, warc
 from skeinwork.llm.ngram_join import NgramJaccardJoin
 from skeinwork.llm.queries import TOKENIZER
 
@@ -57,6 +57,33 @@ def test_join_matches_brute_force(spark, k, num, long_list):
     assert got == brute_components(rows, k, num, 100)
 
 
+def test_join_in_small_blocks_matches_brute_force(spark, monkeypatch):
+    """Chains of documents that share most shingles: classes that leaders don't join are found in blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
+    rng, rows = random.Random(8), []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(90):
+        words = base[: rng.randrange(40, 60)]
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for num in (60, 85):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in NgramJaccardJoin(3, num, 100, 2).classes(docs).collect()}
+        assert got == brute_components(rows, 3, num, 100)
+
+
+def test_join_searches_each_text_of_an_id(spark):
+    near = lambda i: " ".join([*(f"a{j}" for j in range(60)), f"z{i}"])
+    other = lambda i: " ".join([*(f"b{j}" for j in range(60)), f"y{i}"])
+    rows = [(5, other(0), 1), (9, near(0), 1), (9, other(0), 1), (11, near(1), 1), (20, "own words stand here", 1), (30, "q " * 300_000, 1), (31, "q " * 200_000, 1)]
+    docs = spark.createDataFrame([(i, t, n, "x") for i, t, n in rows], "doc_id bigint, text string, n int, component string")
+    got = sorted((r.doc_id, r.component_id) for r in NgramJaccardJoin().classes(docs).collect())
+    assert got == [(5, 5), (9, 5), (9, 5), (11, 5), (20, 20), (30, 30), (31, 30)]
+    kept = NgramJaccardJoin().keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [5, 20, 30]
+
+
 def test_join_edge_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")], "doc_id bigint, text string")
     got = [(r.doc_id, r.component_id) for r in NgramJaccardJoin().classes(docs).collect()]
