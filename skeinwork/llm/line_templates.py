@@ -1,11 +1,12 @@
 """Line deduplication by a tree of line templates, in DataFrame functions only.
 
 A line's tokens that hold a digit become the variable field <*>. The tree has a fixed depth: token
-count, then the first three tokens; lines that agree on these share a leaf. Per leaf and position the
-most frequent token makes up the leaf's template; a line that agrees with it in SIMILAR of its
-positions belongs to it, whatever stands in the others, and any other line is a template by itself.
-A line of under MIN_TOKENS tokens is a leaf by its own tokens, with its digits where nothing else is
-left of it, so a short line recurs only as the same line.
+count, then the first three tokens, then the last one; lines that agree on count and first tokens share
+a leaf. Per leaf and position the most frequent token makes up the leaf's template; a line that agrees
+with it in SIMILAR of its positions belongs to it, whatever stands in the others. Lines that are left
+over are dealt by their last token to leaves below, which vote again; what is left then is a template by
+itself. A line of under MIN_TOKENS tokens is a leaf by its own tokens, with its digits where nothing
+else is left of it, so a short line recurs only as the same line.
 A template that occurs in two or more documents recurs: all of its lines are dropped but the first
 one (least doc_id, then line number), so that no content is lost altogether.
 
@@ -14,7 +15,9 @@ reaches the shuffle as one row a task.
 
 Defined results: null text is empty; lines without a token are never dropped; a null
 doc_id sorts after all others; a document is a doc_id with a text, so repeated rows keep the same lines
-and rows that share only the doc_id, or have none, are documents of their own; a document that loses all lines has an empty text; an empty table gives no rows.
+and rows that share only the doc_id, or have none, are documents of their own; a document that loses
+all lines has an empty text; columns named n_lines or n_dropped are replaced, all others pass through;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +33,6 @@ SIMILAR = 0.7
 FIELD = "<*>"
 #: Leaves (8 bytes each) that may be broadcast.
 BROADCAST_LEAVES = 1 << 20
-#: Dropped line numbers (4 bytes each, six more a document) that may be broadcast.
-BROADCAST_LINES = 4 << 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -63,6 +64,14 @@ def _voted(tokens: DataFrame) -> DataFrame:
     return best.groupBy(F.col("leaf").alias("l")).agg(F.sort_array(F.collect_list(F.struct("pos", "m.tok"))).alias("x")).select("l", F.col("x.tok").alias("base"))
 
 
+def _general(tokens: DataFrame) -> DataFrame:
+    """The rows of ``tokens`` (leaf, variant, toks, w) that belong to their leaf's template."""
+    base = materialise(_voted(tokens), "base")
+    rest = F.slice("toks", F.lit(DEPTH + 1), F.size("toks"))
+    same = F.aggregate(F.zip_with(rest, "base", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(DEPTH), lambda s, x: s + x)
+    return tokens.join(base, F.col("leaf") == F.col("l")).where(same >= F.ceil(F.size("toks") * F.lit(SIMILAR) - 1e-9))
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(d, h, line_no) of every line to drop."""
     lines = materialise(_lines(docs).select("d", "h", "line_no", "leaf", F.xxhash64("toks").alias("variant")), "lines").where("leaf <> 0")
@@ -74,16 +83,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     again = _lines(docs).join(side, F.col("leaf") == F.col("f"), "left_semi")
     tokens = again.groupBy("leaf", F.xxhash64("toks").alias("variant")).agg(F.first("toks").alias("toks"), F.count("*").alias("w"))
     tokens = materialise(tokens, "tokens")
-    base = materialise(_voted(tokens), "base")
-    rest = F.slice("toks", F.lit(DEPTH + 1), F.size("toks"))
-    same = F.aggregate(F.zip_with(rest, "base", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(DEPTH), lambda s, x: s + x)
-    general = tokens.join(base, F.col("leaf") == F.col("l")).where(same >= F.ceil(F.size("toks") * F.lit(SIMILAR) - 1e-9)).select(F.col("leaf").alias("l"), F.col("variant").alias("v"))
-    general = materialise(general, "general")
+    level1 = materialise(_general(tokens).select("leaf", "variant"), "level1").withColumnsRenamed({"leaf": "l", "variant": "v"})
+    rest = tokens.join(level1, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v")), "left_anti")
+    rest = rest.select(F.col("leaf").alias("trunk"), F.xxhash64("leaf", F.element_at("toks", -1)).alias("leaf"), "variant", "toks", "w")
+    level2 = _general(materialise(rest, "rest")).select(F.col("trunk").alias("l"), F.col("variant").alias("v"), F.col("leaf").alias("own"))
+    general = materialise(level1.withColumn("own", F.lit(0).cast("bigint")).unionByName(level2), "general")
     named = variants.join(general, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v")), "left")
-    named = materialise(named.select("leaf", "variant", "first", "last", F.when(F.col("v").isNull(), F.col("variant")).alias("own")), "named")
+    named = materialise(named.select("leaf", "variant", "first", "last", F.coalesce("own", "variant").alias("own")), "named")
     recurring = named.groupBy(F.col("leaf").alias("l"), F.col("own").alias("o")).agg(F.min("first").alias("start"), F.max("last").alias("end")).where(F.struct("start.d", "start.h") != F.col("end"))
     recurring = materialise(recurring, "recurring")
-    gone = named.join(recurring, (F.col("leaf") == F.col("l")) & F.col("own").eqNullSafe(F.col("o"))).select(F.col("leaf").alias("l"), F.col("variant").alias("v"), "start")
+    gone = named.join(recurring, (F.col("leaf") == F.col("l")) & (F.col("own") == F.col("o"))).select(F.col("leaf").alias("l"), F.col("variant").alias("v"), "start")
     gone = materialise(gone, "gone")
     return lines.join(gone, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v"))).where(at != F.col("start")).select("d", "h", "line_no").distinct()
 
@@ -91,20 +100,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` without the dropped lines, and with n_lines and n_dropped.
 
-    Only documents that lose a line are joined to what they lose; a document's lost line numbers are
-    one array, no longer than the document.
+    The lost line numbers of a document are one array, no longer than the document; they meet its
+    text in a sort-merge join at any size, as they grow with the documents.
     """
-    d, h, lost = fresh(docs, "d"), fresh(docs, "h"), fresh(docs, "lost")
-    gone = materialise(dropped_lines(docs).groupBy("d", "h").agg(F.collect_list("line_no").alias(lost)), "lost").withColumnsRenamed({"d": d, "h": h})
-    n_lost = gone.agg(F.sum(F.size(lost) + 6)).first()[0] or 0
+    d, h, lost, parts = fresh(docs, "d"), fresh(docs, "h"), fresh(docs, "lost"), fresh(docs, "parts")
+    gone = dropped_lines(docs).groupBy("d", "h").agg(F.collect_list("line_no").alias(lost)).withColumnsRenamed({"d": d, "h": h})
     doc = F.coalesce(column(docs, "doc_id", "bigint"), F.lit((1 << 63) - 1))
-    # one way or the other by the size counted, not by an estimate from compressed files
-    out = docs.join(F.broadcast(gone) if n_lost <= BROADCAST_LINES else gone.hint("merge"), (doc == F.col(d)) & (F.xxhash64(whole_text(docs)) == F.col(h)), "left")
-    parts = F.split(whole_text(docs), "\n")
+    out = docs.join(gone.hint("merge"), (doc == F.col(d)) & (F.xxhash64(whole_text(docs)) == F.col(h)), "left")
     # as (line number, line) pairs without the lost numbers: set operations on hashes, linear in the document
-    keep = F.array_except(F.sequence(F.lit(0), F.size("__sk_parts") - 1), lost)
-    whole = out.withColumn("__sk_parts", parts)
-    kept = F.transform(keep, lambda i: F.get("__sk_parts", i))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost)
+    whole = out.withColumn(parts, F.split(whole_text(docs), "\n"))
+    kept = F.transform(keep, lambda i: F.get(parts, i))
     text = F.when(F.col(lost).isNull(), whole_text(docs)).otherwise(F.array_join(kept, "\n"))
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return whole.select(*names, text.alias("text"), F.size("__sk_parts").cast("bigint").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("bigint").alias("n_dropped"))
+    return whole.select(*names, text.alias("text"), F.size(parts).cast("bigint").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("bigint").alias("n_dropped"))

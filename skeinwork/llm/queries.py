@@ -87,18 +87,26 @@ FROM sets s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_
 """
 
 
-SQL["op9_line_dedup"] = r"""
-WITH lines AS (
-  SELECT doc_id, i - 1 AS line_no, list_transform(list_filter(regexp_split_to_array(parts[i], '[\x20\x09-\x0D]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS toks
+_VOTE = """{name}_spread AS (SELECT leaf, w, unnest(range(4, len(toks) + 1)) AS pos, unnest(toks[4:]) AS tok FROM {t}
+), {name}_best AS (SELECT leaf, pos, tok FROM {name}_spread GROUP BY leaf, pos, tok QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY sum(w) DESC, tok DESC) = 1
+), {name}_base AS (SELECT leaf, list(tok ORDER BY pos) AS base FROM {name}_best GROUP BY leaf
+), {name} AS (SELECT t.* FROM {t} t JOIN {name}_base b ON b.leaf = t.leaf WHERE 3 + len(list_filter(range(4, len(t.toks) + 1), lambda i: t.toks[i] = b.base[i - 3])) >= ceil(len(t.toks) * 0.7 - 1e-9)
+)"""
+SQL["op9_line_dedup"] = rf"""
+WITH split AS (
+  SELECT doc_id, i - 1 AS line_no, list_filter(regexp_split_to_array(parts[i], '[\x20\x09-\x0D]+'), lambda w: w <> '') AS raw
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
-), leaves AS (
-  SELECT *, concat(len(toks), ' ', toks[1], ' ', toks[2], ' ', toks[3]) AS leaf, array_to_string(toks, ' ') AS variant FROM lines WHERE len(toks) >= 4
+), masked AS (SELECT *, list_transform(raw, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS m FROM split
+), lines AS (SELECT doc_id, line_no, CASE WHEN len(m) < 4 AND len(list_filter(m, lambda w: w <> '<*>')) = 0 THEN raw ELSE m END AS toks FROM masked WHERE len(m) > 0
+), leaves AS (SELECT *, concat(len(toks), ' ', toks[1], ' ', toks[2], ' ', toks[3]) AS leaf, array_to_string(toks, ' ') AS variant FROM lines
 ), tokens AS (SELECT leaf, variant, first(toks) AS toks, count(*) AS w, min(doc_id) AS a, max(doc_id) AS b FROM leaves GROUP BY leaf, variant
 ), forks AS (SELECT leaf FROM tokens GROUP BY leaf HAVING count(*) > 1 AND min(a) <> max(b)
-), base AS (SELECT leaf, toks AS base FROM tokens WHERE leaf IN (FROM forks) QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY w DESC, variant DESC) = 1
-), named AS (
-  SELECT t.leaf, t.variant, CASE WHEN b.base IS NOT NULL AND len(list_filter(range(1, len(t.toks) + 1), lambda i: t.toks[i] = b.base[i])) >= ceil(len(t.toks) * 0.7 - 1e-9) THEN 'leaf' ELSE 'own ' || t.variant END AS template
-  FROM tokens t LEFT JOIN base b ON b.leaf = t.leaf
+), forked AS (SELECT leaf, variant, toks, w FROM tokens WHERE leaf IN (FROM forks)
+), {_VOTE.format(name="level1", t="forked")}, rest AS (
+  SELECT leaf AS trunk, leaf || ' ' || toks[-1] AS leaf, variant, toks, w FROM forked WHERE (leaf, variant) NOT IN (SELECT (leaf, variant) FROM level1)
+), {_VOTE.format(name="level2", t="rest")}, named AS (
+  SELECT t.leaf, t.variant, CASE WHEN a.leaf IS NOT NULL THEN 'leaf' WHEN b.leaf IS NOT NULL THEN 'below ' || b.leaf ELSE 'own ' || t.variant END AS template
+  FROM tokens t LEFT JOIN level1 a ON a.leaf = t.leaf AND a.variant = t.variant LEFT JOIN level2 b ON b.trunk = t.leaf AND b.variant = t.variant
 ), ranked AS (
   SELECT doc_id, line_no, row_number() OVER (PARTITION BY l.leaf, template ORDER BY doc_id, line_no) > 1 AND min(doc_id) OVER w <> max(doc_id) OVER w AS gone
   FROM leaves l JOIN named n ON n.leaf = l.leaf AND n.variant = l.variant WINDOW w AS (PARTITION BY l.leaf, template)

@@ -153,3 +153,14 @@ def test_lines_are_dropped_by_row(spark):
     got = sorted(r.text for r in line_templates.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     text = "\n".join(got)
     assert all(text.count(x) == 1 for _, t in rows for x in t.split("\n")) and len(text.split("\n")) == 7 and rows[0][1] in got
+
+
+def test_second_family_of_a_leaf_is_general_too(spark):
+    """Two families of one token count and beginning; names stand in both, and columns clash."""
+    rows = [(i, f"notice from the office about name{chr(97 + i)} and street{chr(97 + i)} being closed again today") for i in range(12)]
+    rows += [(50 + i, f"notice from the harbour says boat{chr(97 + i)} will never sail any more until may") for i in range(6)]
+    df = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id bigint, text string, n_lines int, __sk_parts string")
+    out = line_templates.clean(df)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r["__sk_parts"]) for r in out.collect()}
+    assert out.columns == ["doc_id", "__sk_parts", "text", "n_lines", "n_dropped"]
+    assert got == {i: (1, int(i not in (0, 50)), "x") for i, _ in rows}
