@@ -1,12 +1,14 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one maps each normalised text's digest to one bit in each of two bit tables and keeps the bits
-that two or more rows hit. Pass two probes those tables: a row whose two bits are both kept is
-possibly repeated, and only such rows are shuffled by digest. All other rows pass straight through.
+Pass one maps each normalised text's digest to one bit of a table and keeps the bits that two or more
+rows hit: a row goes to the shuffle as its bit's number and a count, added up in each partition. The
+kept bits are set in bitmaps of 4 KB, built inside partitions and OR-ed. Pass two probes the bitmaps: a
+row whose bit is set is possibly repeated, and only such rows are shuffled by digest. All other rows
+pass straight through.
 
-The bit tables hold 8 or more bits a row, so their size follows the input. They are broadcast only
-while they have at most ``broadcast_words`` 64-bit words; beyond that the probe is an ordinary join
-of small key rows.
+The table has BITS_A_ROW or more bits a row, so its size follows the input, about two to four bytes a
+row. It is broadcast while it has at most ``broadcast_bytes``; a larger input is shuffled by digest
+whole, each row once.
 
 Defined results: null text counts as empty; empty texts are equal to each other; a null doc_id
 sorts after all others; of repeated rows (same doc_id and text) one stays; an empty table gives no
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, column, fresh, materialise, whole_text
 
-BITS_A_ROW = 8
-BROADCAST_WORDS = 1 << 20
+BITS_A_ROW = 16
+#: Bytes of bitmaps that may be broadcast: enough for 32 million rows or more.
+BROADCAST_BYTES = 128 << 20
+#: Fixed values of Spark's bitmap functions: bits and bytes of one bitmap.
+BITMAP_BITS, BITMAP_BYTES = 15, 4096
 
 
 def normalised(text: Column) -> Column:
@@ -29,37 +34,41 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SPACE_CHARS, "")
 
 
-def _positions(key: Column, bits: int) -> Column:
-    return F.array(*[F.struct(F.lit(t).alias("tab"), F.pmod(F.xxhash64(key, F.lit(t)), F.lit(bits)).alias("bit")) for t in (0, 1)])
-
-
-def repeated_bits(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """(tab, word, mask): the bits of each table that at least two rows of ``keys`` hit."""
-    hit = keys.select(F.explode(_positions(F.col(key), bits)).alias("p")).groupBy("p.tab", "p.bit").agg(F.count("*").alias("n"))
-    return (
-        hit.where("n >= 2")
-        .groupBy("tab", F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
-    )
-
-
 def table_bits(rows: int) -> int:
-    """Bits of a table: a power of two, at least BITS_A_ROW a row."""
+    """Bits of the table: a power of two, at least BITS_A_ROW a row."""
     return 1 << max(16, (rows * BITS_A_ROW - 1).bit_length())
 
 
-def mark_possible(df: DataFrame, key: str, flag: str, filters: DataFrame, bits: int, small: bool) -> DataFrame:
-    """Add ``flag``: both bits of the row's key are among the repeated ones."""
-    out, names = df, df.columns
-    test = F.lit(True)
-    for t in (0, 1):
-        word, mask, bit = f"{flag}_w{t}", f"{flag}_m{t}", f"{flag}_b{t}"
-        side = filters.where(F.col("tab") == t).select(F.col("word").alias(word), F.col("mask").alias(mask))
-        at = F.pmod(F.xxhash64(F.col(key), F.lit(t)), F.lit(bits))
-        out = out.withColumns({bit: at})
-        out = out.join(F.broadcast(side) if small else side, F.shiftright(F.col(bit), 6) == F.col(word), "left")
-        test = test & F.expr(f"coalesce(shiftright({mask}, cast({bit} & 63 as int)) & 1, 0) = 1")
-    return out.select(*[F.col(f"`{n}`") for n in names], test.alias(flag))
+def _bit(key: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def repeated_bits(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """(bucket, bitmap): the bits that at least two rows of ``keys`` hit."""
+    hit = keys.groupBy(_bit(key, bits).alias("bit")).agg(F.count("*").alias("n")).where("n >= 2")
+    return hit.groupBy(F.shiftright("bit", BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))).alias("bitmap"))
+
+
+def mark_possible(df: DataFrame, key: str, flag: str, filters: DataFrame | None, bits: int) -> DataFrame:
+    """Add ``flag``: the row's bit is among the repeated ones. Without ``filters`` every row may be repeated."""
+    if filters is None:
+        return df.withColumn(flag, F.lit(True))
+    bucket, bitmap = f"{flag}_bucket", f"{flag}_bitmap"
+    side = filters.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap))
+    at = _bit(key, bits)
+    joined = df.join(F.broadcast(side), F.shiftright(at, BITMAP_BITS) == F.col(bucket), "left")
+    byte = F.substring(bitmap, F.shiftright(at, 3).bitwiseAND(F.lit(BITMAP_BYTES - 1)).cast("int") + 1, F.lit(1))
+    bit = F.get(F.array(*[F.lit(1 << i) for i in range(8)]), at.bitwiseAND(F.lit(7)).cast("int"))
+    test = F.coalesce(F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(bit) != 0, F.lit(False))
+    return joined.select(*[F.col(f"`{n}`") for n in df.columns], test.alias(flag))
+
+
+def bloom(keys: DataFrame, key: str, broadcast_bytes: int) -> tuple[DataFrame | None, int]:
+    """The bitmaps of repeated bits of ``keys`` (None where they would be too many) and the table's bits."""
+    bits = table_bits(keys.count())
+    if bits // 8 > broadcast_bytes:
+        return None, bits
+    return materialise(repeated_bits(keys, key, bits), "bits"), bits
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -73,12 +82,11 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def membership(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def membership(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialise(digests(docs), "digests")
-    bits = table_bits(rows.count())
-    filters = materialise(repeated_bits(rows, "text_sha256", bits), "bits")
-    marked = mark_possible(rows, "text_sha256", "possible", filters, bits, filters.count() <= broadcast_words)
+    filters, bits = bloom(rows, "text_sha256", broadcast_bytes)
+    marked = mark_possible(rows, "text_sha256", "possible", filters, bits)
     alone = marked.where("not possible").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = marked.where("possible")
     order = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("uid").alias("d"))
@@ -88,7 +96,7 @@ def membership(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataF
     return alone.unionByName(found)
 
 
-def deduplicate(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows that stay, with all their columns.
 
     Rows that are surely alone never shuffle; of the possibly repeated ones each task keeps its
@@ -97,12 +105,9 @@ def deduplicate(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> Data
     key, flag = fresh(docs, "sha"), fresh(docs, "possible")
     text = whole_text(docs)
     keyed = docs.withColumn(key, F.sha2(normalised(text).cast("binary"), 256))
-    keys = materialise(keyed.select(F.xxhash64(key).alias("h")), "keys")
-    bits = table_bits(keys.count())
-    filters = materialise(repeated_bits(keys, "h", bits), "bits")
-    small = filters.count() <= broadcast_words
-    hashed, names = fresh(docs, "h"), [F.col(f"`{n}`") for n in docs.columns]
-    marked = mark_possible(keyed.withColumn(hashed, F.xxhash64(key)), hashed, flag, filters, bits, small)
+    filters, bits = bloom(materialise(keyed.select(F.col(key).alias("sha")), "keys"), "sha", broadcast_bytes)
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    marked = mark_possible(keyed, key, flag, filters, bits)
     doc_id = column(docs, "doc_id", "bigint")
     order = F.struct((-F.length(text)).alias("a"), doc_id.isNull().alias("b"), doc_id.alias("c"))
     whole = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(names)])
