@@ -5,7 +5,7 @@ Each task streams its records into bundles: records are grouped into independent
 mapped to (bundle, frame, offset inside the frame). Of records with equal payloads the one with the
 least page_id is a response and the others are revisits that name it. Bundles have names that no
 other attempt uses, and the index names the bundles of the attempts that counted, so a task that runs
-twice leaves an unnamed file and no false record.
+twice leaves an unnamed file and no false record. Reading deals ranges of frames to tasks.
 
 Defined results: null html is an empty payload; a null page_id sorts last and is read back as null;
 repeated rows of a responding page are all responses; a null url is written as the record's own
@@ -34,6 +34,10 @@ BUNDLE = 256 * 1024 * 1024
 LEVEL = 3
 #: Revisit rows that may be broadcast; a row is two ids and a digest, under 100 bytes.
 BROADCAST_ROWS = 200_000
+#: Bits of the filter that tells payloads that occur once where the revisits are more than that; 8 MB.
+FILTER_BITS = 1 << 26
+#: Frames of a range that one task reads at a time, and ranges a task where there are many.
+FRAMES, RANGES = 64, 16
 # Fixed values of the seekable format: skippable frame, seek table footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -143,7 +147,7 @@ def _page(name: str) -> int | None:
     return int(number) if number else None
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write all pages; returns the index, one row a record (see INDEX), already materialised."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     html = F.coalesce(column(pages, "html", "string"), F.lit("")).cast("binary")
@@ -153,27 +157,41 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     groups = materialise(groups, "same")
     revisits = keys.join(groups, F.col("sha") == F.col("s")).where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), "s", "first").distinct()
     revisits = materialise(revisits, "revisits")
-    side = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
-    marked = rows.join(side, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "payload", "first")
+    said = (F.col("page_id").eqNullSafe(F.col("p"))) & (F.col("sha") == F.col("s"))
+    if revisits.count() <= broadcast_rows:
+        marked = rows.join(F.broadcast(revisits), said, "left").select("page_id", "url", "payload", "first")
+    else:
+        # payloads that surely occur once stay where they are; only the others are shuffled
+        bit = F.pmod(F.xxhash64("sha"), F.lit(FILTER_BITS))
+        again = materialise(revisits.select(F.col("s").alias("sha")).distinct().groupBy(F.shiftright(bit, 15).alias("bucket")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(0x7FFF))).alias("bitmap")), "repeated")
+        probed = rows.join(F.broadcast(again), F.shiftright(bit, 15) == F.col("bucket"), "left")
+        byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(bit, 3).bitwiseAND(F.lit(4095)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        some = F.coalesce(byte.bitwiseAND(F.get(F.array(*[F.lit(1 << i) for i in range(8)]), bit.bitwiseAND(F.lit(7)).cast("int"))) != 0, F.lit(False))
+        probed = probed.select("page_id", "url", "payload", "sha", some.alias("some"))
+        found = probed.where("some").join(revisits.hint("merge"), said, "left").select("page_id", "url", "payload", "first")
+        marked = probed.where("not some").select("page_id", "url", "payload", F.lit(None).cast("bigint").alias("first")).unionByName(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
-        for batch in batches:
-            out = []
-            for page_id, url, payload, first in zip(*(c for c in batch.columns), strict=True):
-                if bundle is None:
-                    bundle = BundleWriter(folder)
-                name, data = record(page_id.as_py(), url.as_py(), payload.as_py(), first.as_py(), first.is_valid)
-                frame, offset = bundle.add(data)
-                out.append((name, page_id.as_py(), bundle.uri, frame, offset, len(data)))
-                if bundle.size >= BUNDLE:
-                    bundle.close()
-                    bundle = None
-            names = ["record_id", "page_id", "bundle", "frame", "offset", "length"]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names)
-        if bundle:
-            bundle.close()
+        try:
+            for batch in batches:
+                out = []
+                for page_id, url, payload, first in zip(*(c for c in batch.columns), strict=True):
+                    if bundle is None:
+                        bundle = BundleWriter(folder)
+                    name, data = record(page_id.as_py(), url.as_py(), payload.as_py(), first.as_py(), first.is_valid)
+                    frame, offset = bundle.add(data)
+                    out.append((name, page_id.as_py(), bundle.uri, frame, offset, len(data)))
+                    if bundle.size >= BUNDLE:
+                        bundle.close()
+                        bundle = None
+                names = ["record_id", "page_id", "bundle", "frame", "offset", "length"]
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names)
+        finally:
+            # an attempt that fails leaves a closed bundle that no index names
+            if bundle:
+                bundle.close()
 
     return materialise(marked.mapInArrow(run, INDEX), "warc_index")
 
@@ -186,9 +204,9 @@ def read_archives(index: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch.column(0):
-                bundle = BundleReader(uri.as_py())
-                for i in range(len(bundle.table)):
+            for uri, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bundle = BundleReader(uri)
+                for i in range(lo, hi + 1):
                     data, at, out = bundle.frame(i), 0, []
                     while at < len(data):
                         fields, block, at = parse(data, at)
@@ -202,5 +220,9 @@ def read_archives(index: DataFrame) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(run, RECORD)
+    ranges = index.groupBy("bundle", F.floor(F.col("frame") / FRAMES)).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    ranges = materialise(ranges.select("bundle", "lo", "hi"), "ranges")
+    n = ranges.count()
+    # rows of a few bytes stand for megabytes, so their number of tasks is stated
+    tasks = max(-(-n // RANGES), min(n, 4 * index.sparkSession.sparkContext.defaultParallelism), 1)
+    return ranges.repartition(tasks).mapInArrow(run, RECORD)
