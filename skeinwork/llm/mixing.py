@@ -26,6 +26,10 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 48
 SEED = 20240607
+#: Rows whose decision may be broadcast, one byte each.
+BROADCAST_ROWS = 64 << 20
+#: ``monotonically_increasing_id`` holds the row's place in its partition in this many bits.
+PLACE_BITS = 33
 
 
 def word_count(text: Column) -> Column:
@@ -90,11 +94,29 @@ def _fold(level: int) -> Column:
     return F.aggregate("xs", F.struct(F.array().cast(done).alias("done"), F.lit(None).cast(item).alias("open")), trade)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with copy: 0, or a repeated row's number among its like.
+
+    Numbers come from the rows' order in each partition and the partitions' counts, so that a row that is
+    repeated any number of times isn't sorted in one task.
+    """
+    again = materialise(rows.groupBy("doc_id", "hash").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select(F.col("doc_id").alias("d"), F.col("hash").alias("h")), "again")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("bigint"))
+    like = rows.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left_semi").select("uid", "doc_id", "hash", F.shiftright("uid", PLACE_BITS).alias("part"))
+    before = Window.partitionBy("doc_id", "hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = like.groupBy("doc_id", "hash", "part").agg(F.count("*").alias("c")).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), F.col("part").alias("p"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    placed = like.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "hash", "part").orderBy("uid")))
+    placed = placed.join(counts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")) & (F.col("part") == F.col("p"))).select(F.col("uid").alias("u"), (F.col("before") + F.col("at")).alias("copy"))
+    return rows.join(placed, F.col("uid") == F.col("u"), "left").drop("u").withColumn("copy", F.coalesce("copy", F.lit(0).cast("bigint")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, uid: str | None = None) -> DataFrame:
     """uid, doc_id, size, source, source_size, target, copies and taken (copies * size) of every row; uid
-    is the row's ``monotonically_increasing_id`` in ``docs``."""
+    is the column of ``docs`` of that name, or a number of the row."""
+    number = F.monotonically_increasing_id() if uid is None else F.col(uid)
     sized = materialise(
-        docs.select(F.monotonically_increasing_id().alias("uid"), column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "source", "string").alias("source"), word_count(whole_text(docs)).alias("size"), F.xxhash64(whole_text(docs)).alias("hash")), "sizes"
+        docs.select(number.alias("uid"), column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "source", "string").alias("source"), word_count(whole_text(docs)).alias("size"), F.xxhash64(whole_text(docs)).alias("hash")), "sizes"
     )
     wanted = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most), "targets")
     named = wanted.select(F.col("source").alias("s"), "source_size", "target", "n")
@@ -106,12 +128,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     settled = (F.col("size") == 0) | (F.col("p") <= 0)
     result = rows.where(settled).select("uid", "doc_id", "size", "source", "source_size", "target", F.when(F.col("size") == 0, 0).otherwise(F.col("whole")).alias("copies"))
 
+    rows = _told_apart(rows)
     row = F.struct("uid", "doc_id", "size", "source", "source_size", "target", "whole").alias("row")
     most_rows = wanted.agg(F.max("n")).first()[0] or 0
     level, blocks = 0, max(1, math.ceil(most_rows / BLOCK))
     # a source's blocks follow its own number of rows, so that small sources aren't scattered
     own = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))
-    live = rows.where(~settled).withColumn("key", F.xxhash64("doc_id", "hash", F.lit(SEED)))
+    live = rows.where(~settled).withColumn("key", F.xxhash64("doc_id", "hash", "copy", F.lit(SEED)))
     live = live.select("key", row, "p", F.pmod("key", own).alias("block"))
     while True:
         folded = (
@@ -131,12 +154,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     return result.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with all their columns.
 
-    ``docs`` should be read from files: a row's number there is what its decision is joined by.
+    Rows are numbered once and written with their numbers. A partition's decisions are an array in
+    order of its rows; these arrays are broadcast, so texts aren't shuffled, or joined by number where
+    the rows are too many.
     """
     uid, times = fresh(docs, "uid"), fresh(docs, "copies")
-    taken = mix(docs, **how).where("copies > 0").select(F.col("uid").alias(uid), F.col("copies").alias(times))
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id()).join(taken, uid)
-    return numbered.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(uid, times)
+    numbered = materialise(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, uid=uid, **how).select("uid", F.col("copies").cast("tinyint").alias("copies"))
+    if numbered.count() <= broadcast_rows:
+        part, all_of = fresh(docs, "part"), fresh(docs, "all")
+        place = F.col("uid").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        runs = taken.groupBy(F.shiftright("uid", PLACE_BITS).alias(part)).agg(F.sort_array(F.collect_list(F.struct(place.alias("i"), "copies")))["copies"].alias(all_of))
+        at = F.col(uid).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        told = numbered.join(F.broadcast(runs), F.shiftright(uid, PLACE_BITS) == F.col(part)).withColumn(times, F.get(all_of, at)).drop(part, all_of)
+    else:
+        told = numbered.join(taken.select(F.col("uid").alias(times + "_uid"), F.col("copies").alias(times)), F.col(uid) == F.col(times + "_uid")).drop(times + "_uid")
+    told = told.where(F.col(times) > 0)
+    return told.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).drop(uid, times)
