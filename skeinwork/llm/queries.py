@@ -144,14 +144,14 @@ WITH words AS (
     list_transform([c1, c2, c3, n_symbols, c5, word_chars - c1 - c2 - c3 - n_symbols - c5 - c7, c7, n_chars - word_chars], lambda x: x / greatest(n_chars, 1)) AS cs,
     list_transform(list_append(hits, n_words - list_sum(hits)), lambda x: x / greatest(n_words, 1)) AS hs
   FROM counted
-), good AS (SELECT * FROM shares WHERE NOT base_failed AND lang IN ('de', 'en', 'es', 'fr')
+), good AS (SELECT * FROM shares WHERE NOT base_failed AND lang IN (SELECT lang FROM shares WHERE NOT base_failed GROUP BY lang HAVING count(*) >= {quality_rules.LEAST_DOCS})
 ), first AS ({_MEANS.format(t="good", **_SIZES)}
 ), near AS (SELECT g.* FROM good g JOIN first f ON f.lang = g.lang WHERE {_JSD.format(p="cs", q="f.c")} <= {quality_rules.TRIM} AND {_JSD.format(p="hs", q="f.h")} <= {2 * quality_rules.TRIM}
-), again AS ({_MEANS.format(t="near", **_SIZES)}
+), again AS (FROM ({_MEANS.format(t="near", **_SIZES)}) WHERE lang IN (SELECT lang FROM near GROUP BY lang HAVING count(*) >= {quality_rules.LEAST_DOCS})
 ), refs AS (FROM again UNION ALL SELECT * FROM first WHERE lang NOT IN (SELECT lang FROM again)
 ), judged AS (
   SELECT s.doc_id, min({_JSD.format(p="s.cs", q="r.c")}) AS dc, min({_JSD.format(p="s.hs", q="r.h")}) AS dw
-  FROM shares s JOIN refs r ON r.lang = s.lang OR coalesce(s.lang, '') NOT IN (SELECT lang FROM refs) GROUP BY s.doc_id
+  FROM shares s JOIN refs r ON r.lang = s.lang OR s.lang IS NULL GROUP BY s.doc_id
 )
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce((n_chars >= {quality_rules.GUARD_CHARS} AND dc > {quality_rules.MAX_CHAR_DISTANCE}) OR (n_words >= {quality_rules.GUARD_WORDS} AND dw > {quality_rules.MAX_WORD_DISTANCE}), false) AS kept
