@@ -44,14 +44,14 @@ _PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u024f\u2010-\u2027\u20ac]*")
 def encoder(tokenizer_path: str, ranks_path: str | None = None):
     """A function from text to token ids.
 
-    The ids are those of the ``tokenizers`` file. Where ``ranks_path`` names the same vocabulary as
-    byte ranks, texts of plain characters are encoded from that by a several times faster library
-    with equal results; all other texts go through the file itself.
+    The ids are those of the ``tokenizers`` file, which reads its own special tokens' strings in a text as
+    those tokens. Where ``ranks_path`` names the same vocabulary as byte ranks, texts of plain characters
+    without such a string are encoded from that by a several times faster library with equal results; all
+    other texts go through the file itself.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer_path)
-    slow.encode_special_tokens = True
     if ranks_path is None:
         return lambda text: slow.encode(text, add_special_tokens=False).ids
     import tiktoken
@@ -59,7 +59,9 @@ def encoder(tokenizer_path: str, ranks_path: str | None = None):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: fast.encode_ordinary(text) if _PLAIN.fullmatch(text) else slow.encode(text, add_special_tokens=False).ids
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
+    plain = lambda text: _PLAIN.fullmatch(text) and not any(t in text for t in added)
+    return lambda text: fast.encode_ordinary(text) if plain(text) else slow.encode(text, add_special_tokens=False).ids
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, size: int = SIZE) -> DataFrame:

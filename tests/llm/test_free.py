@@ -107,7 +107,7 @@ def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(["river", "Überfluss", "x1", "#", "  ", "​", "日本"]) for _ in range(rng.randrange(0, 900)))) for i in range(150)] + [(900, None), (901, "long " * 7000), (None, "a")]
+    rows = [(i, " ".join(rng.choice(["river", "Überfluss", "x1", "#", "  ", "​", "日本"]) for _ in range(rng.randrange(0, 900)))) for i in range(150)] + [(900, None), (901, "long " * 7000), (None, "a"), (902, "hello <|endoftext|> world"), (903, "same"), (904, "same")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = packing.pack(packing.pieces(docs, *TOKENIZER), per_group=60).collect()
     slow = Tokenizer.from_file(TOKENIZER[0])
@@ -152,6 +152,16 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
     kinds = {r.page_id: r.record_type for r in warc.read_archives(warc.write_archives(pages, least_bytes=9)).collect()}
     assert kinds[3] == "response" and kinds[8] == "revisit"
+    again = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(pages, broadcast_rows=0)).collect()), key=str)
+    assert again == want
+
+
+def test_bundles_are_read_by_many_tasks(spark):
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>", "b") for i in range(400)], "page_id bigint, html string, bundle string").repartition(16)
+    index = warc.write_archives(pages)
+    found = warc.read_archives(index)
+    assert index.select("bundle").distinct().count() == 16 and found.rdd.getNumPartitions() == 16
+    assert sorted(r.page_id for r in found.collect()) == list(range(400))
 
 
 def test_bundles_open_as_plain_zstandard(spark):

@@ -59,13 +59,22 @@ def test_quality_rejects_odd_histograms(spark):
     assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == set(range(30))
 
 
+def test_language_without_reference_passes(spark):
+    """Texts of another script are no junk where nothing tells how their language looks."""
+    prose = " ".join(["the river rose and the farmers moved their herds to higher ground with the help of all who were there on that day"] * 5)
+    rows = [(i, f"{prose} n{i} x{i}y z{i}" + "".join(f" w{i}v{j}" for j in range(120)), "en") for i in range(25)]
+    rows += [(100, " ".join(f"слово{chr(0x430 + i % 30)}{chr(0x430 + i // 30)}" for i in range(200)), "ru")]
+    got = {r.doc_id: r.kept for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got[100] and all(got.values())
+
+
 def test_js_distance(spark):
     one = spark.range(1)
     d = lambda p, q: one.select(quality_rules.js_distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q))).alias("d")).first().d
     assert d([1.0, 0.0], [0.0, 1.0]) == pytest.approx(1.0) and d([0.5, 0.5], [0.5, 0.5]) == 0.0
 
 
-@pytest.mark.parametrize("limit", [exact_dedup.BROADCAST_WORDS, 0])
+@pytest.mark.parametrize("limit", [exact_dedup.BROADCAST_BYTES, 0])
 def test_dedup_matches_brute_force(docs, limit):
     groups = {}
     for doc_id, text, *_ in ROWS:
@@ -79,6 +88,20 @@ def test_dedup_matches_brute_force(docs, limit):
     assert exact_dedup.deduplicate(docs, limit).columns == docs.columns
 
 
+def test_single_rows_dont_shuffle(spark, tmp_path):
+    """Of 4,000 texts, 30 of them twice, few rows reach the shuffle by digest; bits count exactly."""
+    rows = [(i, f"text number {i % 3970} stands alone", 1) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, __sk_sha int").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    keys = exact_dedup.digests(docs)
+    filters, bits = exact_dedup.bloom(keys, "text_sha256", exact_dedup.BROADCAST_BYTES)
+    maybe = {r.text_sha256 for r in exact_dedup.mark_possible(keys, "text_sha256", "x", filters, bits).where("x").collect()}
+    twice = {hashlib.sha256(f"textnumber{i}standsalone".encode()).hexdigest() for i in range(30)}
+    assert twice <= maybe and len(maybe) < 400
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(3970))
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for out in (exact_dedup.membership(none), exact_dedup.deduplicate(none), quality_rules.assess(none), quality_rules.keep_good(none), mixing.mix(none), line_templates.clean(none)):
@@ -121,6 +144,17 @@ def test_mixed_repeats_rows(spark, tmp_path):
     assert out.count() * 5 == mixing.mix(docs).agg(F.sum("taken")).first()[0]
 
 
+@pytest.mark.parametrize("limit", [mixing.BROADCAST_ROWS, 0])
+def test_mix_spreads_repeated_rows(spark, limit):
+    """3,000 rows alike are dealt to blocks, and each is decided by itself."""
+    df = spark.createDataFrame([(1, "a b c d", "s", 9)] * 3000 + [(None, "e f", None, 8)] * 50, "doc_id bigint, text string, source string, copies int").repartition(6)
+    got = mixing.mix(df).collect()
+    assert len(got) == 3050 and abs(sum(r.taken for r in got if r.source) - 1.5 * 12100 + sum(r.taken for r in got if not r.source)) <= 6
+    assert Counter(r.taken for r in got) == Counter(r.taken for r in mixing.mix(df.coalesce(2)).collect())
+    out = mixing.mixed(df, broadcast_rows=limit)
+    assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
+
+
 def test_mix_handles_nulls(docs):
     assert mixing.mix(docs).count() == len(ROWS)
 
