@@ -13,13 +13,21 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Tables written by ``materialise`` and not yet swept, of this process.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` where the cluster names one. Only where that is unset, as in
-    local tests, is a folder under /tmp taken.
+    It is ``spark.checkpoint.dir``, which a cluster must name. Only in local mode, as in tests, is a
+    folder under /tmp taken where that is unset.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/skeinwork-{spark.sparkContext.applicationId}"
 
 
@@ -27,11 +35,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost
     executor costs no more than re-reading files."""
     spark = df.sparkSession
-    path = str(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(docs: DataFrame) -> None:
+    """Remove the tables that ``materialise`` wrote for earlier steps, but for what ``docs`` is read from.
+
+    Only for the caller that has written down all results of those steps.
+    """
+    if not _WRITTEN:
+        return
+    spark = docs.sparkSession
+    held = {f.rpartition("/")[0].rpartition("/")[2] for f in docs.inputFiles()}
+    kept = []
+    for path in _WRITTEN:
+        if path.rpartition("/")[2] in held:
+            kept.append(path)
+        else:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN[:] = kept
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """``df[name]`` cast to ``kind``; a typed null when the table lacks the column."""
     if name in df.columns:

@@ -9,7 +9,7 @@ long list are first checked against two leaders of the list only, and whoever is
 shares the leader's answers, so a list is searched again only across the classes that are still
 apart, where a set's intersections follow from its leader's and the differences from it.
 
-Why no link is lost. Let p(n) = n - ceil(t n) + 1, a window hold the w(n) = min(n, 2 p(n)) least
+Why no link is lost. Let p(n) = n - ceil(t n) + 1, a window hold the w(n) = min(n, p(n) + ceil(p(n) / 2)) least
 hashes, and need(n) = w(n) - p(n) + 1. Two linked sets share at least min(need(x), need(y)) hashes of
 their windows. Short lists (at most ``long_list`` entries) are paired whole, and a pair's shared short
 lists are counted; a pair passes if its count and the long lists that both are in can make up the
@@ -116,10 +116,13 @@ class NgramJaccardJoin:
     def prefix(self, n: int) -> int:
         return n - self.least(n) + 1
 
+    def window(self, n: int) -> int:
+        return min(n, self.prefix(n) + (self.prefix(n) + 1) // 2)
+
     # -- building sets ------------------------------------------------------------------------
 
     def sets(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n, fp, win) of every row: set size, 128-bit digest of the set, index window."""
+        """(uid, doc_id, n, fp, win) of every row: set size, 128-bit digest of the set, index window."""
         join = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +134,13 @@ class NgramJaccardJoin:
                         batch.column(0),
                         pa.array([len(s) for s in found], pa.int32()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
-                        _lists([s[: 2 * join.prefix(len(s))] if len(s) else s for s in found]),
+                        _lists([s[: join.window(len(s))] for s in found]),
                     ],
                     ["doc_id", "n", "fp", "win"],
                 )
 
         rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), whole_text(docs).cast("binary").alias("text"))
-        return rows.mapInArrow(run, "doc_id bigint, n int, fp binary, win array<bigint>")
+        return rows.mapInArrow(run, "doc_id bigint, n int, fp binary, win array<bigint>").withColumn("uid", F.monotonically_increasing_id())
 
     def whole_sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         """(id, crowd, n, arr) for the documents in ``ids`` (id, crowd): all of their shingle hashes.
@@ -171,7 +174,7 @@ class NgramJaccardJoin:
 
     def _need(self, n: Column) -> Column:
         p = n - self._least(n) + 1
-        return F.least(n, 2 * p) - p + 1
+        return F.least(n, p + F.floor((p + 1) / 2).cast("int")) - p + 1
 
     def _sizes(self, x: Column, y: Column) -> Column:
         return F.least(x, y) * self.den >= F.greatest(x, y) * self.num
@@ -188,9 +191,10 @@ class NgramJaccardJoin:
         return entries.join(counts, F.col("tok") == F.col("t")).drop("t")
 
     def window_entries(self, sets: DataFrame) -> DataFrame:
-        """(tok, id, n, pos, long) of the window entries that share their list."""
-        entry = sets.select("id", "n", F.posexplode("win").alias("pos", "tok"))
-        return self._shared(entry).select("tok", "id", "n", "pos", (F.col("m") > self.long_list).alias("long"))
+        """(tok, id, n, pos, long) of the window entries that share their list; n and pos travel as one number."""
+        entry = sets.select("id", "n", F.posexplode("win").alias("pos", "tok")).select("tok", "id", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).alias("at"))
+        n, pos = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        return self._shared(entry).select("tok", "id", n.alias("n"), pos.alias("pos"), (F.col("m") > self.long_list).alias("long"))
 
     def short_pairs(self, entries: DataFrame, in_long: DataFrame) -> DataFrame:
         """(a, b): pairs of short lists that share enough of them. in_long: (d, h), long lists a document is in."""
@@ -345,8 +349,13 @@ class NgramJaccardJoin:
         """One row a document: doc_id, n_shingles, component_id."""
         sets = materialise(self.sets(docs), "sets")
         live = sets.where("n > 0 and doc_id is not null")
-        reps = materialise(live.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("win").alias("win"), F.count("*").alias("copies")), "reps")
-        entries = materialise(self.window_entries(reps), "entries")
+        # one row stands for each set; windows are joined with the sets that occur again, which are few
+        best = F.min(F.struct("doc_id", "uid"))
+        reps = materialise(live.groupBy("fp").agg(best.alias("best"), F.count("*").alias("copies")).select("fp", F.col("best.doc_id").alias("id"), F.col("best.uid").alias("row"), "copies"), "reps")
+        again = reps.where("copies > 1").select(F.col("fp").alias("f"), "row")
+        again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again.hint("merge")
+        rows = live.join(again, F.col("fp") == F.col("f"), "left").where("row is null or row = uid").select(F.col("doc_id").alias("id"), "n", "win")
+        entries = materialise(self.window_entries(rows), "entries")
         in_long = materialise(entries.where("long").groupBy(F.col("id").alias("d"), "n").agg(F.count("*").alias("h")), "in_long")
         pairs = materialise(self.short_pairs(entries, in_long), "pairs")
         crowded = in_long.where(F.col("h") >= self._need(self._least(F.col("n")))).select(F.col("d").alias("id"), F.lit(True).alias("crowd"))
