@@ -1,11 +1,15 @@
-"""The corpus pipeline: quality rules, exact dedup, near-duplicate join, source mixing, packing."""
+"""The corpus pipeline: quality rules, exact dedup, near-duplicate join, source mixing, packing.
+
+A stage's result is written before the next one begins, which then removes what its predecessor left
+in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.llm import exact_dedup, mixing, packing, quality_rules
-from skeinwork.llm.common import materialise, table
+from skeinwork.llm.common import materialise, sweep, table
 from skeinwork.llm.ngram_join import NgramJaccardJoin
 from skeinwork.llm.queries import TOKENIZER
 
@@ -17,21 +21,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    sweep(docs)
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    sweep(docs)
     return NgramJaccardJoin(k=5, num=80, den=100).keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, none or twice included."""
+    sweep(docs)
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's token pieces with their places in sequences of at most 2048 tokens."""
+    sweep(docs)
     return packing.pack(packing.pieces(docs, *TOKENIZER))
 
 
