@@ -2,19 +2,23 @@
 noise-contrastive estimation, over exact corpus counts.
 
 Tokens are words (A-Z as a-z) and one end a document. Counts of all training tokens are exact and
-live in a table by 64-bit word hash. The neural model predicts classes: each of the ``OWN`` most
-frequent words is a class, the end is one, and all other words fall into ``SURFACE`` classes by their
-last letters; inside such a class a word has probability (c + 1) / (sum of c + 1 over the class's
-training words, plus 1 for all unknown ones). The class distribution given the two classes before is
+live in a table by 64-bit word hash. The neural model predicts classes: each of the most frequent
+words is a class (2 sqrt(V) words of V distinct ones, LEAST_OWN to MOST_OWN), the end is one, and all
+other words fall into surface classes by their last letters, one for about OWN_A_SURFACE own words;
+inside such a class a word has probability (c + 1) / (sum of c + 1 over the class's training words,
+plus 1 for all unknown ones). The class distribution given the two classes before is
 softmax(q . (C1 r1 + C2 r2) + b); its normalisers are computed for all pairs of classes in batched
 matrix products, so token log-probabilities are normalised exactly.
 
-Training goes over all training documents: every task trains on its part from one starting point by
-noise-contrastive estimation with noise drawn from class frequencies, and the parameters are averaged
-by token count in a distributed aggregate.
+Texts are split twice, for the counts and for class numbers, which are written once and read by
+training and scoring. Training goes over all training documents in ROUNDS rounds. A document's hash
+says its round and its part; parts hold about PART_TOKENS tokens, so they grow in number, not in size.
+In a round every part trains from the common parameters by noise-contrastive estimation with noise
+drawn from class frequencies, and the next round starts from the average of the parts, added up in
+whole numbers. So the model depends on the documents only, not on how they are partitioned.
 
-At most ``HEAD`` of the most frequent words are sent to tasks (16 bytes each); all rarer words are looked up
-by a join.
+At most about ``HEAD`` of the most frequent words are sent to tasks (16 bytes each); all rarer words are
+looked up by a join.
 
 Defined results: null text is empty and has the one end token; a null doc_id is not held out; repeated
 rows score alike; without training documents every count is 0 and the model is the base model over
@@ -32,19 +36,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, materialise, whole_text
 
 HELD_OUT = (7, 2)
 HEAD = 1 << 17
-OWN = 640
-SURFACE = 48
+#: Own words at least and at most, own words for a surface class, and buckets of last letters.
+LEAST_OWN, MOST_OWN, OWN_A_SURFACE, LETTERS = 256, 4096, 13, 4096
 DIM = 20
 NOISE = 48
-BATCH = 4096
+BATCH = 1024
 RATE = 0.05
+ROUNDS = 2
+#: Training tokens of a part, and tokens that a part of a small corpus goes over at least.
+PART_TOKENS, LEAST_TOKENS, MOST_PASSES = 3_000_000, 400_000, 8
+#: Parameters are added up as multiples of this.
+GRAIN = 1 << 24
 #: Words whose place a task remembers.
 CACHE_WORDS = 400_000
 #: Distinct words that a counting task holds before it hands them on.
@@ -56,7 +65,7 @@ def held_out(doc_id: Column, by: tuple[int, int] = HELD_OUT) -> Column:
 
 
 def surface(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % SURFACE
+    return zlib.crc32(word[-3:]) % LETTERS
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, g, c): hash, surface class and count of every word of the training documents."""
+    """(h, g, c): hash, bucket of last letters and count of every word of the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -95,6 +104,8 @@ class Vocabulary:
 
     hashes: np.ndarray  # of head words, most frequent first
     counts: np.ndarray
+    own: int
+    surface: int
     classes: np.ndarray  # class of each head word, then of each surface class
     class_words: np.ndarray  # sum of c + 1 by surface class, plus 1
     class_counts: np.ndarray  # training tokens of each class
@@ -102,57 +113,62 @@ class Vocabulary:
     types: int
     ends: int
 
-    @property
-    def own(self) -> int:
-        return min(OWN, len(self.hashes))
-
     @property
     def size(self) -> int:
-        return self.own + SURFACE + 1
+        return self.own + self.surface + 1
 
 
 class Places(dict):
     """Head index of a word, or the number of head words plus its surface class."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, n_surface: int):
         super().__init__()
-        self.head = {int(h): i for i, h in enumerate(hashes.view(np.uint64))}
+        self.head, self.n_surface = {int(h): i for i, h in enumerate(hashes.view(np.uint64))}, n_surface
 
     def __missing__(self, word: bytes) -> int:
         at = self.head.get(xxhash.xxh64_intdigest(word))
         if at is None:
-            at = len(self.head) + surface(word)
+            at = len(self.head) + surface(word) % self.n_surface
         if len(self) < CACHE_WORDS:
             self[word] = at
         return at
 
 
+def own_words(types: int) -> int:
+    return min(MOST_OWN, max(LEAST_OWN, math.isqrt(4 * types)))
+
+
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    """Totals of ``counts``; at most HEAD rows and one row for each surface class reach the driver.
+    """Totals of ``counts``; about HEAD rows and one row for each bucket of letters reach the driver.
 
-    The head is cut at a step of a logarithmic scale of counts, so that no task sorts all words.
+    The head is cut at a step of a logarithmic scale of counts, so that no task sorts all words; of the
+    step that doesn't fit whole, words of small hash are taken.
     """
     step = F.floor(F.log2("c") * 16).cast("int")
-    least, room = 1 << 30, HEAD
+    cut, share, room = -1, 0.0, HEAD
     for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.s):
-        room -= r.n
-        if room < 0:
+        if r.n > room:
+            cut, share = r.s, room / r.n
             break
-        least = r.s
-    top = counts.where(step >= least).toArrow()
+        room -= r.n
+    top = counts.where((step > cut) | ((step == cut) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))))).toArrow()
     h, g, c = (top.column(x).to_numpy() for x in ("h", "g", "c"))
     order = np.lexsort((h, -c))
     h, g, c = h[order], g[order], c[order]
-    own = min(OWN, len(h))
     sums = {r.g: (r.n, r.c) for r in counts.groupBy("g").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
-    types, tokens = np.zeros(SURFACE, np.int64), np.zeros(SURFACE, np.int64)
-    for k, (n, s) in sums.items():
-        types[k], tokens[k] = n, s
-    all_types, all_tokens = int(types.sum()), int(tokens.sum())
+    all_types, all_tokens = sum(n for n, _ in sums.values()), sum(t for _, t in sums.values())
+    own = min(own_words(all_types), len(h))
+    n_surface = max(1, own_words(all_types) // OWN_A_SURFACE)
+    types, tokens = np.zeros(n_surface, np.int64), np.zeros(n_surface, np.int64)
+    for k, (n, t) in sums.items():
+        types[k % n_surface] += n
+        tokens[k % n_surface] += t
+    g = g % n_surface
     np.subtract.at(types, g[:own], 1)
     np.subtract.at(tokens, g[:own], c[:own])
-    classes = np.concatenate([np.arange(own), own + g[own:], own + np.arange(SURFACE)]).astype(np.int32)
-    return Vocabulary(h, c, classes, (types + tokens + 1).astype(np.float64), np.concatenate([c[:own], tokens, [ends]]).astype(np.float64), all_tokens + ends, all_types + (ends > 0), ends)
+    classes = np.concatenate([np.arange(own), own + g[own:], own + np.arange(n_surface)]).astype(np.int32)
+    class_counts = np.concatenate([c[:own], tokens, [ends]]).astype(np.float64)
+    return Vocabulary(h, c, own, n_surface, classes, (types + tokens + 1).astype(np.float64), class_counts, all_tokens + ends, all_types + (ends > 0), ends)
 
 
 # -- the model --------------------------------------------------------------------------------
@@ -186,18 +202,31 @@ class LogBilinear:
             at += x.size
         return LogBilinear(*out)
 
-    def normalisers(self) -> np.ndarray:
-        """Log of the softmax sum for each pair (class before last, last class)."""
-        n = len(self.r)
-        far, near, out = self.r @ self.c2, self.r @ self.c1, np.empty((n, n), np.float32)
+    def normalisers(self, far: np.ndarray) -> np.ndarray:
+        """Log of the softmax sum for each pair (class before last, of ``far``; last class)."""
+        left, near, out = self.r[far] @ self.c2, self.r @ self.c1, np.empty((len(far), len(self.r)), np.float32)
         top = self.q.T
-        for i in range(n):
-            s = (far[i] + near) @ top + self.b
+        for i in range(len(far)):
+            s = (left[i] + near) @ top + self.b
             m = s.max(1, keepdims=True)
             out[i] = m[:, 0] + np.log(np.exp(s - m).sum(1))
         return out
 
 
+def all_normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
+    """The normalisers of all pairs, computed by tasks of some rows each."""
+    n = len(model.r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = model.normalisers(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "row"])
+
+    got = spark.range(0, n, 1, min(n, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "id bigint, row binary").toArrow()
+    order = np.argsort(got.column("id").to_numpy())
+    return np.frombuffer(b"".join(got.column("row").to_pylist()), np.float32).reshape(n, n)[order]
+
+
 class Trainer:
     """Noise-contrastive estimation with adaptive steps; noise is shared by a batch."""
 
@@ -237,106 +266,114 @@ class Trainer:
         self.tokens += n
 
 
-def _classes(text: bytes, places: Places, classes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    words = text.lower().split()
-    return words, np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-
-
-def train(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
-    """The average of what the tasks learn from their parts of the training documents."""
-    start = LogBilinear.start(vocab.class_counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, end, first = Places(vocab.hashes), vocab.size - 1, vocab.size
-        trainer = Trainer(start, vocab.class_counts, 11)
-        far, near, target, held = [], [], [], 0
-
-        def learn(least: int) -> None:
-            nonlocal far, near, target, held
-            f, n, t = (np.concatenate(x) for x in (far, near, target))
-            order = trainer.rng.permutation(len(t))
-            at = 0
-            while len(t) - at >= max(least, 1):
-                pick = order[at : at + BATCH]
-                trainer.step(f[pick], n[pick], t[pick])
-                at += BATCH
-            rest = order[at:]
-            far, near, target, held = [f[rest]], [n[rest]], [t[rest]], len(rest)
-
-        for batch in batches:
-            for text in batch.column(0):
-                _, at = _classes(text.as_py(), places, vocab.classes)
-                seq = np.empty(len(at) + 3, np.int32)
-                seq[:2], seq[2:-1], seq[-1] = first, vocab.classes[at], end
-                far.append(seq[:-2])
-                near.append(seq[1:-1])
-                target.append(seq[2:])
-                held += len(at) + 1
-                if held >= 32 * BATCH:
-                    learn(BATCH)
-        if held:
-            learn(1)
-        if trainer.tokens:
-            flat = trainer.m.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.tokens), pa.array(np.full(len(flat), float(trainer.tokens)))], ["i", "v", "w"])
-
-    parts = _rows(docs).where("not held_out").select("text").mapInArrow(run, "i int, v double, w double")
-    mean = parts.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).orderBy("i").toArrow()
-    return start.filled(mean.column("v").to_numpy()) if len(mean) else start
+def _sequence(ids: bytes, first: int, end: int) -> np.ndarray:
+    """Two starts, the document's classes, and the end."""
+    at = np.frombuffer(ids, "<u2")
+    seq = np.empty(len(at) + 3, np.int32)
+    seq[:2], seq[2:-1], seq[-1] = first, at, end
+    return seq
+
+
+def train(placed: DataFrame, vocab: Vocabulary) -> LogBilinear:
+    """What the parts learn in all rounds from the training documents of ``placed``."""
+    end, first = vocab.size - 1, vocab.size
+    model, parts = LogBilinear.start(vocab.class_counts), max(1, -(-vocab.tokens // PART_TOKENS))
+    key = F.xxhash64("doc_id", "ids")
+    rows = placed.where("not held_out").select("doc_id", "ids", F.pmod(key, F.lit(parts)).alias("part"), F.pmod(F.shiftright(key, 40), F.lit(ROUNDS)).alias("turn"))
+
+    def learner(start: LogBilinear):
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+            seqs = [_sequence(x, first, end) for x in table.column("ids").to_pylist()]
+            far, near, target = (np.concatenate([s[i : len(s) - 2 + i] for s in seqs]) for i in range(3))
+            trainer, n = Trainer(start, vocab.class_counts, 11), len(target)
+            for _ in range(min(MOST_PASSES, max(1, LEAST_TOKENS // n))):
+                order = trainer.rng.permutation(n)
+                for at in range(0, n, BATCH):
+                    pick = order[at : at + BATCH]
+                    trainer.step(far[pick], near[pick], target[pick])
+            flat = np.rint(trainer.m.flat().astype(np.float64) * GRAIN).astype(np.int64)
+            return pa.table({"i": pa.array(np.arange(len(flat), dtype=np.int32)), "v": pa.array(flat), "w": pa.array(np.full(len(flat), n, np.int64))})
+
+        return run
+
+    for turn in range(ROUNDS):
+        learned = rows.where(F.col("turn") == turn).select("part", "doc_id", "ids").groupBy("part").applyInArrow(learner(model), "i int, v bigint, w bigint")
+        whole = lambda c: F.col(c).cast("decimal(20,0)")
+        mean = learned.groupBy("i").agg(F.sum(whole("v") * whole("w")).cast("double").alias("v"), F.sum(whole("w")).cast("double").alias("w")).toArrow()
+        if len(mean):
+            order = np.argsort(mean.column("i").to_numpy())
+            model = model.filled((mean.column("v").to_numpy() / mean.column("w").to_numpy() / GRAIN)[order])
+    return model
 
 
 # -- scores -----------------------------------------------------------------------------------
 
+PLACED = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, share double, h array<bigint>, c array<int>, ids binary"
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    counts = materialise(word_counts(docs), "counts")
-    ends = _rows(docs).where("not held_out").count()
-    vocab = vocabulary(counts, ends)
-    model = train(docs, vocab)
-    norm = model.normalisers()
+
+def place(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Every document's class numbers, the sums of what the head tells of its words, and its rare words."""
     head = len(vocab.hashes)
     base_all = math.log10(vocab.tokens + vocab.types + 1)
     own = np.arange(head) < vocab.own
     in_class = np.where(own, 0.0, np.log10(vocab.counts + 1.0) - np.log10(vocab.class_words[np.where(own, 0, vocab.classes[:head] - vocab.own)]))
     #: by place: log10(c + 1) as far as known here, and the log10 share inside the class as far as known here
-    base_part = np.concatenate([np.log10(vocab.counts + 1.0), np.zeros(SURFACE)])
+    base_part = np.concatenate([np.log10(vocab.counts + 1.0), np.zeros(vocab.surface)])
     class_part = np.concatenate([in_class, -np.log10(vocab.class_words)])
-    end_base = math.log10(ends + 1)
+    end_base = math.log10(vocab.ends + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, end, first = Places(vocab.hashes), vocab.size - 1, vocab.size
-        near_part, far_part = model.r @ model.c1, model.r @ model.c2
+        places = Places(vocab.hashes, vocab.surface)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for text in batch.column("text"):
-                words, at = _classes(text.as_py(), places, vocab.classes)
-                seq = np.empty(len(at) + 3, np.int32)
-                seq[:2], seq[2:-1], seq[-1] = first, vocab.classes[at], end
-                far, near, target = seq[:-2], seq[1:-1], seq[2:]
-                total = 0.0
-                for lo in range(0, len(target), 1 << 16):
-                    f, n, t = far[lo : lo + (1 << 16)], near[lo : lo + (1 << 16)], target[lo : lo + (1 << 16)]
-                    s = np.einsum("ij,ij->i", near_part[n] + far_part[f], model.q[t]) + model.b[t] - norm[f, n]
-                    total += float(s.sum(dtype=np.float64))
+                words = text.as_py().lower().split()
+                at = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
                 rare = np.flatnonzero(at >= head)
                 h, c = np.unique(np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in rare.tolist()), np.uint64, len(rare)).view(np.int64), return_counts=True)
-                base = float(base_part[at].sum()) + end_base - len(target) * base_all
-                for col, x in zip(cols, (len(target), len(at) - len(rare) + (ends > 0), base, total / math.log(10) + float(class_part[at].sum()), h, c.astype(np.int32)), strict=True):
+                base = float(base_part[at].sum()) + end_base - (len(at) + 1) * base_all
+                found = (len(at) + 1, len(at) - len(rare) + (vocab.ends > 0), base, float(class_part[at].sum()), h, c.astype(np.int32), vocab.classes[at].astype("<u2").tobytes())
+                for col, x in zip(cols, found, strict=True):
                     col.append(x)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in cols[4]]))).astype(np.int32))
             flat = lambda k, kind: pa.array(np.concatenate(cols[k]) if cols[k] else np.empty(0, kind))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.ListArray.from_arrays(offsets, flat(4, np.int64)), pa.ListArray.from_arrays(offsets, flat(5, np.int32))],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "lm", "h", "c"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.ListArray.from_arrays(offsets, flat(4, np.int64)), pa.ListArray.from_arrays(offsets, flat(5, np.int32)), pa.array(cols[6], pa.binary())],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "share", "h", "c", "ids"],
             )
 
-    found = _rows(docs).mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, lm double, h array<bigint>, c array<int>")
-    found = materialise(found.withColumn("uid", F.monotonically_increasing_id()), "scored")
-    rare = found.select("uid", F.explode(F.arrays_zip("h", "c")).alias("x")).select("uid", "x.h", F.col("x.c").alias("n"))
+    return _rows(docs).mapInArrow(run, PLACED).withColumn("uid", F.monotonically_increasing_id())
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    counts = materialise(word_counts(docs), "counts")
+    ends = _rows(docs).where("not held_out").count()
+    vocab = vocabulary(counts, ends)
+    placed = materialise(place(docs, vocab), "placed")
+    model = train(placed, vocab)
+    norm, end, first = all_normalisers(docs.sparkSession, model), vocab.size - 1, vocab.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near_part, far_part = model.r @ model.c1, model.r @ model.c2
+        for batch in batches:
+            lm = []
+            for ids, share in zip(batch.column("ids"), batch.column("share").to_pylist(), strict=True):
+                seq, total = _sequence(ids.as_py(), first, end), 0.0
+                for lo in range(0, len(seq) - 2, 1 << 16):
+                    part = seq[lo : lo + (1 << 16) + 2]
+                    f, n, t = part[:-2], part[1:-1], part[2:]
+                    s = np.einsum("ij,ij->i", near_part[n] + far_part[f], model.q[t]) + model.b[t] - norm[f, n]
+                    total += float(s.sum(dtype=np.float64))
+                lm.append(total / math.log(10) + share)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("uid", "doc_id", "held_out", "n_tokens", "known", "base")), pa.array(lm, pa.float64())], ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "lm"])
+
+    found = placed.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "share", "ids").mapInArrow(run, "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, lm double")
+    rare = placed.select("uid", F.explode(F.arrays_zip("h", "c")).alias("x")).select("uid", "x.h", F.col("x.c").alias("n"))
     known = rare.join(counts.select(F.col("h").alias("k"), F.col("c").alias("count")), F.col("h") == F.col("k"))
     more = known.groupBy(F.col("uid").alias("u")).agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("count") + 1.0)).alias("more"))
-    out = found.drop("h", "c").join(more, F.col("uid") == F.col("u"), "left")
+    out = found.join(more, F.col("uid") == F.col("u"), "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("lm") + more).alias("score")

@@ -251,8 +251,23 @@ def test_language_model(spark):
     assert lm_scoring.score(docs.limit(0)).count() == 0
 
 
+def test_model_depends_on_the_documents_only(spark, monkeypatch):
+    """1, 8 and 32 partitions, several parts, a very long and repeated rows: scores agree and beat the base by 5 %."""
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 12_000)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"a{k} b{k} c{k % 7}" for k in (rng.randrange(30) for _ in range(40)))) for i in range(250)]
+    rows += [(700, " ".join(f"a{i % 30} b{i % 30}" for i in range(40_000))), (701, "a1 b1"), (701, "a1 b1"), (None, "a1 b1")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, uid int")
+    runs = [sorted(((r.doc_id, r.score, r.base_score, r.held_out) for r in lm_scoring.score(docs.repartition(n)).collect()), key=str) for n in (1, 8, 32)]
+    for run in runs[1:]:
+        assert [(a, h) for a, _, _, h in run] == [(a, h) for a, _, _, h in runs[0]]
+        assert np.allclose([s for _, s, _, _ in run], [s for _, s, _, _ in runs[0]], rtol=1e-6)
+    held = [x for x in runs[0] if x[3]]
+    assert held and sum(x[1] for x in held) > 0.95 * sum(x[2] for x in held)
+
+
 def test_model_is_normalised():
     model = lm_scoring.LogBilinear.start(np.array([5.0, 3.0, 2.0]))
-    norm = model.normalisers()
+    norm = model.normalisers(np.arange(4))
     s = np.array([[[(model.r[n] @ model.c1 + model.r[f] @ model.c2) @ model.q[t] + model.b[t] - norm[f, n] for t in range(3)] for n in range(4)] for f in range(4)])
     assert np.allclose(np.exp(s).sum(2), 1, atol=1e-4)
