@@ -1,17 +1,19 @@
 """Toxicity by weak supervision.
 
 Many voters (fixed lexicons, words and word stems found in labelled rows, patterns) each say toxic, clean or
-nothing about a text. A generative label model estimates every voter's accuracy by expectation
-maximisation over the training rows' votes, and the correlations between voters from what is left
-of their votes within each class; a voter counts the less, the more others repeat it. Its posterior
-labels train a linear classifier over votes and hit rates, which scores every document.
+nothing about a text. A generative label model estimates them by expectation maximisation over the
+training rows' votes: a voter's vote depends on the class and, where two voters are correlated within
+the classes, on the vote of its parent in the maximum spanning tree of these correlations, so that
+what repeats another voter adds little. The given label is one more voter with an accuracy of its own.
+The posterior labels train a linear classifier over votes and hit rates, which scores every document.
 
-Bounds: at most ``TRAIN_ROWS`` labelled rows are fitted on, those of the least hash, and at most
-``FOUND_WORDS`` words are taken from them. Everything else covers all rows. Labels, lang, source and
-doc_id are no inputs of a score.
+Bound: at most ``TRAIN_ROWS`` labelled rows are fitted on, those of the least hash. Everything else
+covers all rows, and all words with enough support are taken. Labels, lang, source and doc_id are no
+inputs of a score.
 
 Defined results: null text is empty and gets the score of a text without hits; repeated rows score
-alike; a null doc_id is not held out; labels that are null are ignored; without labelled rows of both
+alike; a null doc_id is not held out; labels that are null are ignored; of rows that share a doc_id one text is
+fitted on; without labelled rows of both
 kinds the fixed lexicons alone decide; an empty table gives no rows.
 """
 
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from .common import column, materialise, whole_text
 
 TRAIN_ROWS = 20_000
-FOUND_WORDS = 48
+#: Correlation from which on one voter depends on another, and votes that its own odds count for.
+LEAST_CORRELATION, OWN_VOTES = 0.05, 8.0
+#: Rows whose features are held at a time.
+ROWS = 1024
 LEAST_SUPPORT = 8
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
@@ -44,8 +49,8 @@ LEXICONS = {
     "insult_fr": "idiot imbécile crétin abruti ordure salaud connard débile",
     "insult_es": "idiota imbécil estúpido basura escoria patético asqueroso inútil",
 }
-_STRIP = ".,;:!?\"'()[]{}*_-"
-_TAILS = ("", ".", ",", "!", "?", ";", ":", "!!", '"')
+_STRIP = ".,;:!?\"'()[]{}<>*_-+=~#/\\|&%$@^`0123456789\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u2039\u203a"
+_EDGE = ".,;:!?\"'()[]{}*_-"
 _LEET = str.maketrans("013457@$", "oieastas")
 PATTERNS = {
     "you_are": re.compile(r"\byou(?:'re| are| r)\s+(?:such\s+|so\s+|all\s+)?(?:an?\s+)?\w+"),
@@ -67,16 +72,16 @@ class Voters:
         self.stem_lengths = sorted({*map(len, self.stems)})
         known = sorted(set().union(*self.lists))
         self.words = {w: [i for i, s in enumerate(self.lists) if w in s] for w in known}
-        self.forms = {w + t: w for w in known for t in _TAILS}
         self.names = [*LEXICONS, *(f"word:{w}" for w in found), *PATTERNS, "shouting", "leet", "none_found", "found_share"]
 
     def votes(self, text: str) -> np.ndarray:
         """1 toxic, -1 clean, 0 nothing said, for each name."""
         low = text.lower()
         words = low.split()
-        forms = set(words)
+        whole = set(words)
+        forms = {w.strip(_STRIP) for w in whole}
         out = np.zeros(len(self.names), np.int8)
-        hits = {self.forms[f] for f in self.forms.keys() & forms}
+        hits = self.words.keys() & forms
         for w in hits:
             for i in self.words[w]:
                 out[i] = 1
@@ -89,8 +94,8 @@ class Voters:
             out[i] = 1 if p.search(low) else 0
         at += len(PATTERNS)
         out[at] = 1 if len(text) >= 40 and text.isupper() else 0
-        odd = [f for f in forms if not f.isalpha() and any(c in "013457@$" for c in f) and any(c.isalpha() for c in f)]
-        out[at + 1] = 1 if any(f.strip(_STRIP).translate(_LEET) in self.words for f in odd) else 0
+        odd = [f for f in whole if not f.isalpha() and any(c in "013457@$" for c in f) and any(c.isalpha() for c in f)]
+        out[at + 1] = 1 if any(f.strip(_EDGE).translate(_LEET) in self.words for f in odd) else 0
         out[at + 2] = 0 if hits or out[at + 1] else -1
         out[at + 3] = 1 if len(hits) >= 2 else -1 if not hits else 0
         return out
@@ -103,36 +108,54 @@ def _features(votes: np.ndarray) -> np.ndarray:
     return np.hstack([v, np.log1p(up), np.ones((len(v), 1))])
 
 
+def spanning_parents(strength: np.ndarray) -> np.ndarray:
+    """Each voter's parent in the maximum spanning forest of ``strength`` (symmetric, 0 for no link), -1 for roots."""
+    m = len(strength)
+    parent, best, done = np.full(m, -1), np.full(m, -1.0), np.zeros(m, bool)
+    for _ in range(m):
+        at = int(np.argmax(np.where(done, -2.0, best)))
+        done[at] = True
+        closer = ~done & (strength[at] > best) & (strength[at] > 0)
+        best[closer], parent[closer] = strength[at][closer], at
+    return parent
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of toxic for each row, within-class correlations of the voters).
+    """(posterior of toxic for each row, parent of each voter).
 
-    The given label is one more voter, whose accuracy is estimated like the others'. Each voter
-    speaks with class-dependent odds, tempered by how much of what it says within a class other
-    voters say too.
+    A voter's table says how often it gives each vote in each class after each vote of its parent;
+    what its parent rarely said leans on the voter's own table.
     """
     n, m = votes.shape
     prior = min(max(float(labels.mean()), 1e-3), 0.5)
-    post = np.where(labels > 0, 0.95, 0.05)
-    corr, sign = np.eye(m), np.where(labels > 0, 1.0, -1.0)
+    post, sign = np.where(labels > 0, 0.8, 0.2), np.where(labels > 0, 1.0, -1.0)
+    says = [(votes == s).astype(np.float64) for s in (-1, 0, 1)]
+    parent, rows = np.full(m, -1), np.arange(m)
     for _ in range(rounds):
         right = np.clip(np.where(labels > 0, post, 1 - post).mean(), 0.6, 0.99)
         weight = np.stack([1 - post, post])  # class by row
-        mass = weight.sum(1, keepdims=True)
-        says = np.stack([(weight @ (votes == s) + 0.05) / (mass + 0.15) for s in (-1, 0, 1)])  # value, class, voter
-        mean = (weight @ votes) / mass
-        left = [votes - mean[c] for c in (0, 1)]
-        cov = sum((left[c] * weight[c][:, None]).T @ left[c] for c in (0, 1)) / n
+        mass = weight.sum(1)
+        alone = np.stack([(weight @ x + 0.05) / (mass[:, None] + 0.15) for x in says])  # vote, class, voter
+        mean = (weight @ votes) / np.maximum(mass, 1e-9)[:, None]
+        cov = sum(((votes - mean[c]) * weight[c][:, None]).T @ (votes - mean[c]) for c in (0, 1)) / n
         sd = np.sqrt(np.diag(cov)) + 1e-6
-        corr = cov / np.outer(sd, sd)
-        temper = 1.0 / (1.0 + np.clip(corr - np.eye(m), 0, 1).sum(1))
-        odds = np.log(says[:, 1]) - np.log(says[:, 0])  # value, voter
-        score = np.log(prior / (1 - prior)) + (odds[votes.astype(int) + 1, np.arange(m)] * temper).sum(1) + sign * np.log(right / (1 - right))
+        strength = np.abs(cov / np.outer(sd, sd))
+        np.fill_diagonal(strength, 0)
+        parent = spanning_parents(np.where(strength >= LEAST_CORRELATION, strength, 0))
+        above = np.where(parent < 0, rows, parent)
+        odds = np.empty((3, 3, m))  # vote of the parent, own vote, voter
+        for u in range(3):
+            given = np.stack([weight @ (says[u][:, above] * x) for x in says])  # vote, class, voter
+            table = (given + OWN_VOTES * alone) / (given.sum(0) + OWN_VOTES)
+            odds[u] = np.log(table[:, 1]) - np.log(table[:, 0])
+        odds[:, :, parent < 0] = (np.log(alone[:, 1]) - np.log(alone[:, 0]))[None][:, :, parent < 0]
+        score = np.log(prior / (1 - prior)) + odds[votes[:, above].astype(int) + 1, votes.astype(int) + 1, rows].sum(1) + sign * np.log(right / (1 - right))
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
-            post = new
-            break
+        still = np.abs(new - post).max() < 1e-4
         post = new
-    return post, corr
+        if still:
+            break
+    return post, parent
 
 
 def linear_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -167,21 +190,31 @@ def found_words(train: DataFrame) -> list[str]:
     takes the place of the words that it begins; of nested stems the better supported one stays, the
     longer one on ties.
     """
-    strip = F.regexp_replace(F.col("w"), r"^[^\p{L}]+|[^\p{L}]+$", "")
+    strip = F.btrim("w", F.lit(_STRIP))
     rows = train.select("toxic", F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("ws"))
-    rows = rows.select("toxic", F.array_min(F.transform("ws", lambda w: F.xxhash64(w))).alias("sketch"), F.explode("ws").alias("w")).select("toxic", "sketch", strip.alias("w")).where("length(w) between 4 and 24")
+    # the hash of a text is a column before the words are spread, or it would be computed for each word
+    rows = rows.select("toxic", "ws", F.array_min(F.transform("ws", lambda w: F.xxhash64(w))).alias("sketch"))
+    rows = rows.select("toxic", "sketch", F.explode("ws").alias("w")).select("toxic", "sketch", strip.alias("w"))
+    rows = materialise(rows.where("length(w) between 4 and 24"), "words")
     forms = F.array("w", *[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("-"))) for k in (4, 5, 6)])
-    rows = rows.select("toxic", "sketch", F.explode(forms).alias("w")).where("w is not null")
-    split = rows.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("seen"), F.count_if(F.col("toxic") == 0).alias("down")).where((F.col("seen") >= LEAST_SUPPORT) & (F.col("seen") >= 9 * F.col("down")))
-    split = materialise(split, "forms")
-    sure = rows.where("toxic = 1").join(split.withColumnRenamed("w", "f"), F.col("w") == F.col("f")).groupBy("w", "down").agg(F.countDistinct("sketch").alias("up"))
-    best = sure.where((F.col("up") >= LEAST_SUPPORT) & (F.col("up") >= 9 * F.col("down"))).orderBy(F.desc(F.col("up") - 20 * F.col("down")), F.desc(F.length("w")), "w").limit(40 * FOUND_WORDS)
-    taken: list[str] = []
+    of = lambda some: some.select("toxic", "sketch", F.explode(forms).alias("w")).where("w is not null")
+    # only what stands in enough toxic rows is looked for in the others
+    seen = of(rows.where("toxic = 1")).groupBy("w").agg(F.count("*").alias("seen"), F.countDistinct("sketch").alias("up")).where(F.col("up") >= LEAST_SUPPORT)
+    seen = materialise(seen, "seen")
+    down = of(rows.where("toxic = 0")).groupBy(F.col("w").alias("d")).agg(F.count("*").alias("down"))
+    both = seen.join(down, F.col("w") == F.col("d"), "left").select("w", "seen", "up", F.coalesce("down", F.lit(0)).alias("down"))
+    best = both.where((F.col("seen") >= 9 * F.col("down")) & (F.col("up") >= 9 * F.col("down"))).orderBy(F.desc(F.col("up") - 20 * F.col("down")), F.desc(F.length("w")), "w")
+    words, stems, begins = [], set(), set()
     for w in (r.w for r in best.collect()):
         plain = w.rstrip("-")
-        if len(taken) < FOUND_WORDS and not any(plain.startswith(t.rstrip("-")) or t.rstrip("-").startswith(plain) for t in taken if t.endswith("-") or w.endswith("-")):
-            taken.append(w)
-    return taken
+        # nothing is taken that a taken stem begins, and no stem that begins what is taken
+        if any(plain[:k] in stems for k in range(1, len(plain) + 1)) or (w.endswith("-") and plain in begins):
+            continue
+        words.append(w)
+        begins.update(plain[:k] for k in range(1, len(plain) + 1))
+        if w.endswith("-"):
+            stems.add(plain)
+    return words
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
@@ -190,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     known = labels.select(column(labels, "doc_id", "bigint").alias("l"), column(labels, "toxic", "int").alias("toxic")).where("toxic in (0, 1)").groupBy("l").agg(F.max("toxic").alias("toxic"))
     picked = known.where(~held_out(F.col("l"))).orderBy(F.xxhash64("l"), "l").limit(TRAIN_ROWS)
     train = docs.select(key.alias("doc_id"), whole_text(docs).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("l"))
-    train = materialise(train.select("doc_id", "text", "toxic"), "train")
+    train = materialise(train.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism), "train")
     voters = Voters(found_words(train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +248,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = np.array([voters.votes(t.as_py()) for t in batch.column("text")], np.int8).reshape(-1, len(voters.names))
-            p = 1 / (1 + np.exp(-np.clip(_features(votes) @ weights, -30, 30)))
+            p = np.empty(batch.num_rows)
+            for at in range(0, batch.num_rows, ROWS):
+                votes = np.array([voters.votes(t.as_py()) for t in batch.column("text")[at : at + ROWS]], np.int8).reshape(-1, len(voters.names))
+                p[at : at + ROWS] = 1 / (1 + np.exp(-np.clip(_features(votes) @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     key = column(docs, "doc_id", "bigint")

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skeinwork.llm import html_extract, lm_scoring, ngram_join, packing, toxicity, warc
 from skeinwork.llm.ngram_join import NgramJaccardJoin
@@ -216,6 +217,7 @@ def test_toxicity(spark):
         labels.append((i, 1, int(toxic)))
     rows += [(9000, None, None, None), (None, "idiot scum", None, None), (9001, "x " * 60_000, "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs = docs.unionByName(docs.where("doc_id = 5")).withColumn("toxic", F.lit("clash")).withColumn("seen", F.lit(1))
     labs = spark.createDataFrame([*labels, (9000, None, None)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.score(docs, labs).collect()}
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
@@ -226,6 +228,21 @@ def test_toxicity(spark):
     assert toxicity.score(docs, labs.limit(0)).where("doc_id is null").first().predicted == 1
 
 
+def test_label_model_knows_copies():
+    """A voter that repeats another hangs on it and adds next to nothing; quotes and marks hide no word."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(4000) < 0.2).astype(int)
+    vote = lambda up, down: np.where(rng.random(4000) < np.where(y == 1, up, down), 1, 0)
+    a, b, c = vote(0.7, 0.05), vote(0.7, 0.05), vote(0.6, 0.05)
+    noisy = np.where(rng.random(4000) < 0.1, 1 - y, y)
+    plain, _ = toxicity.label_model(np.stack([a, b, c], 1).astype(np.int8), noisy)
+    copied, parent = toxicity.label_model(np.stack([a, b, c, a, a], 1).astype(np.int8), noisy)
+    assert parent[3] in (0, 4) and parent[4] in (0, 3)
+    assert ((plain > 0.5) == y).mean() > (noisy == y).mean() + 0.05 and ((copied > 0.5) == y).mean() == ((plain > 0.5) == y).mean()
+    voters = toxicity.Voters(["zorp-"])
+    assert all(voters.votes(t)[0] == 1 for t in ("(idiot)", '"Moron', "idiot!!!", "loser...", "\u201cclown\u201d")) and voters.votes("zorpel")[len(toxicity.LEXICONS)] == 1
+
+
 def test_language_model(spark):
     import math
     from collections import Counter
