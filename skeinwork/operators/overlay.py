@@ -24,12 +24,24 @@ def resolved(annotations: DataFrame, claims: DataFrame, key: str, claim_id: str)
     return annotations.join(now, F.col("target_key") == F.col("k"), "left").drop("k")
 
 
+def clear(annotations: DataFrame, keys: DataFrame) -> DataFrame:
+    """Annotations but for those of ``keys`` (target_key)."""
+    return annotations.join(keys.select(F.col("target_key").alias("k")), F.col("target_key") == F.col("k"), "left_anti")
+
+
+def forget(solutions: DataFrame, error_key: str, description: str) -> DataFrame:
+    """Solutions but for one."""
+    return solutions.where(~((F.col("error_key") == error_key) & (F.col("description") == description)))
+
+
 def annotate(old: DataFrame, new: DataFrame) -> DataFrame:
     return keyed_upsert(old, new, ["project_id", "target_kind", "target_key"])
 
 
-def add_solution(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Solutions by project, error and text; blank ones are refused."""
+def add_solution(old: DataFrame, new: DataFrame, entities: DataFrame) -> DataFrame:
+    """Solutions by project, error and text; blank ones are refused, and those of what isn't an error among ``entities``."""
+    errors = entities.where("entity_type = 'Error'").select(F.col("identity_key").alias("k"))
+    new = new.join(errors, F.col("error_key") == F.col("k"), "left_semi")
     return keyed_upsert(old, new.where(F.length(F.trim("description")) > 0), ["project_id", "error_key", "description"])
 
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import materialise
+
 from ..functions.text import tokens
 
 K1, B = 1.2, 0.75
@@ -65,8 +67,21 @@ def bm25(postings: DataFrame, text: str, last_is_prefix: bool = True) -> DataFra
 
 def search(docs: DataFrame, key: str, name: str, columns: list[str], text: str, limit: int = 50) -> DataFrame:
     """Best hits by bm25, then name; without any, names that contain the text as a pattern."""
-    scores = bm25(index(docs, key, columns), text)
-    hits = docs.join(scores, F.col(key) == F.col("id")).select(F.col(key).alias("hit_id"), F.col(name).alias("hit"), "score").orderBy("score", "hit", "hit_id").limit(limit)
+    return search_index(index(docs, key, columns), docs, key, name, text, limit)
+
+
+def synced(postings: DataFrame, touched: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """A kept index after changes: ``touched`` holds (key, is_deleted) and the columns of all changed rows."""
+    ids = touched.select(F.col(key).cast("string").alias("touched_id"))
+    kept = postings.join(ids, F.col("id").cast("string") == F.col("touched_id"), "left_anti")
+    return kept.unionByName(index(touched.where("not is_deleted"), key, columns))
+
+
+def search_index(postings: DataFrame, docs: DataFrame, key: str, name: str, text: str, limit: int = 50) -> DataFrame:
+    """``search`` over an index that is kept beside ``docs``; the hits, ``limit`` at most, are computed once."""
+    scores = bm25(postings, text).withColumnRenamed("id", "scored_id")
+    hits = docs.join(scores, F.col(key) == F.col("scored_id")).select(F.col(key).alias("hit_id"), F.col(name).alias("hit"), "score").orderBy("score", "hit", "hit_id").limit(limit)
+    hits = materialise(hits, "hits")
     return hits if hits.take(1) else like(docs, key, name, text, limit)
 
 

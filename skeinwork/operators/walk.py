@@ -28,16 +28,20 @@ def impact(rels: DataFrame, ents: DataFrame, root: str, direction: str = "incomi
     edges = rels.where(~F.col("relation_type").isin(*STRUCTURAL) & (F.col("conf") >= min_conf)).select(
         F.col(own).alias("from"), F.col(other).alias("to"), "relation_type", "conf", F.col("id").alias("edge_id"), (F.col("status") != "confirmed").alias("guess")
     )
+    # the edges of the walk are written once, so that a level reads six columns and joins nothing else
     known = ents.select(F.col("id").alias("known"))
+    edges = materialise(edges.join(known, F.col("to") == F.col("known"), "left_semi"), "edges")
     frontier = spark.createDataFrame([(root, 0, 100, False, None, [root])], VISIT)
     visited, admitted, truncated = frontier, 1, False
     levels: list[DataFrame] = []
     for level in range(1, max(1, depth) + 1):
         met = frontier.join(edges, F.col("id") == F.col("from"))
         met = met.select(F.col("to").alias("id"), F.least("min_conf", "conf").alias("min_conf"), (F.col("inferred") | F.col("guess")).alias("inferred"), F.col("edge_id").alias("via"), "relation_type", "conf", F.concat("path", F.array("to")).alias("path"))
-        met = met.join(visited.select(F.col("id").alias("seen")), F.col("id") == F.col("seen"), "left_anti").join(known, F.col("id") == F.col("known"), "left_semi")
+        met = met.join(visited.select(F.col("id").alias("seen")), F.col("id") == F.col("seen"), "left_anti")
         order = [F.desc("min_conf"), F.asc("inferred"), F.desc("conf"), F.asc("relation_type"), F.asc("via")]
-        best = met.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("nth = 1").drop("nth")
+        # partial aggregates: a hub's whole in-degree never meets in one task
+        rank = F.struct((-F.col("min_conf")).alias("m"), "inferred", (-F.col("conf")).alias("c"), "relation_type", "via")
+        best = met.groupBy("id").agg(F.min_by(F.struct("min_conf", "inferred", "via", "relation_type", "conf", "path"), rank).alias("b")).select("id", "b.*")
         if max_nodes is not None:
             room = max(max_nodes - admitted, 0)
             best = materialise(best, "candidates")
@@ -65,6 +69,7 @@ def neighborhood(rels: DataFrame, ents: DataFrame, root: str, depth: int = 1, ma
     among the nodes.
     """
     spark = rels.sparkSession
+    rels = materialise(rels, "edges")
     both = rels.select(F.col("source_id").alias("from"), F.col("target_id").alias("to")).unionByName(rels.select(F.col("target_id").alias("from"), F.col("source_id").alias("to")))
     known = ents.select(F.col("id").alias("known"))
     frontier = nodes = spark.createDataFrame([(root, 0)], "id string, depth int")

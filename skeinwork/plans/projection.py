@@ -30,7 +30,7 @@ UNION ALL SELECT concat('j', a.l_orderkey, '_', a.l_linenumber), concat('p', a.l
 """
 FILES = """
 SELECT o_orderkey AS file_id, concat('src/', lower(o_orderstatus), '/f', o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '.sql' WHEN 1 THEN '.pkb' WHEN 2 THEN '.jrxml' WHEN 3 THEN '.log' WHEN 4 THEN '.png' ELSE '.xyz' END) AS path,
-  CAST(o_totalprice * 10 AS BIGINT) AS size_bytes, CASE o_orderstatus WHEN 'F' THEN 'analyzed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS analysis_status,
+  CAST(floor(o_totalprice * 10) AS BIGINT) AS size_bytes, CASE o_orderstatus WHEN 'F' THEN 'analyzed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS analysis_status,
   concat('h', o_orderkey) AS content_hash, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'old' ELSE concat('h', o_orderkey) END AS analyzed_hash,
   CASE WHEN o_orderkey % 3 = 0 THEN 'suite-1' WHEN o_orderkey % 3 = 1 THEN 'suite-2' END AS analyzed_by, o_orderdate AS scanned_at FROM orders
 """

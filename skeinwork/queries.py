@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import naming, text
-from .operators import changes, compare, graph, ingest, merge, overlay, search, stats, walk
+from .operators import changes, compare, graph, ingest, lifecycle, merge, overlay, search, stats, views, walk
 from .operators.extract.base import analyze_files
 from .operators.extract.others import default_registry
 from .plans.projection import Graph, with_graph
@@ -64,12 +64,12 @@ def detect_type_mix(g: Graph) -> DataFrame:
 
 
 @on_tables(
-    "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 8000 THEN 'too_large' END AS skip_reason, CASE WHEN octet_length(encode(text)) <= 8000 THEN sha256(text) END AS content_hash FROM documents WHERE text IS NOT NULL", "documents"
+    "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 5242880 THEN 'too_large' END AS skip_reason, CASE WHEN octet_length(encode(text)) <= 5242880 THEN sha256(text) END AS content_hash FROM documents WHERE text IS NOT NULL", "documents"
 )
 def skip_reasons(docs: DataFrame) -> DataFrame:
     content = F.col("text").cast("binary")
     named = docs.where("text is not null").select("doc_id", F.concat(F.lit("d"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.octet_length(content).cast("bigint").alias("size_bytes"), content.alias("content"))
-    return sources.classify(named, sources.ScanPolicy(max_bytes=8000)).select("doc_id", "skip_reason", "content_hash")
+    return sources.classify(named).select("doc_id", "skip_reason", "content_hash")
 
 
 @on_graph("SELECT 'oracle-apex' AS project_type FROM (SELECT count(*) FROM files) WHERE (SELECT count(*) FROM files WHERE path LIKE '%.sql' OR path LIKE '%.pkb') > 0 AND NOT (abs((SELECT count(*) FROM files WHERE path LIKE '%.sql' OR path LIKE '%.pkb') - (SELECT count(*) FROM files WHERE path LIKE '%.jrxml')) < 0.5 * (SELECT count(*) FROM files WHERE path LIKE '%.sql' OR path LIKE '%.pkb'))")
@@ -302,12 +302,12 @@ def joined_with(g: Graph) -> DataFrame:
     return graph.joined_with(g.relationships, TABLE)
 
 
-_BRAND = "(SELECT id FROM entities WHERE qualified_name LIKE 'Brand#1%')"
+_BRAND = "(SELECT id FROM entities WHERE entity_type = 'OracleTable')"
 
 
 @on_graph(f"SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, count(*) AS n, max(conf) AS conf FROM relationships WHERE relation_type = 'TABLE_JOINS_TABLE' AND source_id <> target_id AND source_id IN {_BRAND} AND target_id IN {_BRAND} GROUP BY 1, 2")
 def er_links(g: Graph) -> DataFrame:
-    return graph.er_links(g.relationships, g.entities.where("qualified_name like 'Brand#1%'").select("id"))
+    return graph.er_links(g.relationships, g.entities.where("entity_type = 'OracleTable'").select("id"))
 
 
 @on_graph(", own AS (SELECT upper(string_split(qualified_name, '.')[1]) AS owner, count(DISTINCT string_split(qualified_name, '.')[-1]) AS n FROM (SELECT concat(n_name, '.', c_name) AS qualified_name FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY owner) SELECT e.id, e.name, CAST(coalesce(own.n, 0) AS INTEGER) AS n_columns FROM entities e LEFT JOIN own ON upper(e.name) = own.owner WHERE e.entity_type = 'OraclePackage'")
@@ -540,9 +540,9 @@ def error_signature(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.signature(F.col("text")).alias("signature"))
 
 
-@on_tables("SELECT doc_id, CAST(length(text[1:500]) - length(replace(text[1:500], chr(10), '')) + 1 AS INTEGER) AS line FROM documents", "documents")
+@on_tables("SELECT doc_id, CAST(length(left(text, CAST(length(text) * 2 // 3 AS INTEGER))) - length(replace(left(text, CAST(length(text) * 2 // 3 AS INTEGER)), chr(10), '')) + 1 AS INTEGER) AS line FROM documents", "documents")
 def line_of_offset(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text.line_of(F.col("text"), F.lit(500)).alias("line"))
+    return docs.select("doc_id", text.line_of(F.col("text"), F.floor(F.length("text") * 2 / 3).cast("int")).alias("line"))
 
 
 @on_tables("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events", "events")
@@ -628,6 +628,190 @@ def apex_items_in_file(orders: DataFrame) -> DataFrame:
     return graph.entities_in_file(built.relationships, built.entities, files, "f5.sql", ("ApexItem",)).select("name", "first_line")
 
 
+# -- the write path and the viewer's reports --------------------------------------------------
+
+_STATE = "CASE WHEN file_id % 11 = 0 THEN 'deleted' WHEN analyzed_hash = content_hash THEN 'analyzed' ELSE 'pending' END"
+_STORED = _VERSIONS + f", stored AS (SELECT path, {_STATE} AS status FROM files WHERE file_id % 10 <> 1)"
+
+
+def _scans(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """The stored inventory and what a scan found."""
+    none = F.lit(None).cast("string").alias("skip_reason")
+    old = g.files.where("file_id % 10 <> 1").select("file_id", "path", "content_hash", none, "size_bytes", (F.col("file_id") % 11 == 0).alias("is_deleted"), F.expr(_STATE).alias("analysis_status"))
+    new = g.files.where("file_id % 10 <> 2").select("path", F.when(F.col("file_id") % 9 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")).alias("content_hash"), none, "size_bytes")
+    return old, new
+
+
+@on_graph(_STORED + """SELECT coalesce(n.path, o.path) AS path, n.content_hash, n.path IS NULL AS is_deleted, coalesce(n.size_bytes, o.size_bytes) AS size_bytes,
+  CASE WHEN n.path IS NULL THEN 'deleted' WHEN d.kind IN ('added', 'modified') THEN 'pending' ELSE s.status END AS analysis_status, d.kind
+FROM old o FULL JOIN new n ON n.path = o.path LEFT JOIN diff d ON d.path = coalesce(n.path, o.path) LEFT JOIN stored s ON s.path = o.path""")
+def inventory_apply(g: Graph) -> DataFrame:
+    return lifecycle.apply_inventory(*_scans(g)).select("path", "content_hash", "is_deleted", "size_bytes", "analysis_status", "kind")
+
+
+@on_graph(_VERSIONS + """SELECT d.path, CASE WHEN d.kind = 'deleted' THEN o.content_hash ELSE n.content_hash END AS content_hash, CASE WHEN d.kind = 'deleted' THEN o.size_bytes ELSE n.size_bytes END AS size_bytes, d.kind AS change_kind, 'run-2' AS run_id
+FROM diff d LEFT JOIN old o ON o.path = d.path LEFT JOIN new n ON n.path = d.path WHERE d.kind <> 'unchanged'""")
+def recorded_versions(g: Graph) -> DataFrame:
+    return lifecycle.recorded_versions(*_scans(g), "run-2")
+
+
+@on_graph(_VERSIONS + "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN status = 'deleted' THEN 'gone' ELSE 'here' END AS kind FROM (SELECT CASE WHEN n.path IS NULL THEN 'deleted' END AS status FROM old o FULL JOIN new n ON n.path = o.path)) GROUP BY kind")
+def soft_deleted(g: Graph) -> DataFrame:
+    applied = lifecycle.apply_inventory(*_scans(g))
+    return stats.count_by(applied.select(F.when(F.col("is_deleted"), "gone").otherwise("here").alias("kind")), "kind")
+
+
+@on_graph(f"SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'analyzed' WHEN file_id % 3 = 1 THEN 'failed' ELSE analysis_status END AS analysis_status, CASE WHEN file_id % 3 = 0 THEN content_hash ELSE analyzed_hash END AS analyzed_hash, CASE WHEN file_id % 3 = 0 THEN '{SUITE}' ELSE analyzed_by END AS analyzed_by FROM files")
+def status_update(g: Graph) -> DataFrame:
+    done = g.files.where("file_id % 3 < 2").select("file_id", F.when(F.col("file_id") % 3 == 0, "analyzed").otherwise("failed").alias("status"), F.when(F.col("file_id") % 3 == 0, F.col("content_hash")).alias("analyzed_hash"))
+    return lifecycle.set_status(g.files, done, SUITE).select("file_id", "analysis_status", "analyzed_hash", "analyzed_by")
+
+
+@on_graph("SELECT 'claims' AS what, count(*) AS n FROM relationships WHERE file_id IS NULL OR file_id % 5 <> 0 UNION ALL SELECT 'errors', count(*) FROM relationships WHERE conf < 92 AND (file_id IS NULL OR file_id % 5 <> 0)")
+def purge_deleted(g: Graph) -> DataFrame:
+    errors = g.relationships.where("conf < 92").select("id", "file_id")
+    claims, _, left = lifecycle.purge(g.relationships, g.relationships, errors, g.files.where("file_id % 5 = 0"))
+    return stats.count_by(claims.select(F.lit("claims").alias("what")).unionByName(left.select(F.lit("errors").alias("what"))), "what")
+
+
+@on_graph("SELECT 'entities' AS what, count(*) AS n FROM entities WHERE entity_type <> 'SqlQuery' UNION ALL SELECT 'relationships', count(*) FROM relationships WHERE relation_type <> 'QUERY_READS_TABLE'")
+def project_delete(g: Graph) -> DataFrame:
+    tables = {"entities": g.entities.withColumn("project_id", F.col("entity_type")), "relationships": g.relationships.withColumn("project_id", F.when(F.col("relation_type") == "QUERY_READS_TABLE", "SqlQuery").otherwise("other"))}
+    left = lifecycle.delete_project(tables, "SqlQuery")
+    return stats.count_by(left["entities"].select(F.lit("entities").alias("what")).unionByName(left["relationships"].select(F.lit("relationships").alias("what"))), "what")
+
+
+@on_tables("SELECT c_custkey AS id, '/data/' || c_mktsegment || c_custkey AS root, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS name FROM customer", "customer")
+def project_open(customer: DataFrame) -> DataFrame:
+    at = lambda day: F.lit(day).cast("date").alias("updated_at")
+    path = F.concat(F.lit("/data/"), "c_mktsegment", "c_custkey")
+    old = customer.select(F.col("c_custkey").alias("id"), path.alias("root"), F.col("c_name").alias("name"), at("2024-01-01"))
+    new = customer.where("c_custkey % 2 = 0").select((-F.col("c_custkey")).alias("id"), F.concat(path, F.lit("//")).alias("root"), F.lit("new").alias("name"), at("2024-01-02"))
+    return lifecycle.open_projects(old, new).select("id", "root", "name")
+
+
+@on_tables("SELECT c_custkey AS id, 'en' AS lang, CASE WHEN c_custkey % 3 = 0 THEN '9' WHEN c_custkey % 3 = 2 THEN '4' END AS depth FROM customer", "customer")
+def project_settings(customer: DataFrame) -> DataFrame:
+    projects = customer.select(F.col("c_custkey").alias("id"), F.create_map(F.lit("lang"), F.lit("en"), F.lit("depth"), F.lit("4")).alias("settings"))
+    changed = customer.where("c_custkey % 3 < 2").select(F.col("c_custkey").alias("project_id"), F.lit("depth").alias("key"), F.when(F.col("c_custkey") % 3 == 0, "9").alias("value"))
+    return lifecycle.with_settings(projects, changed).select("id", F.col("settings")["lang"].alias("lang"), F.try_element_at("settings", F.lit("depth")).alias("depth"))
+
+
+@on_graph(f"SELECT {_TYPES_SQL} AS detected_type, CAST(NULL AS VARCHAR) AS skip_reason, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM files GROUP BY detected_type")
+def dry_run(g: Graph) -> DataFrame:
+    return lifecycle.dry_run(g.files.select(sources.detect_type(F.col("path")).alias("detected_type"), F.lit(None).cast("string").alias("skip_reason"), "size_bytes")).select("detected_type", "skip_reason", "n", F.col("bytes").cast("bigint").alias("bytes"))
+
+
+@on_graph("SELECT status, CASE WHEN conf >= 100 THEN 'confirmed' ELSE 'inferred' END AS fallback, count(*) AS n FROM relationships GROUP BY status, fallback")
+def default_status(g: Graph) -> DataFrame:
+    return g.relationships.groupBy("status", lifecycle.default_status(F.col("conf")).alias("fallback")).agg(F.count("*").alias("n"))
+
+
+@on_tables("SELECT '{\"nation\":\"' || n_name || '\",\"note\":\"caf\\u00e9 ' || n_nationkey || '\",\"none\":null}' AS line FROM nation", "nation")
+def json_wire(nation: DataFrame) -> DataFrame:
+    return lifecycle.json_lines(nation.select(F.col("n_name").alias("nation"), F.concat(F.lit("café "), "n_nationkey").alias("note"), F.lit(None).cast("string").alias("none")))
+
+
+@on_graph(f"SELECT id AS edge_id, conf, start_line FROM relationships WHERE target_id = '{TABLE}' ORDER BY conf DESC, start_line, id LIMIT 100")
+def evidence_lookup(g: Graph) -> DataFrame:
+    evidence = g.relationships.select("id", F.col("target_id").alias("entity_id"), F.col("conf").alias("confidence"), "start_line")
+    return views.evidence_of(evidence, "entity_id", TABLE).select(F.col("id").alias("edge_id"), F.col("confidence").alias("conf"), "start_line")
+
+
+@on_graph("SELECT id, entity_type, name, count(*) OVER () = 1 AS chosen FROM entities WHERE upper(name) = (SELECT upper(name) FROM entities WHERE id = 'p7') OR upper(qualified_name) = (SELECT upper(name) FROM entities WHERE id = 'p7')")
+def resolve_candidates(g: Graph) -> DataFrame:
+    name = g.entities.where("id = 'p7'").first()["name"]
+    return views.resolve_one(g.entities, name)
+
+
+@on_graph(f"SELECT id, entity_type, name, true AS chosen FROM entities WHERE id = '{TABLE}'")
+def resolve_by_id(g: Graph) -> DataFrame:
+    return views.resolve_one(g.entities, TABLE)
+
+
+_FAULTS = "SELECT event_id AS error_id, ts AS seen_at, 'run-' || (event_id % 13) AS run_id, 'p' || (event_id % 3) AS project_id FROM events WHERE event_type = 'error'"
+
+
+def _faults(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("at"), F.concat(F.lit("run-"), F.col("event_id") % 13).alias("run_id"), F.concat(F.lit("p"), F.col("event_id") % 3).alias("project_id"))
+
+
+@on_tables(f"SELECT error_id FROM ({_FAULTS}) WHERE run_id = 'run-4'", "events")
+def errors_of_run(events: DataFrame) -> DataFrame:
+    return views.errors_of(_faults(events), "run_id", "run-4").select("error_id")
+
+
+@on_tables(f"SELECT error_id FROM ({_FAULTS}) WHERE project_id = 'p1' ORDER BY seen_at DESC, error_id LIMIT 200", "events")
+def errors_of_project(events: DataFrame) -> DataFrame:
+    return views.errors_of(_faults(events), "project_id", "p1", 200).select("error_id")
+
+
+@on_graph("SELECT id FROM relationships WHERE conf % 4 = 1")
+def annotations_clear(g: Graph) -> DataFrame:
+    notes = g.relationships.where("conf % 2 = 1").select("id", F.col("conf").cast("string").alias("target_key"))
+    gone = notes.where("cast(target_key as int) % 4 = 3").select("target_key").distinct()
+    return overlay.clear(notes, gone).select("id")
+
+
+@on_tables(f"SELECT code AS error_key, d AS description FROM (SELECT DISTINCT code FROM ({_ERRORS})), (VALUES ('wait'), ('restart')) v(d) WHERE NOT (code = (SELECT min(code) FROM ({_ERRORS})) AND d = 'wait')", "events")
+def solutions_forget(events: DataFrame) -> DataFrame:
+    codes = _errors(events).select(F.col("code").alias("error_key")).distinct()
+    known = codes.select("error_key", F.explode(F.array(F.lit("wait"), F.lit("restart"))).alias("description"))
+    return overlay.forget(known, codes.agg(F.min("error_key")).first()[0], "wait")
+
+
+@on_graph("SELECT entity_type, count(*) AS n, (SELECT CAST(sum(size_bytes) AS BIGINT) FROM files) AS total_bytes FROM entities GROUP BY entity_type ORDER BY n DESC, entity_type LIMIT 8")
+def home_report(g: Graph) -> DataFrame:
+    return views.home(g.files, g.entities).select("entity_type", "n", F.col("total_bytes").cast("bigint").alias("total_bytes"))
+
+
+@on_graph(f"SELECT e.entity_type, count(*) AS n, count(*) FILTER (r.status = 'confirmed') AS certain, count(*) FILTER (r.status <> 'confirmed') AS guessed FROM relationships r JOIN entities e ON e.id = r.source_id WHERE r.target_id = '{ROOT}' GROUP BY e.entity_type")
+def impact_groups(g: Graph) -> DataFrame:
+    return views.impact_groups(walk.impact(g.relationships, g.entities, ROOT, depth=1, max_nodes=None), g.entities)
+
+
+@on_graph("SELECT file_id FROM files WHERE contains(lower(path), '7.pkb')")
+def path_filter(g: Graph) -> DataFrame:
+    return views.path_filter(g.files, " 7.PKB ").select("file_id")
+
+
+@on_graph("SELECT id FROM relationships WHERE file_id = (SELECT min(file_id) FROM files WHERE path = (SELECT min(path) FROM files)) AND start_line IS NOT NULL")
+def file_markers(g: Graph) -> DataFrame:
+    shown = g.files.agg(F.min("path")).first()[0]
+    return views.markers(g.relationships, g.files, shown).select("id")
+
+
+@on_graph(f"SELECT id, name FROM entities WHERE id = '{TABLE}' OR id IN (SELECT CASE WHEN source_id = '{TABLE}' THEN target_id ELSE source_id END FROM relationships WHERE relation_type = 'TABLE_JOINS_TABLE' AND (source_id = '{TABLE}' OR target_id = '{TABLE}'))")
+def er_focus(g: Graph) -> DataFrame:
+    return views.er_focus(g.entities, graph.er_links(g.relationships, g.entities.select("id")), TABLE)
+
+
+@on_graph("SELECT CAST(min(conf) - 120 AS DOUBLE) AS x0, CAST(min(id[2:]::BIGINT) - 120 AS DOUBLE) AS y0, CAST(max(conf) + 120 AS DOUBLE) AS x1, CAST(max(id[2:]::BIGINT) + 120 AS DOUBLE) AS y1 FROM entities")
+def layout_bounds(g: Graph) -> DataFrame:
+    return views.bounds(g.entities.select(F.col("conf").cast("double").alias("x"), F.substring("id", 2, 99).cast("bigint").cast("double").alias("y")))
+
+
+@on_graph("SELECT path FROM files ORDER BY path LIMIT 41 OFFSET 92")
+def row_window(g: Graph) -> DataFrame:
+    return views.window(g.files.select("path"), ["path"], top=2000, height=500, row_height=20).select("path")
+
+
+@on_graph("SELECT id AS hit_id, name AS hit, 0.0 AS score FROM entities WHERE name ILIKE '%tomer#0000_0001%' ORDER BY length(name), name, id LIMIT 50")
+def search_fallback(g: Graph) -> DataFrame:
+    return search.search(g.entities, "id", "name", ["name"], "tomer#0000_0001")
+
+
+@on_graph("SELECT id AS hit_id, name AS hit FROM entities WHERE regexp_matches(name, '(^| )(ring|nut)( |$)', 'i') AND (id NOT LIKE '%7' OR regexp_matches(name, '(^| )nut( |$)', 'i'))")
+def search_synced(g: Graph) -> DataFrame:
+    """The index built, then brought up to date: of entities whose id ends in 7 the word ring is gone."""
+    part = g.entities.select("id", "name")
+    kept = search.index(part, "id", ["name"])
+    new = part.where("id like '%7'").select("id", F.regexp_replace("name", "(?i)ring", "rod").alias("name"), F.lit(False).alias("is_deleted"))
+    now = search.synced(kept, new, "id", ["name"])
+    found = search.bm25(now, "ring").unionByName(search.bm25(now, "nut")).select(F.col("id").alias("found")).distinct()
+    return part.join(found, F.col("id") == F.col("found"), "left_semi").select(F.col("id").alias("hit_id"), F.col("name").alias("hit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

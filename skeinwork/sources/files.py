@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,6 @@ class ScanPolicy:
     max_bytes: int = 5 * 1024 * 1024
     max_depth: int = 24
     hash_binaries: bool = True
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.max_bytes <= 0 or self.max_depth <= 0:
@@ -81,6 +81,29 @@ def scan(spark: SparkSession, root: str, policy: ScanPolicy = ScanPolicy()) -> D
     return classify(small.unionByName(large), policy)
 
 
+def project_root(root: str) -> str:
+    """The real folder that ``root`` names; it must exist. For folders of this machine, before they are listed."""
+    real = os.path.realpath(os.path.expanduser(root.removeprefix("file://")))
+    if not os.path.isdir(real):
+        raise ValueError(f"{root} is no folder")
+    return real
+
+
+def is_within(root: str, path: str) -> bool:
+    """``path``, links followed, lies in ``root`` or is it; by folders, not by the beginning of the text."""
+    a, b = os.path.realpath(root), os.path.realpath(path)
+    return os.path.splitdrive(a)[0] == os.path.splitdrive(b)[0] and os.path.commonpath([a, b]) == a
+
+
+def read_file(spark: SparkSession, root: str, path: str, max_bytes: int = 2 * 1024 * 1024) -> DataFrame:
+    """(path, text, truncated) of one file of a project, at most ``max_bytes`` of it."""
+    real = os.path.join(project_root(root), path)
+    if not is_within(root, real):
+        raise ValueError(f"{path} lies outside the project")
+    found = spark.read.format("binaryFile").load(f"file://{real}")
+    return found.select(F.lit(path).alias("path"), decode(F.substring("content", 1, max_bytes)).alias("text"), (F.col("length") > max_bytes).alias("truncated"))
+
+
 def from_records(spark: SparkSession, records: list[dict]) -> DataFrame:
     """An inventory that someone else scanned."""
     return spark.createDataFrame(records, "path string, size_bytes bigint, content_hash string, detected_type string, skip_reason string")
