@@ -48,6 +48,9 @@ HINTS = {
 }
 _HINT = {w: k for k, words in reversed(HINTS.items()) for w in words.split()}
 _ATTR = re.compile(r"""\b(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)|\b(hidden|aria-hidden\s*=\s*["']?true)""", re.I)
+#: A tag up to its end: plain characters, and quoted values right after their =. Where a quote never closes
+#: there is no later one of its kind either, so each kind is looked for in vain once.
+_INSIDE = re.compile(r"""(?:[^>="']+|="[^"]*"|='[^']*'|[="'])*+""")
 _NAME = re.compile(r"/?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 
 
@@ -59,7 +62,6 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """
     at, n, text = 0, len(page), 0
     lower = None
-    no_quote = {'"': n + 1, "'": n + 1}  # from where on a quote never closes
     while True:
         lt = page.find("<", at)
         if lt < 0 or lt + 1 >= n:
@@ -72,21 +74,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             end = page.find(">", lt)
             end = n if end < 0 else end + 1
         elif m := _NAME.match(page, lt + 1):
-            end = m.end()
-            while True:  # to the > outside quotes
-                gt = page.find(">", end)
-                if gt < 0:
-                    end = n
-                    break
-                q = min((i for i in (page.find('"', end, gt), page.find("'", end, gt)) if i >= 0), default=-1)
-                if q < 0 or page[q - 1] != "=" or q >= no_quote[page[q]]:
-                    end = gt + 1
-                    break
-                close = page.find(page[q], q + 1)
-                if close < 0:
-                    no_quote[page[q]], end = q, gt + 1
-                    break
-                end = close + 1
+            end = _INSIDE.match(page, m.end()).end() + 1  # past the > outside quotes
+            end = min(end, n)
         else:
             at = lt + 1
             continue
@@ -107,6 +96,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[text:], ""
 
 
+@cache
+def _named(word: str) -> str:
+    """What one class or id says. A compound whose last part names content says nothing against it, whatever
+    its other parts say."""
+    if word in _HINT:
+        return _HINT[word]
+    parts = [_HINT.get(w, "") for w in re.split(r"[^a-z0-9]+", word) if w]
+    said = [x for x in parts if x]
+    against = [x for x in said if x != "main"]
+    if not against:
+        return said[0] if said else ""
+    return "" if parts[-1] == "main" else against[0]
+
+
 def _place(name: str, attrs: str) -> str:
     """What an element's name, role, class and id say about its content; empty if nothing."""
     found = PLACES.get(name, "")
@@ -122,7 +125,7 @@ def _place(name: str, attrs: str) -> str:
         elif key.lower() == "style":
             said.append("notice" if re.search(r"display\s*:\s*none", value) else "")
         else:
-            said += [_HINT.get(w, "") for w in [*value.split(), *re.split(r"[^a-z0-9]+", value)]]
+            said += [_named(w) for w in value.split()]
     said = [x for x in said if x]
     against = [x for x in said if x != "main"]
     return against[0] if against else found if found and found != "main" else said[0] if said else found
@@ -132,15 +135,24 @@ def units(page: str) -> list[tuple[str, str, str, int]]:
     """("word", text, context, block) and ("tag", element, "", block) in page order."""
     out: list[tuple[str, str, str, int]] = []
     stack: list[tuple[str, str]] = []
+    inner: list[str] = []  # containers opened inside what is skipped
     place, block, skip, links, kind = "", 0, "", 0, "div"
     for what, value, attrs in tokens(page):
         if what == "text":
             if not skip and (value := html.unescape(value)):
                 out.append(("word", value, f"{place or 'plain'}{'/link' if links else ''}/{kind}", block))
             continue
+        if skip and skip != "head" and what == "close" and value != skip and value in CONTAINERS:
+            # an element that is never closed ends with what it stands in
+            if value in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(value) :]
+            elif any(value == x for x, _ in stack):
+                skip = ""
+        elif skip and what == "open" and value in CONTAINERS:
+            inner.append(value)
         if value in SKIPPED:
             if what == "open" and not skip and value not in VOID:
-                skip = value
+                skip, inner = value, []
             elif what == "close" and skip == value:
                 skip = ""
             if skip == "head" or value == "head":
@@ -218,20 +230,24 @@ def word_weight(context: str) -> float:
     return 0.5 if place in ("plain", "main") else -1.0
 
 
-def main_text(page: str) -> str:
-    """Blocks of the best region joined by line ends."""
-    _, tag = weights()
-    found = units(page)
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous run of the greatest sum, empty where none is above zero; one pass."""
     best, total, start, region = 0.0, 0.0, 0, (0, 0)
-    counts = []
-    for i, (what, value, context, _) in enumerate(found):
-        n = len(value.split()) if what == "word" and context else 0
-        counts.append(n)
-        total += n * word_weight(context) if n else tag.get(value, -0.2) if what == "tag" else 0.0
+    for i, score in enumerate(scores):
+        total += score
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, region = total, (start, i + 1)
+    return region
+
+
+def main_text(page: str) -> str:
+    """Blocks of the best region joined by line ends."""
+    _, tag = weights()
+    found = units(page)
+    counts = [len(value.split()) if what == "word" and context else 0 for what, value, context, _ in found]
+    region = best_region([n * word_weight(context) if n else tag.get(value, -0.2) if what == "tag" else 0.0 for n, (what, value, context, _) in zip(counts, found, strict=True)])
     blocks: dict[int, list[str]] = {}
     for i in range(*region):
         what, value, context, block = found[i]

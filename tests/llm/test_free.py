@@ -194,7 +194,37 @@ def test_extraction():
         assert html_extract.main_text(page.replace("[[", "").replace("]]", "")) == "\n".join(inside)
 
 
+def test_hint_words_in_compounds_and_open_elements():
+    body = "<p>The first paragraph has quite a few words in it, as articles do.</p><p>And so has the second one, which ends the page here.</p>"
+    for name in ("content-header-main", "more-content", "article"):
+        assert html_extract.main_text(f'<html><body><div class="{name}">{body}</div></body></html>').count("\n") == 1, name
+    assert html_extract.main_text(f'<body><div class="tools"><button>Play<video src=x></div><div>{body}</div></body>').count("\n") == 1
+    assert "Play" not in html_extract.main_text(f'<body><div><button><div>Play</div></button></div><article>{body}</article></body>')
+
+
+def test_region_has_the_greatest_sum():
+    """The scan against all regions of random scores."""
+    rng = random.Random(3)
+    word, tag = html_extract.weights()
+    for _ in range(30):
+        page = "".join(rng.choice(("<p>some words stand in here.</p>", "<nav><a href=1>Home</a></nav>", "<div class=ad>buy it now</div>", "<b>bold</b>", "<ul><li><a href=2>next</a></li></ul>")) for _ in range(12))
+        found = html_extract.units(page)
+        scores = [len(v.split()) * html_extract.word_weight(c) if k == "word" and c else tag.get(v, -0.2) if k == "tag" else 0.0 for k, v, c, _ in found]
+        best = max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
+        lo, hi = html_extract.best_region(scores)
+        assert sum(scores[lo:hi]) == pytest.approx(max(best, 0.0))
+
+
 def test_extraction_is_linear_on_odd_pages():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text("<p " + "a=\"b\" c='d' " * n + ">" + "text and words here. " * 9)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 8 * max(seconds(50_000), 0.02)
     for odd in ("<" * 200_000, "<a href='" * 40_000, "<p>" * 100_000, "<div class=\"x" * 30_000, "<script>" * 20_000):
         html_extract.main_text(odd)
 
