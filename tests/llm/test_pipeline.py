@@ -1,0 +1,55 @@
+"""The corpus pipeline as chained, against what its stages must leave of a small table."""
+
+import random
+
+import corpus_pipeline
+from skeinwork.llm import mixing, packing
+from skeinwork.llm.queries import TOKENIZER
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(rng, n=120):
+    words = "the river rose and farmers moved their herds to higher ground with help of all who were there on that day in spring as it was said".split()
+    return " ".join(rng.choice(words) if i % 3 else f"{rng.choice(words)}{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}{rng.choice('uvwxyz')}" for i in range(n))
+
+
+def test_pipeline_on_a_small_table(spark, tmp_path):
+    rng = random.Random(12)
+    texts = {i: prose(rng) for i in range(40)}
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in texts.items()]
+    rows += [(100 + i, texts[i] + " ", "en", "s0", 1) for i in range(5)]  # equal but for white space, and longer
+    rows += [(200 + i, texts[10 + i] + " end", "en", None, 1) for i in range(5)]  # near copies
+    rows += [(300, None, None, None, None), (301, "", "en", "s1", 0), (302, "too short", "en", "s1", 9), (303, " ".join(f"%%{i}$$##" for i in range(90)), "en", "s1", 9)]
+    rows += [rows[39], (None, texts[20] + " again", "en", "s2", 5)]
+    spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name.replace(" ", "_")))
+        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
+        seen[name] = docs
+    ids = lambda name: sorted((r.doc_id for r in seen[name].collect()), key=lambda x: (x is None, x))
+    good = [*range(40), 39, *range(100, 105), *range(200, 205), None]
+    assert ids("quality rules") == sorted(good, key=lambda x: (x is None, x))
+    assert ids("exact dedup") == [*range(5, 40), *range(100, 105), *range(200, 205), None]
+    # a null id links with nothing, so it stays
+    assert ids("n-gram Jaccard join") == [*range(5, 40), *range(100, 105), None]
+    assert all(seen[n].columns == [c.split()[0] for c in COLUMNS.split(", ")] for n in list(seen)[:4])
+    taken = mixing.mix(seen["n-gram Jaccard join"]).groupBy("doc_id").sum("copies").collect()
+    mixed = {}
+    for i in ids("mixing"):
+        mixed[i] = mixed.get(i, 0) + 1
+    assert mixed == {r.doc_id: r[1] for r in taken if r[1]}
+    pieces = packing.pieces(seen["mixing"], *TOKENIZER).collect()
+    out = seen["best-fit packing"].collect()
+    key = lambda r: (str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, out)) == sorted(map(key, pieces))
+    fill = {}
+    for r in out:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 2048
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
