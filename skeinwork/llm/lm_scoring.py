@@ -3,7 +3,8 @@ noise-contrastive estimation, over exact corpus counts.
 
 Tokens are words (A-Z as a-z) and one end a document. Counts of all training tokens are exact and
 live in a table by 64-bit word hash. The neural model predicts classes: each of the most frequent
-words is a class (2 sqrt(V) words of V distinct ones, LEAST_OWN to MOST_OWN), the end is one, and all
+words is a class (sqrt(V) / 2 words of V distinct ones, LEAST_OWN to MOST_OWN, as the normalisers of
+all pairs cost the third power of their number), the end is one, and all
 other words fall into surface classes by their last letters, one for about OWN_A_SURFACE own words;
 inside such a class a word has probability (c + 1) / (sum of c + 1 over the class's training words,
 plus 1 for all unknown ones). The class distribution given the two classes before is
@@ -44,7 +45,7 @@ from .common import column, materialise, whole_text
 HELD_OUT = (7, 2)
 HEAD = 1 << 17
 #: Own words at least and at most, own words for a surface class, and buckets of last letters.
-LEAST_OWN, MOST_OWN, OWN_A_SURFACE, LETTERS = 256, 4096, 13, 4096
+LEAST_OWN, MOST_OWN, OWN_A_SURFACE, LETTERS = 512, 4096, 13, 4096
 DIM = 20
 NOISE = 48
 BATCH = 1024
@@ -135,7 +136,7 @@ class Places(dict):
 
 
 def own_words(types: int) -> int:
-    return min(MOST_OWN, max(LEAST_OWN, math.isqrt(4 * types)))
+    return min(MOST_OWN, max(LEAST_OWN, math.isqrt(types) // 2))
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
