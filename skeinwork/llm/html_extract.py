@@ -174,10 +174,10 @@ def units(page: str) -> list[tuple[str, str, str, int]]:
         if value in CONTAINERS:
             if what == "open":
                 own = _place(value, attrs)
-                inner = "main" if place == "main" and own == "head" else own  # an article's own heading
+                said = "main" if place == "main" and own == "head" else own  # an article's own heading
                 stack.append((value, place))
-                if not (place in ("comments", "advert", "notice") and inner == "main" and value not in ("article", "main")):
-                    place = inner or place
+                if not (place in ("comments", "advert", "notice") and said == "main" and value not in ("article", "main")):
+                    place = said or place
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == value:
