@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, line_templates, lm_scoring, mixing, packing, quality_rules, toxicity, warc
+from . import exact_dedup, fill_middle, html_extract, line_templates, lm_scoring, mixing, packing, phrases, quality_rules, toxicity, warc
 from .common import table
 from .ngram_join import NgramJaccardJoin
 
@@ -54,6 +54,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -159,5 +167,41 @@ FROM shares s LEFT JOIN judged j ON j.doc_id = s.doc_id
 """
 
 
+SQL["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), spread AS (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (VALUES (1), (2), (3)) s(n) WHERE len(w) >= n
+), grams AS (SELECT lang, n AS k, w[i:i + n - 1] AS p, count(*) AS f FROM spread GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang
+), candidates AS (SELECT lang, k AS size, p, f AS a FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (SELECT lang, size, p, a, unnest(range(1, size)) AS cut FROM candidates
+), scores AS (
+  SELECT c.lang, c.size, c.p, c.a, c.cut, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.p = c.p[1:c.cut] JOIN grams y ON y.lang = c.lang AND y.p = c.p[c.cut + 1:c.size]
+), lowest AS (FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), around AS (SELECT lang, q, max(a) AS longer FROM (SELECT lang, a, unnest([p[1:2], p[2:3]]) AS q FROM candidates WHERE size = 3) GROUP BY lang, q
+), kept AS (SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM lowest s LEFT JOIN around o ON o.lang = s.lang AND o.q = s.p WHERE o.longer IS NULL OR 100 * o.longer < 50 * s.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+SQL["op12_fill_in_middle"] = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256(concat('42:', doc_id)) AS h FROM documents
+), drawn AS (
+  SELECT *, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INTEGER), 8) AS BIGINT)) AS d, len(u) AS n FROM units
+), cuts AS (
+  SELECT *, array_to_string(u[1:least(d[1] % (n + 1), d[2] % (n + 1))], '') AS pre, array_to_string(u[least(d[1] % (n + 1), d[2] % (n + 1)) + 1:greatest(d[1] % (n + 1), d[2] % (n + 1))], '') AS mid,
+    array_to_string(u[greatest(d[1] % (n + 1), d[2] % (n + 1)) + 1:], '') AS suf,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cuts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
