@@ -34,6 +34,11 @@ def content_id(project: Column, key: Column) -> Column:
     return F.sha2(F.concat_ws("|", project, key), 256)
 
 
+def file_id(project: Column, path: Column) -> Column:
+    """A file's id: every scan of the same project gives a path the same one."""
+    return content_id(project, F.concat(F.lit("file|"), path))
+
+
 def qualified_parts(qualified: Column) -> Column:
     """(owner, name), split at the last dot; owner is empty without one."""
     return F.struct(F.regexp_extract(qualified, r"^(.*)\.[^.]*$", 1).alias("owner"), F.regexp_extract(qualified, r"([^.]*)$", 1).alias("name"))

@@ -6,17 +6,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import naming
 from .changes import change_diff
 from .merge import keyed_upsert, retract
+from .references import cascade
 
 _SCANNED = ("size_bytes", "content_hash", "modified_at", "skip_reason", "detected_type", "extension", "absolute_path")
 
 
-def apply_inventory(old: DataFrame, new: DataFrame) -> DataFrame:
+def apply_inventory(old: DataFrame, new: DataFrame, project: str | None = None) -> DataFrame:
     """The files table after a scan, one row a path, with ``kind`` of its change (null where nothing is
     observed and nothing was there).
 
-    New and changed files are pending, unchanged ones keep their status; all of them take what the scan
+    A new file's id comes from ``project`` and its path (a 64-bit hash of them where ids are whole numbers),
+    so a scan that is applied to another copy of the table, or again, gives it the same. New and changed files are pending, unchanged ones keep their status; all of them take what the scan
     saw. A file that is gone keeps its row and its size, loses its hash and is marked; one that is back
     is as new, under its old id.
     """
@@ -30,6 +33,12 @@ def apply_inventory(old: DataFrame, new: DataFrame) -> DataFrame:
     out["is_deleted"] = ~here
     changed = F.col("kind").isin("added", "modified")
     out["analysis_status"] = F.when(~here, "deleted").when(changed, "pending").otherwise(F.col("analysis_status"))
+    if "file_id" in old.columns:
+        made = naming.file_id(F.lit(project or ""), F.col("path"))
+        text = dict(old.dtypes)["file_id"] == "string"
+        out["file_id"] = F.coalesce("file_id", made if text else F.xxhash64(made).cast(dict(old.dtypes)["file_id"]))
+    if "project_id" in old.columns:
+        out["project_id"] = F.coalesce("project_id", F.lit(project))
     return both.select(*[out.get(c, F.col(c)).alias(c) for c in old.columns], "kind")
 
 
@@ -59,8 +68,16 @@ def purge(relationships: DataFrame, evidence: DataFrame, errors: DataFrame, gone
 
 
 def delete_project(tables: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:
-    """Every table without the project's rows."""
-    return {name: df.where(~F.col("project_id").eqNullSafe(F.lit(project_id))) for name, df in tables.items()}
+    """Every table without the project's rows and without what refers to them."""
+    spark = next(iter(tables.values())).sparkSession
+    spark = next(iter(tables.values())).sparkSession
+    # a range, as its size is known: one row is broadcast, and the project's rows aren't shuffled by one id
+    return cascade(tables, {"projects": spark.range(1).select(F.lit(project_id).alias("id"))})
+
+
+def delete_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the files ``gone`` (file_id) and what refers to them; entities stay, without their file."""
+    return cascade(tables, {"files": gone.select(F.col("file_id").alias("id"))})
 
 
 def open_projects(old: DataFrame, new: DataFrame) -> DataFrame:
