@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fill_middle, html_extract, line_templates, lm_scoring, mixing, packing, phrases, quality_rules, toxicity, warc
+from . import exact_dedup, fill_middle, html_extract, line_templates, lm_scoring, mixing, packing, phrases, pii, quality_rules, toxicity, warc
 from .common import table
 from .ngram_join import NgramJaccardJoin
 
@@ -62,6 +62,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -203,5 +207,52 @@ FROM cuts
 """
 
 
+_FOUND = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "possible": r"""[^\s,;"''<>|]*[0-9@][^\s,;"''<>|]*(?: [(+]?[0-9][^\s,;"''<>|]*)*""",
+}
+_WORDS = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}]+'), lambda w: w <> '')"
+_CUT = " UNION ALL ".join(f"SELECT uid, '{k}' AS kind, regexp_extract_all(t, '{r}') AS ms, regexp_split_to_array(t, '{r}') AS gs FROM docs WHERE regexp_matches(t, '[0-9@]')" for k, r in _FOUND.items())
+_ROUND = f"""scored{{i}} AS (SELECT side, words, kind, sum(n * confidence) AS mass, count(*) AS support FROM graph JOIN known{{j}} USING (instance) GROUP BY ALL
+), patterns{{i}} AS (SELECT side, words, kind, mass // (total + 1) AS c FROM scored{{i}} JOIN totals USING (side, words) WHERE support >= {pii.LEAST_SUPPORT} AND mass // (total + 1) >= {pii.LEAST_CONFIDENCE}
+), met{{i}} AS (SELECT instance, kind, sum(CAST(floor(-ln(1 - c / {pii.SURE}) * {pii.SURE}) AS BIGINT)) AS doubt FROM graph JOIN patterns{{i}} USING (side, words) WHERE instance NOT IN (SELECT instance FROM seeds) GROUP BY ALL
+), found{{i}} AS (SELECT instance, kind, CAST(floor((1 - exp(-doubt / {pii.SURE})) * {pii.SURE}) AS BIGINT) AS confidence FROM met{{i}} WHERE floor((1 - exp(-doubt / {pii.SURE})) * {pii.SURE}) >= {pii.ACCEPT}
+), known{{i}} AS (FROM seeds UNION ALL FROM found{{i}}
+), """
+SQL["op13_personal_data"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t FROM documents
+), cut AS ({_CUT}
+), items AS (SELECT uid, kind, i, ms[i] AS m, length(gs[i]) AS gap, {_WORDS.format(x="right(gs[i], 100)")} AS b, {_WORDS.format(x="left(gs[i + 1], 100)")} AS a FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM cut)
+), placed AS (SELECT *, sum(gap + length(m)) OVER (PARTITION BY uid, kind ORDER BY i) - length(m) AS s FROM items
+), trimmed AS (
+  SELECT uid, kind, b[-2:] AS before, a[1:2] AS after, CASE WHEN kind = 'possible' THEN s + length(m) - length(ltrim(m, '([{{')) ELSE s END AS s, CASE WHEN kind = 'possible' THEN rtrim(ltrim(m, '([{{'), '.:!?)]}}') ELSE m END AS m FROM placed
+), tested AS (SELECT *, s + length(m) AS e, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM trimmed
+), judged AS (
+  SELECT *, CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: TRY_CAST(x AS HUGEINT) > 255)) = 0 WHEN 'phone' THEN length(d) BETWEEN 8 AND 15
+    WHEN 'card' THEN length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) ELSE 2 * CAST(d[i] AS INTEGER) - CASE WHEN CAST(d[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE length(regexp_replace(m, '[^\p{{L}}0-9]', '', 'g')) >= {pii.LEAST_CHARS} AND length(m) <= {pii.MOST_CHARS} END AS valid FROM tested
+), base AS (SELECT * FROM judged WHERE valid AND kind <> 'possible'
+), possible AS (SELECT * FROM judged c WHERE valid AND kind = 'possible' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.uid = c.uid AND b.s < c.e AND b.e > c.s)
+), rows AS (SELECT *, CASE WHEN length(m) <= {pii.MOST_CHARS} THEN m ELSE sha256(m) END AS instance FROM (FROM base UNION ALL FROM possible)
+), seen AS (
+  SELECT instance, 'before' AS side, before[-1] AS words FROM rows UNION ALL SELECT instance, 'before', array_to_string(before, ' ') FROM rows WHERE len(before) = 2
+  UNION ALL SELECT instance, 'after', after[1] FROM rows UNION ALL SELECT instance, 'after', array_to_string(after, ' ') FROM rows WHERE len(after) = 2
+), counted AS (SELECT instance, side, words, count(*) AS n FROM seen WHERE words IS NOT NULL GROUP BY ALL
+), graph AS (SELECT * FROM counted WHERE (side, words) IN (SELECT (side, words) FROM counted GROUP BY side, words HAVING count(*) >= {pii.LEAST_SUPPORT})
+), text_words AS (SELECT {_WORDS.format(x="t")} AS w FROM docs
+), every AS (SELECT words, count(*) AS total FROM (SELECT unnest(w) AS words FROM text_words UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM text_words)) GROUP BY words
+), totals AS (SELECT side, words, greatest(coalesce(max(total), 0), sum(n)) AS total FROM graph LEFT JOIN every USING (words) GROUP BY side, words
+), seeds AS (SELECT DISTINCT instance, kind, {pii.SURE} AS confidence FROM rows WHERE kind <> 'possible'
+), {"".join(_ROUND.format(i=i + 1, j=i) for i in range(pii.ROUNDS)).replace("known0", "seeds")}chosen AS (
+  SELECT * FROM found{pii.ROUNDS} QUALIFY row_number() OVER (PARTITION BY instance ORDER BY confidence DESC, list_position({list(pii.KINDS)}, kind)) = 1
+), all_spans AS (SELECT uid, kind, s, e, true AS base FROM base UNION ALL SELECT r.uid, c.kind, r.s, r.e, false FROM rows r JOIN chosen c ON c.instance = r.instance WHERE r.kind = 'possible'
+), said AS (SELECT *, concat(kind, ':', s, ':', e) AS x, list_position({list(pii.KINDS)}, kind) AS o FROM all_spans
+), by_doc AS (
+  SELECT uid, {", ".join(f"count(*) FILTER (base AND kind = '{k}') AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(string_agg(x, ',' ORDER BY o, s) FILTER (base), '')) AS base_sha256, string_agg(x, ',' ORDER BY o, s) AS spans FROM said GROUP BY uid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN by_doc USING (uid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
