@@ -6,7 +6,7 @@ with a digit or an @ are possible instances, and a graph of patterns and instanc
 is scored in ROUNDS rounds. A pattern's confidence for a kind is the share of all occurrences of its words,
 whatever stands beside them, that have an instance of that kind, each weighted by its own confidence; it
 needs LEAST_SUPPORT different instances. An instance gets its confidence from the patterns that it occurs
-with, as the chance that not all of them err. Instances that reach ACCEPT are identifiers, found in
+with, as the chance that not all of them err; one word counts only where no pair with it is a pattern. Instances that reach ACCEPT are identifiers, found in
 every place where they stand, and induce patterns in the next round. All scores are whole millionths, so
 results don't depend on the order of sums.
 
@@ -54,18 +54,21 @@ ITEM = "struct<kind:string,i:int,gap:int,match:string,size:int,before:array<stri
 def _matches(text: Column, kind: str, regex: str) -> Column:
     """One struct a match of ``regex``: its number, the text's length before it since the last one, itself, and two words
     on either side."""
-    gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-
     def words(gap: Column, before: bool) -> Column:
         near = F.right(gap, F.lit(WINDOW)) if before else F.left(gap, F.lit(WINDOW))
         every = F.filter(F.split(F.lower(near), WORDS), lambda w: w != "")
         return F.slice(every, F.greatest(F.size(every) - 1, F.lit(1)), 2) if before else F.slice(every, 1, 2)
 
-    def item(match: Column, i: Column) -> Column:
-        gap, following = F.get(gaps, i), F.get(gaps, i + 1)
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(gap).alias("gap"), match.alias("match"), F.length(match).alias("size"), words(gap, True).alias("before"), words(following, False).alias("after"))
+    def items(cut: Column) -> Column:
+        def item(match: Column, i: Column) -> Column:
+            gap, following = F.get(cut["gaps"], i), F.get(cut["gaps"], i + 1)
+            return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(gap).alias("gap"), match.alias("match"), F.length(match).alias("size"), words(gap, True).alias("before"), words(following, False).alias("after"))
+
+        return F.transform(cut["found"], item)
 
-    return F.transform(found, item).cast(f"array<{ITEM}>")
+    # both arrays stand in one struct first: inside the lambda they would be made again for each match
+    cut = F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found"))
+    return F.flatten(F.transform(F.array(cut), items)).cast(f"array<{ITEM}>")
 
 
 def _items(text: Column) -> Column:
@@ -109,9 +112,10 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("start", F.when(own, F.col("start") + F.col("size") - F.length(left)).otherwise(F.col("start"))).withColumn("match", F.when(own, F.rtrim(left, F.lit(TRAILING))).otherwise(F.col("match")))
     rows = rows.withColumn("end", F.col("start") + F.length("match")).withColumn("valid", _valid(F.col("kind"), F.col("match")))
     base = ~own & F.col("valid")
-    place = Window.partitionBy("uid").orderBy("start", "end", "kind")
-    ended = F.max(F.when(base, F.col("end"))).over(place.rowsBetween(Window.unboundedPreceding, -1))
-    begun = F.min(F.when(base, F.col("start"))).over(place.rowsBetween(0, Window.unboundedFollowing))
+    # both ways from the beginning of an order: a frame to the end of one is gone through for each row
+    order, before = [F.col("start"), F.col("end"), F.col("kind")], (Window.unboundedPreceding, -1)
+    ended = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("uid").orderBy(*order).rowsBetween(*before))
+    begun = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("uid").orderBy(*[c.desc() for c in order]).rowsBetween(*before))
     touches = F.coalesce(ended > F.col("start"), F.lit(False)) | F.coalesce(begun < F.col("end"), F.lit(False))
     rows = rows.withColumn("touches", touches).where(~own | (F.col("valid") & ~F.col("touches")))
     return found.select("uid", "doc_id", F.size("items").alias("n_items")), materialise(rows.select("uid", "doc_id", "kind", "start", "end", "match", "before", "after", "valid"), "spans")
@@ -122,19 +126,22 @@ def _instance() -> Column:
 
 
 def edges(rows: DataFrame) -> DataFrame:
-    """(instance, side, words, n): how often an instance occurs with a pattern, for all patterns that have
-    LEAST_SUPPORT different instances."""
+    """(instance, side, words, n, speaks): how often an instance occurs with a pattern, for all patterns that have
+    LEAST_SUPPORT different instances. One word ``speaks`` for an instance only where it stands with it in a
+    pair that is no such pattern: the nearer context counts, so "order number" isn't told by "number"."""
     last = F.get("before", F.size("before") - 1)
-    patterns = F.array(
-        F.struct(F.lit("before").alias("side"), last.alias("words")),
-        F.struct(F.lit("before").alias("side"), F.when(F.size("before") == 2, F.array_join("before", " ")).alias("words")),
-        F.struct(F.lit("after").alias("side"), F.get("after", F.lit(0)).alias("words")),
-        F.struct(F.lit("after").alias("side"), F.when(F.size("after") == 2, F.array_join("after", " ")).alias("words")),
+    places = F.array(
+        F.struct(F.lit("before").alias("side"), last.alias("one"), F.when(F.size("before") == 2, F.array_join("before", " ")).alias("pair")),
+        F.struct(F.lit("after").alias("side"), F.get("after", F.lit(0)).alias("one"), F.when(F.size("after") == 2, F.array_join("after", " ")).alias("pair")),
     )
-    seen = rows.where("valid").select(_instance().alias("instance"), F.explode(patterns).alias("p")).select("instance", "p.side", "p.words").where("words is not null")
-    counted = materialise(seen.groupBy("instance", "side", "words").agg(F.count("*").alias("n")), "graph")
-    wide = counted.groupBy("side", "words").agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_SUPPORT).select("side", "words")
-    return materialise(counted.join(wide, ["side", "words"]), "edges")
+    seen = rows.where("valid").select(_instance().alias("instance"), F.explode(places).alias("p")).select("instance", "p.*").where("one is not null")
+    counted = materialise(seen.groupBy("instance", "side", "one", "pair").agg(F.count("*").alias("n")), "graph")
+    wide = lambda by, instances: instances.groupBy("side", by).agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_SUPPORT).select("side", by, F.lit(True).alias("wide"))
+    marked = materialise(counted.join(wide("pair", counted.where("pair is not null")), ["side", "pair"], "left"), "marked")
+    pairs = marked.where("wide").select("instance", "side", F.col("pair").alias("words"), "n", F.lit(True).alias("speaks"))
+    ones = marked.groupBy("instance", "side", "one").agg(F.sum("n").alias("n"), F.max(F.col("wide").isNull()).alias("speaks"))
+    ones = ones.join(wide("one", ones), ["side", "one"], "left_semi").select("instance", "side", F.col("one").alias("words"), "n", "speaks")
+    return materialise(pairs.unionByName(ones), "edges")
 
 
 def occurrences(docs: DataFrame, words: DataFrame, broadcast_patterns: int = BROADCAST_PATTERNS) -> DataFrame:
@@ -155,7 +162,7 @@ def discover(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS, broadcast_p
     counts = graph.groupBy("side", "words").agg(F.sum("n").alias("n"))
     totals = materialise(counts.join(totals, "words", "left").select("side", "words", F.greatest(F.coalesce("total", F.lit(0)), "n").alias("total")), "totals")
     seeds = materialise(rows.where("valid and kind <> 'possible'").select(_instance().alias("instance"), "kind").distinct().withColumn("confidence", F.lit(SURE).cast("bigint")), "seeds")
-    others = graph.join(seeds.select("instance").distinct(), "instance", "left_anti")
+    others = graph.where("speaks").join(seeds.select("instance").distinct(), "instance", "left_anti")
     known, order = seeds, F.array(*map(F.lit, KINDS))
     for turn in range(rounds):
         scored = graph.join(known, "instance").groupBy("side", "words", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("mass"), F.count("*").alias("support"))

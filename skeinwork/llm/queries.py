@@ -215,7 +215,7 @@ _WORDS = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}]+'), lambda
 _CUT = " UNION ALL ".join(f"SELECT uid, '{k}' AS kind, regexp_extract_all(t, '{r}') AS ms, regexp_split_to_array(t, '{r}') AS gs FROM docs WHERE regexp_matches(t, '[0-9@]')" for k, r in _FOUND.items())
 _ROUND = f"""scored{{i}} AS (SELECT side, words, kind, sum(n * confidence) AS mass, count(*) AS support FROM graph JOIN known{{j}} USING (instance) GROUP BY ALL
 ), patterns{{i}} AS (SELECT side, words, kind, mass // (total + 1) AS c FROM scored{{i}} JOIN totals USING (side, words) WHERE support >= {pii.LEAST_SUPPORT} AND mass // (total + 1) >= {pii.LEAST_CONFIDENCE}
-), met{{i}} AS (SELECT instance, kind, sum(CAST(floor(-ln(1 - c / {pii.SURE}) * {pii.SURE}) AS BIGINT)) AS doubt FROM graph JOIN patterns{{i}} USING (side, words) WHERE instance NOT IN (SELECT instance FROM seeds) GROUP BY ALL
+), met{{i}} AS (SELECT instance, kind, sum(CAST(floor(-ln(1 - c / {pii.SURE}) * {pii.SURE}) AS BIGINT)) AS doubt FROM graph JOIN patterns{{i}} USING (side, words) WHERE speaks AND instance NOT IN (SELECT instance FROM seeds) GROUP BY ALL
 ), found{{i}} AS (SELECT instance, kind, CAST(floor((1 - exp(-doubt / {pii.SURE})) * {pii.SURE}) AS BIGINT) AS confidence FROM met{{i}} WHERE floor((1 - exp(-doubt / {pii.SURE})) * {pii.SURE}) >= {pii.ACCEPT}
 ), known{{i}} AS (FROM seeds UNION ALL FROM found{{i}}
 ), """
@@ -235,10 +235,13 @@ WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS
 ), possible AS (SELECT * FROM judged c WHERE valid AND kind = 'possible' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.uid = c.uid AND b.s < c.e AND b.e > c.s)
 ), rows AS (SELECT *, CASE WHEN length(m) <= {pii.MOST_CHARS} THEN m ELSE sha256(m) END AS instance FROM (FROM base UNION ALL FROM possible)
 ), seen AS (
-  SELECT instance, 'before' AS side, before[-1] AS words FROM rows UNION ALL SELECT instance, 'before', array_to_string(before, ' ') FROM rows WHERE len(before) = 2
-  UNION ALL SELECT instance, 'after', after[1] FROM rows UNION ALL SELECT instance, 'after', array_to_string(after, ' ') FROM rows WHERE len(after) = 2
-), counted AS (SELECT instance, side, words, count(*) AS n FROM seen WHERE words IS NOT NULL GROUP BY ALL
-), graph AS (SELECT * FROM counted WHERE (side, words) IN (SELECT (side, words) FROM counted GROUP BY side, words HAVING count(*) >= {pii.LEAST_SUPPORT})
+  SELECT instance, 'before' AS side, before[-1] AS one, CASE WHEN len(before) = 2 THEN array_to_string(before, ' ') END AS pair FROM rows
+  UNION ALL SELECT instance, 'after', after[1], CASE WHEN len(after) = 2 THEN array_to_string(after, ' ') END FROM rows
+), counted AS (SELECT instance, side, one, pair, count(*) AS n FROM seen WHERE one IS NOT NULL GROUP BY ALL
+), marked AS (SELECT *, coalesce(pair IS NOT NULL AND (side, pair) IN (SELECT (side, pair) FROM counted WHERE pair IS NOT NULL GROUP BY side, pair HAVING count(*) >= {pii.LEAST_SUPPORT}), false) AS wide FROM counted
+), graph AS (
+  SELECT instance, side, pair AS words, n, true AS speaks FROM marked WHERE wide UNION ALL
+  SELECT instance, side, one, sum(n), bool_or(NOT wide) FROM marked WHERE (side, one) IN (SELECT (side, one) FROM counted GROUP BY side, one HAVING count(DISTINCT instance) >= {pii.LEAST_SUPPORT}) GROUP BY instance, side, one
 ), text_words AS (SELECT {_WORDS.format(x="t")} AS w FROM docs
 ), every AS (SELECT words, count(*) AS total FROM (SELECT unnest(w) AS words FROM text_words UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM text_words)) GROUP BY words
 ), totals AS (SELECT side, words, greatest(coalesce(max(total), 0), sum(n)) AS total FROM graph LEFT JOIN every USING (words) GROUP BY side, words
