@@ -41,7 +41,7 @@ LEAST, MOST_WORDS, TOP = 10, 3, 2000
 #: Percent of a phrase's occurrences from which a longer one makes it superfluous.
 INSIDE = 50
 #: Words that a task collects for one suffix array: some ten arrays of that length.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 #: Bits for each kept hash, and bits at most (64 MB).
 BITS_A_HASH, MOST_BITS = 16, 1 << 29
 #: Candidates of a language that one salted part ranks.
