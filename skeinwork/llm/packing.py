@@ -3,9 +3,10 @@
 Documents become pieces of at most ``size`` tokens. Pieces are dealt to partitions, and each
 partition packs its own by best-fit decreasing. Dual-feasible functions give a lower bound on the
 bins that a partition's lengths need; a partition that meets its bound is certified. The others hand
-over the pieces of their least filled bins, as many bins as their waste, and the handed-over pieces of
-all partitions are dealt anew to fewer partitions and packed again, until no partition is left with
-a gap or one holds them all.
+over the pieces of their least filled bins, by four for each bin of their gap and one more, and the
+handed-over pieces of all partitions are dealt anew to fewer partitions and packed again, until no
+partition hands over any or one holds them all. A partition keeps at least half of its pieces, so the
+levels grow with the logarithm of the input at most.
 
 Defined results: null text is empty and has the one end token; a null doc_id is carried; repeated
 rows give a piece each; an empty table gives no rows; a text of any length is cut into whole pieces
@@ -119,21 +120,22 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
 def lower_bound(lengths: np.ndarray, size: int) -> int:
     """Bins that any packing needs: the best of some dual-feasible functions.
 
-    u_k rounds x (k + 1) down where that isn't whole, for k up to 20; the threshold function counts
-    items over ``size - e`` as whole bins and drops those under ``e``. Sums are exact integers.
+    The threshold function for e counts items over ``size - e`` as whole bins and drops those under ``e``;
+    e is taken wherever one of the lengths changes sides, and 0 leaves all as they are. On each of them
+    u_k is set, which rounds x (k + 1) down where that isn't whole, for k up to 20, as a function of a
+    dual-feasible one is one, too. Sums are exact integers.
     """
     if not len(lengths):
         return 0
-    counts = np.bincount(lengths, minlength=size + 1)
-    x = np.arange(size + 1)
-    best = -(-int((counts * x).sum()) // size)
+    x, counts = np.unique(lengths, return_counts=True)
+    e = np.unique(np.concatenate(([0], x, size - x + 1)))
+    e = e[e <= size // 2][:, None]
+    cut = np.where(x > size - e, size, np.where(x < e, 0, x))  # a row for each e
+    best = -(-int((cut @ counts).max()) // size)
     for k in range(1, 21):
-        whole = (x * (k + 1)) % size == 0
-        value = np.where(whole, x * k, (x * (k + 1) // size) * size)  # in units of 1 / (k size)
-        best = max(best, -(-int((counts * value).sum()) // (k * size)))
-    for e in range(1, size // 2 + 1, 8):
-        value = np.where(x > size - e, size, np.where(x < e, 0, x))
-        best = max(best, -(-int((counts * value).sum()) // size))
+        whole = (cut * (k + 1)) % size == 0
+        value = np.where(whole, cut * k, (cut * (k + 1) // size) * size)  # in units of 1 / (k size)
+        best = max(best, -(-int((value @ counts).max()) // (k * size)))
     return best
 
 
@@ -155,9 +157,11 @@ def _packed(items: DataFrame, groups: int, level: int, size: int, last: bool) ->
         offsets[order] = before - np.maximum.accumulate(np.where(first, before, 0))
         handed = np.zeros(len(load), bool)
         if not last:
-            # a certified group still gives up its least filled bin, so that rounding up isn't paid in each
+            # a certified group still gives up its least filled bin, so that rounding up isn't paid in each;
+            # at most half of the pieces go on, so that levels shrink and end whatever the lengths
             worst = np.argsort(load, kind="stable")[: 4 * gap + 1]
-            handed[worst[load[worst] < size]] = True
+            worst = worst[load[worst] < size]
+            handed[worst[np.cumsum(np.bincount(bins)[worst]) <= len(lengths) // 2]] = True
         ids = (np.int64(level) << 56) + (np.int64(table.column("part")[0].as_py()) << 24) + bins
         out = table.drop_columns(["part"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
         return out.append_column("open", pa.array(handed[bins]))
@@ -169,8 +173,8 @@ def _packed(items: DataFrame, groups: int, level: int, size: int, last: bool) ->
 def pack(items: DataFrame, size: int = SIZE, per_group: int = PIECES) -> DataFrame:
     """items with their sequence_id and offset.
 
-    A group holds about ``per_group`` pieces whatever the input, and a level hands over a small part
-    of its pieces; the last level is the one whose pieces fit one group.
+    A group holds about ``per_group`` pieces whatever the input, and a level hands over half of its
+    pieces at most, mostly far fewer; the last level is the one whose pieces fit one group.
     """
     items = items.withColumn("uid", F.monotonically_increasing_id())
     live, out, level = materialise(items, "pieces"), None, 0
@@ -184,3 +188,5 @@ def pack(items: DataFrame, size: int = SIZE, per_group: int = PIECES) -> DataFra
             return out.drop("uid", "open")
         live, level = done.where("open").drop("sequence_id", "offset", "open"), level + 1
         n = live.count()
+        if not n:
+            return out.drop("uid", "open")

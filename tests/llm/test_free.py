@@ -104,6 +104,31 @@ def test_best_fit_and_bounds():
     assert packing.lower_bound(np.array([], int), 100) == 0
 
 
+def test_bound_takes_thresholds_where_lengths_change_sides():
+    lengths = np.array([1058] * 170 + [992] * 230)
+    assert packing.lower_bound(lengths, 2048) == 285 == len(set(packing.best_fit(lengths, 2048)))
+    rng = np.random.default_rng(2)
+    for _ in range(60):  # never above what some packing needs
+        size = int(rng.integers(5, 40))
+        lengths = -np.sort(-rng.integers(1, size + 1, rng.integers(1, 9)))
+        least = min(len(set(packing.best_fit(rng.permutation(lengths), size))) for _ in range(200))
+        assert -(-int(lengths.sum()) // size) <= packing.lower_bound(lengths, size) <= least
+
+
+@pytest.mark.parametrize("lengths", [[1058, 992], [1025, 1024], [700, 683], [900, 500, 650]])
+def test_packing_ends_whatever_the_lengths(spark, lengths):
+    rows = [(i, 0, 0, lengths[i % len(lengths)] if i % 7 else lengths[0], 0) for i in range(800)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECE), per_group=200).collect()
+    load = {}
+    for r in got:
+        load[r.sequence_id] = load.get(r.sequence_id, 0) + r.length
+    all_lengths = -np.sort(-np.array([r[3] for r in rows]))
+    assert sorted(r.doc_id for r in got) == list(range(800)) and max(load.values()) <= 2048
+    assert len(load) <= len(set(packing.best_fit(all_lengths, 2048))) + 4
+    if lengths == [1058, 992]:
+        assert len(load) == packing.lower_bound(all_lengths, 2048)
+
+
 def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
