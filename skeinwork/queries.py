@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from .functions import naming, text
 from .operators import changes, compare, graph, ingest, lifecycle, merge, overlay, search, stats, views, walk
 from .operators.extract.base import analyze_files
 from .operators.extract.others import default_registry
+from .operators.search_index import SearchIndex
 from .plans.projection import Graph, with_graph
 from .plans.projection import graph as project
+from .plans.store import GraphStore, shared_dir
 from .schema import STRUCTURAL, WRITES
 from .sources import files as sources
 
@@ -812,6 +815,49 @@ def search_synced(g: Graph) -> DataFrame:
     return part.join(found, F.col("id") == F.col("found"), "left_semi").select(F.col("id").alias("hit_id"), F.col("name").alias("hit"))
 
 
+_KEPT = "list_filter(regexp_split_to_array(lower(concat(p_name, CASE WHEN p_partkey % 7 = 0 THEN ' ring' ELSE '' END, ' ', p_type)), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+@on_tables(
+    f"""WITH lens AS (SELECT p_partkey, {_KEPT} AS t FROM part WHERE p_partkey % 5 <> 0), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM lens),
+tf AS (SELECT p_partkey, len(t) AS len, p, len(list_filter(t, lambda x: CASE p WHEN 0 THEN x = 'ring' ELSE starts_with(x, 'sm') END)) AS tf FROM lens, (VALUES (0), (1)) phrases(p)),
+df AS (SELECT p, count(*) AS df FROM tf WHERE tf > 0 GROUP BY p),
+w AS (SELECT p_partkey, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)) AS w FROM tf JOIN df USING (p), s WHERE tf > 0)
+SELECT p_partkey AS hit_id, round(-sum(w), 6) AS score FROM w GROUP BY p_partkey HAVING count(*) = 2""", "part")
+def search_kept(part: DataFrame) -> DataFrame:
+    """A kept index after two syncs: every seventh name has got a word, every fifth row is gone."""
+    index = SearchIndex(GraphStore(part.sparkSession, f"{shared_dir(part.sparkSession)}/search-{uuid.uuid4().hex}"), "part", "p_partkey", ["p_name", "p_type"], "bigint")
+    index.sync(part)
+    index.sync(part.where("p_partkey % 7 = 0").withColumn("p_name", F.concat("p_name", F.lit(" ring"))))
+    index.sync(part.where("p_partkey % 5 = 0").withColumn("is_deleted", F.lit(True)))
+    return index.search("ring sm").select(F.col("id").alias("hit_id"), F.round("score", 6).alias("score"))
+
+
+@on_graph("SELECT 'files' AS what, file_id AS id, CASE WHEN file_id % 2 = 0 THEN 'analyzed' ELSE analysis_status END AS value FROM files UNION ALL SELECT 'nations', CAST(substr(id, 2) AS BIGINT), CAST(conf + CASE WHEN id LIKE '%1' THEN 7 ELSE 5 END AS VARCHAR) FROM entities WHERE id LIKE 'n%'")
+def store_commits(g: Graph) -> DataFrame:
+    """Two writers of one version of the store: their tables differ, so both commits stand; a third whose table has
+    changed meanwhile is turned away and done again."""
+    store = GraphStore(g.files.sparkSession, f"{shared_dir(g.files.sparkSession)}/store-{uuid.uuid4().hex}")
+    store.commit({"files": g.files.select("file_id", "analysis_status"), "nations": g.entities.where("id like 'n%'").select("id", "conf")})
+    with store.snapshot() as one, store.snapshot() as two:
+        status = F.when(F.col("file_id") % 2 == 0, "analyzed").otherwise(F.col("analysis_status"))
+        one.commit({"files": one.read("files").withColumn("analysis_status", status)})
+        two.commit({"nations": two.read("nations").withColumn("conf", F.col("conf") + 5)})
+    turns = []
+
+    def raised(now):
+        turns.append(now.version)
+        found = now.read("nations")
+        if len(turns) == 1:
+            store.commit({"nations": found.withColumn("conf", F.col("conf") + F.when(F.col("id").like("%1"), 1).otherwise(0))})
+        return {"nations": found.withColumn("conf", F.col("conf") + F.when(F.col("id").like("%1"), 1).otherwise(0))}
+
+    store.update(raised)
+    now = store.latest()
+    files = now.read("files").select(F.lit("files").alias("what"), F.col("file_id").alias("id"), F.col("analysis_status").alias("value"))
+    return files.unionByName(now.read("nations").select(F.lit("nations").alias("what"), F.substring("id", 2, 10).cast("bigint").alias("id"), F.col("conf").cast("string").alias("value")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

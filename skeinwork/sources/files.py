@@ -39,11 +39,8 @@ class ScanPolicy:
 
 
 def detect_type(path: Column) -> Column:
-    ext = extension(path)
-    out = F.lit("unknown")
-    for kind, exts in TYPES.items():
-        out = F.when(ext.isin(*exts.split()), kind).otherwise(out)
-    return out
+    kinds = F.create_map(*[F.lit(x) for kind, exts in TYPES.items() for ext in exts.split() for x in (ext, kind)])
+    return F.coalesce(F.try_element_at(kinds, extension(path)), F.lit("unknown"))
 
 
 def looks_binary(content: Column, kind: Column) -> Column:
