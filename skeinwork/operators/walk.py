@@ -10,27 +10,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.store import materialise
-from ..schema import STRUCTURAL
+from .adjacency import Adjacency, both_ways, walk_edges
 
 VISIT = "id string, depth int, min_conf int, inferred boolean, via string, path array<string>"
 
 
-def impact(rels: DataFrame, ents: DataFrame, root: str, direction: str = "incoming", depth: int = 4, max_nodes: int | None = 500, min_conf: int = 0) -> DataFrame:
+def impact(rels: DataFrame, ents: DataFrame, root: str, direction: str = "incoming", depth: int = 4, max_nodes: int | None = 500, min_conf: int = 0, saved: Adjacency | None = None) -> DataFrame:
     """(id, depth, min_conf, inferred, via, path) of what depends on ``root`` (or it on, outgoing).
 
     A node is fixed at its first depth. There the best chain wins: highest weakest link, then one
     without inferred edges, then the stronger edge, relation type and edge id. A chain counts as
     inferred with its first edge that isn't confirmed. Containment edges don't carry impact. With a
-    budget, the best candidates of the level that exceeds it are admitted; ``truncated`` tells so.
+    budget, the best candidates of the level that exceeds it are admitted; ``truncated`` tells so. With a
+    ``saved`` adjacency nothing is read of ``rels`` and ``ents``.
     """
-    own, other = ("target_id", "source_id") if direction == "incoming" else ("source_id", "target_id")
     spark = rels.sparkSession
-    edges = rels.where(~F.col("relation_type").isin(*STRUCTURAL) & (F.col("conf") >= min_conf)).select(
-        F.col(own).alias("from"), F.col(other).alias("to"), "relation_type", "conf", F.col("id").alias("edge_id"), (F.col("status") != "confirmed").alias("guess")
-    )
-    # the edges of the walk are written once, so that a level reads six columns and joins nothing else
-    known = ents.select(F.col("id").alias("known"))
-    edges = materialise(edges.join(known, F.col("to") == F.col("known"), "left_semi"), "edges")
+    # without a saved adjacency the walk's edges are written once, so that a level reads six columns and joins nothing else
+    edges = materialise(walk_edges(rels, ents, direction, min_conf), "edges") if saved is None else saved.edges(direction).where(F.col("conf") >= min_conf)
     frontier = spark.createDataFrame([(root, 0, 100, False, None, [root])], VISIT)
     visited, admitted, truncated = frontier, 1, False
     levels: list[DataFrame] = []
@@ -42,14 +38,12 @@ def impact(rels: DataFrame, ents: DataFrame, root: str, direction: str = "incomi
         # partial aggregates: a hub's whole in-degree never meets in one task
         rank = F.struct((-F.col("min_conf")).alias("m"), "inferred", (-F.col("conf")).alias("c"), "relation_type", "via")
         best = met.groupBy("id").agg(F.min_by(F.struct("min_conf", "inferred", "via", "relation_type", "conf", "path"), rank).alias("b")).select("id", "b.*")
-        if max_nodes is not None:
-            room = max(max_nodes - admitted, 0)
-            best = materialise(best, "candidates")
-            truncated = best.count() > room
-            if truncated:
-                best = best.orderBy(*order).limit(room)
-        frontier = materialise(best.select("id", F.lit(level).alias("depth"), "min_conf", "inferred", "via", "path"), "level")
-        n = frontier.count()
+        best = materialise(best.withColumn("depth", F.lit(level)), "level")
+        n = best.count()
+        if max_nodes is not None and n > (room := max(max_nodes - admitted, 0)):
+            truncated, n = True, room
+            best = materialise(best.orderBy(*order).limit(room), "level")
+        frontier = best.select("id", "depth", "min_conf", "inferred", "via", "path")
         if n:
             levels.append(frontier)
         admitted += n
@@ -62,15 +56,16 @@ def impact(rels: DataFrame, ents: DataFrame, root: str, direction: str = "incomi
     return out.withColumn("truncated", F.lit(truncated))
 
 
-def neighborhood(rels: DataFrame, ents: DataFrame, root: str, depth: int = 1, max_nodes: int | None = 150) -> tuple[DataFrame, DataFrame, bool]:
+def neighborhood(rels: DataFrame, ents: DataFrame, root: str, depth: int = 1, max_nodes: int | None = 150, saved: Adjacency | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes (id, depth), edges among them, truncated): undirected walk over all edge types.
 
     Of a level that exceeds the budget the least ids are admitted. Edges come once each, both ends
     among the nodes.
     """
     spark = rels.sparkSession
-    rels = materialise(rels, "edges")
-    both = rels.select(F.col("source_id").alias("from"), F.col("target_id").alias("to")).unionByName(rels.select(F.col("target_id").alias("from"), F.col("source_id").alias("to")))
+    if saved is None:
+        rels = materialise(rels, "edges")
+    both = both_ways(rels) if saved is None else saved.edges("around")
     known = ents.select(F.col("id").alias("known"))
     frontier = nodes = spark.createDataFrame([(root, 0)], "id string, depth int")
     admitted, truncated = 1, False

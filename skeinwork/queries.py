@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import naming, text
-from .operators import changes, compare, graph, ingest, lifecycle, merge, overlay, search, stats, views, walk
+from .operators import adjacency, changes, compare, graph, ingest, lifecycle, merge, overlay, search, stats, views, walk
 from .operators.extract.base import analyze_files
 from .operators.extract.others import default_registry
 from .operators.search_index import SearchIndex
@@ -815,6 +815,28 @@ def search_synced(g: Graph) -> DataFrame:
     return part.join(found, F.col("id") == F.col("found"), "left_semi").select(F.col("id").alias("hit_id"), F.col("name").alias("hit"))
 
 
+@on_graph(_WALK.format(root=ROOT, to="source_id", own="target_id", depth=4, least=80) + f"SELECT id, 'incoming' AS way, CAST(depth AS INTEGER) AS depth FROM walk WHERE id <> '{ROOT}'" + """
+UNION ALL SELECT e.b, 'around', 1 FROM (SELECT source_id AS a, target_id AS b FROM relationships UNION SELECT target_id, source_id FROM relationships) e WHERE e.a = 'n3' AND e.b <> 'n3'""")
+def walks_saved(g: Graph) -> DataFrame:
+    """Two questions to one saved adjacency, found again by its folder."""
+    root = f"{shared_dir(g.files.sparkSession)}/edges-{uuid.uuid4().hex}"
+    adjacency.save(g.relationships, g.entities, root, ("incoming", "around"))
+    kept = adjacency.load(g.files.sparkSession, root)
+    hit = walk.impact(g.relationships, g.entities, ROOT, max_nodes=None, min_conf=80, saved=kept).select("id", F.lit("incoming").alias("way"), "depth")
+    ring = walk.neighborhood(g.relationships, g.entities, "n3", 1, None, saved=kept)[0].where("depth > 0")
+    return hit.unionByName(ring.select("id", F.lit("around").alias("way"), "depth"))
+
+
+@on_tables("SELECT lang AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents WHERE lang <> 'fr' GROUP BY lang", "documents")
+def scan_written(docs: DataFrame) -> DataFrame:
+    """A folder of all texts by language, scanned with one language's folder ignored."""
+    spark, name = docs.sparkSession, f"scan-{uuid.uuid4().hex}"
+    docs.select("lang", "text").write.partitionBy("lang").text(f"{shared_dir(spark)}/{name}")
+    policy = sources.ScanPolicy(ignored_files=("*.crc", "_SUCCESS"), extra_ignored_directories=("lang=fr",))
+    found = sources.scan(spark, f"{shared_dir(spark)}/{name}", policy)
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("folder")).agg(F.sum("size_bytes").alias("bytes"))
+
+
 _KEPT = "list_filter(regexp_split_to_array(lower(concat(p_name, CASE WHEN p_partkey % 7 = 0 THEN ' ring' ELSE '' END, ' ', p_type)), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
