@@ -72,11 +72,26 @@ def images_of_report(rels: DataFrame, ents: DataFrame, entity_id: str) -> DataFr
     return related(rels, ents, entity_id, "outgoing", relations=("REPORT_REFERENCES_IMAGE",), limit=None)
 
 
+_BANDS = "array<struct<section:string,`group`:string,height:int,elements:array<struct<kind:string,x:int,y:int,width:int,height:int,text:string,references:array<string>>>>>"
+
+
 def report_structure(reports: DataFrame) -> DataFrame:
-    """(name, band, section, height, elements) of reports with their metadata; other entities give nothing."""
-    bands = F.from_json(F.col("metadata")["bands"], "array<struct<section:string,height:string,elements:int>>")
-    rows = reports.where("entity_type = 'JasperReport'").select("name", F.posexplode(bands).alias("band", "b"))
-    return rows.select("name", "band", "b.section", F.col("b.height").cast("int").alias("height"), "b.elements")
+    """(name, band, section, height, elements) of reports with their metadata, elements counted; other entities give nothing."""
+    rows = reports.where("entity_type = 'JasperReport'").select("name", F.posexplode(F.from_json(F.col("metadata")["bands"], _BANDS)).alias("band", "b"))
+    return rows.select("name", "band", "b.section", "b.height", F.size("b.elements").alias("elements"))
+
+
+def report_layout(reports: DataFrame, files: DataFrame, suite: str) -> DataFrame:
+    """(id, name, path, analyzed_by, stale, band, section, group, band_height, element, kind, x, y, width, height, text,
+    references): a row for each thing that a report draws, one with no element for a band that draws nothing, and one
+    with no band for a report without any. ``stale``: another suite than ``suite`` has read its file, or an unknown one.
+    files: (file_id, path, analyzed_by)."""
+    own = files.select(F.col("file_id").alias("f"), "path", "analyzed_by")
+    rows = reports.where("entity_type = 'JasperReport'").join(own, F.col("source_file_id") == F.col("f"), "left")
+    rows = rows.withColumn("stale", ~F.col("analyzed_by").eqNullSafe(F.lit(suite)))
+    rows = rows.select("id", "name", "path", "analyzed_by", "stale", F.posexplode_outer(F.from_json(F.col("metadata")["bands"], _BANDS)).alias("band", "b"))
+    rows = rows.select("id", "name", "path", "analyzed_by", "stale", "band", "b.section", "b.group", F.col("b.height").alias("band_height"), F.posexplode_outer("b.elements").alias("element", "e"))
+    return rows.select(*rows.columns[:-1], "e.*")
 
 
 def orphans(rels: DataFrame, ents: DataFrame, types: Sequence[str] = REVIEWABLE, limit: int | None = 300) -> DataFrame:

@@ -616,6 +616,35 @@ def report_structure(suppliers: DataFrame) -> DataFrame:
     return graph.report_structure(_reports(suppliers).entities)
 
 
+_LAYOUT = """concat('<?xml version="1.0"?>', chr(10), '<j:jasperReport xmlns:j="http://x" name="L', p_partkey, '"><queryString>select a &lt; b from ', lower(p_type), '.t', p_size, ' x</queryString><field name="F', p_size % 5, '"/>',
+  '<group name="', p_brand, '"><groupHeader><band height="', p_size, '"><staticText><reportElement x="', p_partkey % 90, '" y="1" width="20" height="10"/><text><![CDATA[ ', p_name, ' < ', p_size, ']]></text></staticText></band></groupHeader></group>',
+  '<detail><band height="12"><textField><reportElement x="2" width="7"/><textFieldExpression>$F{F', p_size % 5, '} + $P{a} + $F{ b }</textFieldExpression></textField><line/></band></detail>',
+  CASE WHEN p_partkey % 3 = 0 THEN '<summary><band/></summary>' ELSE '' END, '</j:jasperReport>')"""
+
+
+@on_tables(
+    """WITH base AS (SELECT 'L' || p_partkey AS name, p_partkey % 2 = 0 AS stale, p_partkey, p_size, p_brand, p_name FROM part)
+SELECT name, stale, 0 AS band, 'groupHeader' AS section, p_brand AS "group", p_size AS band_height, 0 AS element, 'staticText' AS kind, CAST(p_partkey % 90 AS INTEGER) AS x, 1 AS y, 20 AS width, p_name || ' < ' || p_size AS text, '' AS "references" FROM base
+UNION ALL SELECT name, stale, 1, 'detail', NULL, 12, 0, 'textField', 2, NULL, 7, '$F{F' || p_size % 5 || '} + $P{a} + $F{ b }', '$F{F' || p_size % 5 || '} $F{b} $P{a}' FROM base
+UNION ALL SELECT name, stale, 1, 'detail', NULL, 12, 1, 'line', NULL, NULL, NULL, '', '' FROM base
+UNION ALL SELECT name, stale, 2, 'summary', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM base WHERE p_partkey % 3 = 0""", "part")
+def report_layout(part: DataFrame) -> DataFrame:
+    built = ingest.build(part.select(F.concat(F.lit("l"), "p_partkey", F.lit(".jrxml")).alias("path"), F.expr(_LAYOUT).alias("text")), default_registry(), "layouts")
+    path = F.concat(F.lit("l"), "p_partkey", F.lit(".jrxml"))
+    files = part.select(naming.file_id(F.lit("layouts"), path).alias("file_id"), path.alias("path"), F.when(F.col("p_partkey") % 2 == 1, SUITE).when(F.col("p_partkey") % 4 == 0, "suite-1").alias("analyzed_by"))
+    shown = graph.report_layout(built.entities, files, SUITE)
+    return shown.select("name", "stale", "band", "section", "group", "band_height", "element", "kind", "x", "y", "width", "text", F.array_join("references", " ").alias("references"))
+
+
+@on_tables("""SELECT event_id, v.name, CAST(v.line AS INTEGER) AS line FROM events, (VALUES ('event', 1), ('event.type', 1), ('event.props', 2), ('event.props.k', 2), ('event.tags', 3), ('event.tags[].id', 3)) v(name, line)""", "events")
+def json_properties(events: DataFrame) -> DataFrame:
+    """Every event as a JSON file, each tenth broken off before its end."""
+    whole = F.concat(F.lit('{"event": {"type": "'), "event_type", F.lit('",\n "props": '), "props", F.lit(',\n "t\\u0061gs": [{"id": '), "event_id", F.lit('}, "P'), F.col("user_id") % 9, F.lit('_Q"]}}'))
+    text = F.when(F.col("event_id") % 10 == 0, F.concat(F.substring(whole, F.lit(1), F.length(whole) - 3), F.lit("#"))).otherwise(whole)
+    found = analyze_files(events.select(F.concat(F.lit("e"), "event_id", F.lit(".json")).alias("path"), text.alias("text")), default_registry())
+    return found.where("entity_type = 'JsonProperty' and kind = 'entity'").select(F.regexp_extract("path", "e([0-9]+)", 1).cast("bigint").alias("event_id"), "name", F.col("start_line").alias("line"))
+
+
 @on_tables("SELECT 'img/n' || s_nationkey || '.png' AS image, 1.0 AS confidence FROM supplier WHERE s_suppkey = 3", "supplier")
 def images_of_report(suppliers: DataFrame) -> DataFrame:
     built = _reports(suppliers)
