@@ -46,3 +46,8 @@ def human_bytes(n: Column) -> Column:
         .when(n < 1024**3, F.concat(F.format_number(n / 1024**2, 1), F.lit(" MB")))
         .otherwise(F.concat(F.format_number(n / 1024**3, 1), F.lit(" GB")))
     )
+
+
+def json_object(text: Column) -> Column:
+    """The top level of a JSON object as a map of texts; empty for null, broken JSON or anything else."""
+    return F.coalesce(F.from_json(F.when(F.get_json_object(text, "$").rlike(r"^\s*\{"), text), "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -59,6 +59,14 @@ def er_focus(ents: DataFrame, links: DataFrame, focus: str) -> DataFrame:
     return ents.join(partners.unionByName(ents.where(F.col("id") == focus).select(F.col("id").alias("p"))), F.col("id") == F.col("p"), "left_semi").select("id", "name")
 
 
+def focus_choice(selected: DataFrame, in_file: DataFrame, types: tuple[str, ...] = ("OracleTable", "OracleView")) -> DataFrame:
+    """(id, name) of the table that a diagram is drawn around: the selected entity if it is one, else the first, by
+    line and name, in the file that is shown. selected: (id, entity_type, name); in_file with first_line, too."""
+    turn = lambda df, n, line: df.where(F.col("entity_type").isin(*types)).select("id", "name", F.lit(n).alias("turn"), line.alias("line"))
+    both = turn(selected, 0, F.lit(0)).unionByName(turn(in_file, 1, F.col("first_line")))
+    return both.orderBy("turn", "line", "name", "id").limit(1).select("id", "name")
+
+
 def bounds(placed: DataFrame, padding: float = 120.0) -> DataFrame:
     """(x0, y0, x1, y1) around all nodes."""
     return placed.agg((F.min("x") - padding).alias("x0"), (F.min("y") - padding).alias("y0"), (F.max("x") + padding).alias("x1"), (F.max("y") + padding).alias("y1"))

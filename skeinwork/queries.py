@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import naming, text
+from .functions import dates, naming, text
 from .operators import adjacency, changes, compare, graph, ingest, lifecycle, merge, overlay, search, stats, views, walk
+from .operators.extract import table_function
 from .operators.extract.base import analyze_files
 from .operators.extract.others import default_registry
 from .operators.search_index import SearchIndex
@@ -866,6 +867,87 @@ def scan_written(docs: DataFrame) -> DataFrame:
     return found.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("folder")).agg(F.sum("size_bytes").alias("bytes"))
 
 
+#: Small files of every kind; # is a number that differs from row to row.
+_TEXTS = {
+    "mcmd": "publish data where wh = 'W#' and @item = 5\n|\n[select x from wms.t# where a = @item]\n|\nlist orders where ordnum = @ord#\ncatch(@?)\n",
+    "pkb": "create or replace package body pk# is\n procedure run#(a number) is\n begin\n  insert into log# (a) values (1);\n end;\n function calc# return number is begin return 1; end;\nend pk#;\n",
+    "sql": "with c# as (select * from wms.base#)\nselect a.x from c# a\n join dim# d on a.id = d.id;\nbegin update emp# set sal = :P#_SAL; end;\n",
+    "py": "import lib#\nclass C#:\n  def m#(self):\n    return 1\ndef f#(): pass\n",
+    "js": "function go#() { return 1 }\nconst add# = (a) => a;\n",
+    "log": 'noise\nORA-01400: cannot insert NULL into ("WMS"."TAB#"."COL#")\nORA-06512: at "WMS.PROC#", line 12\n',
+}
+#: (kind of file, what is found, line)
+_FOUND = """('mcmd', 'MocaCommand publish data#1', 1), ('mcmd', 'MocaVariable ITEM', 1), ('mcmd', 'MocaVariable WH', 1), ('mcmd', 'MocaCommand sql#2', 3), ('mcmd', 'MocaVariable ITEM', 3), ('mcmd', 'OracleTable T{k}', 3),
+('mcmd', 'QUERY_READS_TABLE T{k}', 3), ('mcmd', 'MOCA_COMMAND_USES_VARIABLE ITEM', 1), ('mcmd', 'MOCA_COMMAND_USES_VARIABLE ITEM', 3), ('mcmd', 'ENTITY_DEPENDS_ON_ENTITY publish data#1', 3), ('mcmd', 'MocaCommand list orders#3', 5),
+('mcmd', 'MocaVariable ORD{k}', 5), ('mcmd', 'MOCA_COMMAND_USES_VARIABLE ORD{k}', 5), ('mcmd', 'unused_publish', 1),
+('pkb', 'OraclePackage PK{k}', 1), ('pkb', 'OracleProcedure RUN{k}', 2), ('pkb', 'OracleFunction CALC{k}', 6), ('pkb', 'OracleTable LOG{k}', 4), ('pkb', 'QUERY_WRITES_TABLE LOG{k}', 4), ('pkb', 'OracleColumn A', 4),
+('sql', 'OracleTable BASE{k}', 1), ('sql', 'OracleTable DIM{k}', 3), ('sql', 'QUERY_READS_TABLE BASE{k}', 1), ('sql', 'QUERY_READS_TABLE DIM{k}', 3), ('sql', 'OracleTable EMP{k}', 4), ('sql', 'QUERY_WRITES_TABLE EMP{k}', 4),
+('sql', 'OracleColumn ID', 3), ('sql', 'OracleColumn SAL', 4), ('sql', 'ApexItem P{k}_SAL', 4), ('sql', 'ApexPage {k}', 4), ('sql', 'APEX_PAGE_CONTAINS_ITEM P{k}_SAL', 4), ('sql', 'APEX_ITEM_MAPS_TO_COLUMN SAL', 4),
+('py', 'UnknownEntity lib{k}', 1), ('py', 'PythonFunction C{k}', 2), ('py', 'PythonFunction m{k}', 3), ('py', 'PythonFunction f{k}', 5), ('py', 'ENTITY_DEPENDS_ON_ENTITY lib{k}', 1),
+('js', 'JavaScriptFunction go{k}', 1), ('js', 'JavaScriptFunction add{k}', 2),
+('log', 'Error ORA-01400 TAB{k}.COL{k}', 2), ('log', 'OracleColumn COL{k}', 2), ('log', 'OracleTable TAB{k}', 2), ('log', 'ERROR_AFFECTS_ENTITY COL{k}', 2), ('log', 'ERROR_AFFECTS_ENTITY TAB{k}', 2), ('log', 'OraclePackage PROC{k}', 3), ('log', 'ERROR_AFFECTS_ENTITY PROC{k}', 3)"""
+_PASSED_OVER = ("FILE_CONTAINS_ENTITY", "ENTITY_DEFINED_IN_FILE", "TABLE_HAS_COLUMN", "QUERY_USES_COLUMN")
+
+
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    k = (F.col(key) % 97).cast("string")
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit("f"), key, F.lit(f".{kind}")).alias("path"), F.replace(F.lit(text), F.lit("#"), k).alias("text")) for kind, text in _TEXTS.items()]))
+    return rows.select(each.alias("f")).select("f.*")
+
+
+def _said(drafts: DataFrame) -> DataFrame:
+    said = F.when(F.col("kind") == "entity", F.concat_ws(" ", "entity_type", "name")).when(F.col("kind") == "relationship", F.concat_ws(" ", "relation_type", "target_name")).otherwise(F.col("code"))
+    rows = drafts.where(~F.coalesce(F.col("relation_type").isin(*_PASSED_OVER), F.lit(False)) & ~F.coalesce(F.col("entity_type").isin("File", "SqlQuery") & (F.col("kind") == "entity"), F.lit(False)))
+    return rows.select("path", said.alias("found"), F.col("start_line").alias("line")).distinct()
+
+
+@on_tables(f"SELECT 'f' || c_custkey || '.' || kind AS path, replace(found, '{{k}}', CAST(c_custkey % 97 AS VARCHAR)) AS found, CAST(line AS INTEGER) AS line FROM customer, (VALUES {_FOUND}) v(kind, found, line)", "customer")
+def analyzer_mix(customer: DataFrame) -> DataFrame:
+    """Files of six kinds for every customer, through all analyzers."""
+    return _said(analyze_files(_mixed(customer, "c_custkey"), default_registry()))
+
+
+@on_tables(f"SELECT 'f' || s_suppkey || '.' || kind AS path, replace(found, '{{k}}', CAST(s_suppkey % 97 AS VARCHAR)) AS found, CAST(line AS INTEGER) AS line FROM supplier, (VALUES {_FOUND}) v(kind, found, line)", "supplier")
+def analyzer_table_function(supplier: DataFrame) -> DataFrame:
+    """The same in SQL, by the analyzers' table function."""
+    spark = supplier.sparkSession
+    table_function.register(spark, default_registry(), "skeinwork_drafts")
+    return _said(spark.sql("SELECT d.* FROM {files} f, LATERAL skeinwork_drafts(f.path, f.text) d", files=_mixed(supplier, "s_suppkey")))
+
+
+@on_tables("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, true AS back, strftime(DATE '1970-01-01' + CAST(user_id AS INTEGER), '%Y-%m-%d') AS day, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""", "events")
+def iso_dates(events: DataFrame) -> DataFrame:
+    at = dates.to_iso(F.col("ts"))
+    return events.select("event_id", at.alias("at"), (dates.from_iso(at) == F.col("ts")).alias("back"), dates.civil(F.col("user_id")).cast("string").alias("day"), text.json_object(F.col("props"))["k"].cast("int").alias("k"))
+
+
+@on_graph("SELECT id, name FROM (SELECT e.id, e.name, min(r.start_line) AS line FROM relationships r JOIN files f ON f.file_id = r.file_id JOIN entities e ON e.id IN (r.source_id, r.target_id) WHERE f.path = (SELECT min(path) FROM files WHERE path LIKE 'src/f/%') AND e.entity_type = 'OracleTable' GROUP BY e.id, e.name ORDER BY line, e.name, e.id LIMIT 1)")
+def focus_choice(g: Graph) -> DataFrame:
+    """Nothing that is a table is selected, so the first table of the file is chosen."""
+    path = g.files.where("path like 'src/f/%'").agg(F.min("path")).first()[0]
+    return views.focus_choice(g.entities.where(F.col("id") == REPORT), graph.entities_in_file(g.relationships, g.entities, g.files, path))
+
+
+@on_graph(_STORED + """SELECT coalesce(n.path, o.path) AS path, coalesce(CAST(f.file_id AS VARCHAR), sha256('demo|file|' || n.path)) AS file_id, d.kind
+FROM old o FULL JOIN new n ON n.path = o.path LEFT JOIN diff d ON d.path = coalesce(n.path, o.path) LEFT JOIN files f ON f.path = o.path""")
+def inventory_ids(g: Graph) -> DataFrame:
+    """Ids after a scan: known files keep theirs, new ones get one that every scan gives them."""
+    old, new = _scans(g)
+    return lifecycle.apply_inventory(old.withColumn("file_id", F.col("file_id").cast("string")), new, "demo").select("path", "file_id", "kind")
+
+
+@on_tables(f"""WITH f AS (SELECT 'f' || s_suppkey || '.' || kind AS path, s_suppkey, kind, replace(found, '{{k}}', CAST(s_suppkey % 97 AS VARCHAR)) AS found FROM supplier, (VALUES {_FOUND}) v(kind, found, line))
+SELECT DISTINCT sha256('kept|file|' || path) AS file_id, split_part(found, ' ', 1) AS entity_type FROM f WHERE split_part(found, ' ', 1) NOT LIKE '%\\_%' ESCAPE '\\'
+UNION SELECT sha256('kept|file|f' || s_suppkey || '.' || kind), t FROM supplier, (VALUES ('pkb', 'File'), ('sql', 'File'), ('pkb', 'SqlQuery'), ('sql', 'SqlQuery')) v(kind, t)""", "supplier")
+def project_delete_built(supplier: DataFrame) -> DataFrame:
+    """Two projects of the same files; when one is deleted, the evidence of the other is all that is left."""
+    one, two = (ingest.build(_mixed(supplier, "s_suppkey"), default_registry(), p) for p in ("gone", "kept"))
+    tables = {n: getattr(one, n).unionByName(getattr(two, n)) for n in ("entities", "relationships", "evidence", "messages")}
+    left = lifecycle.delete_project(tables, "gone")
+    seen = left["evidence"].where("entity_id is not null").select("file_id", "entity_id").distinct()
+    return seen.join(left["entities"].select("id", "entity_type"), F.col("entity_id") == F.col("id"), "left").select("file_id", "entity_type").distinct()
+
+
 _KEPT = "list_filter(regexp_split_to_array(lower(concat(p_name, CASE WHEN p_partkey % 7 = 0 THEN ' ring' ELSE '' END, ' ', p_type)), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
