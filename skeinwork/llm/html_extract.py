@@ -136,6 +136,7 @@ def units(page: str) -> list[tuple[str, str, str, int]]:
     out: list[tuple[str, str, str, int]] = []
     stack: list[tuple[str, str]] = []
     inner: list[str] = []  # containers opened inside what is skipped
+    opened, within = Counter(), Counter()  # how many of a name are on either list, so that neither is searched
     place, block, skip, links, kind = "", 0, "", 0, "div"
     for what, value, attrs in tokens(page):
         if what == "text":
@@ -144,15 +145,18 @@ def units(page: str) -> list[tuple[str, str, str, int]]:
             continue
         if skip and skip != "head" and what == "close" and value != skip and value in CONTAINERS:
             # an element that is never closed ends with what it stands in
-            if value in inner:
-                del inner[len(inner) - 1 - inner[::-1].index(value) :]
-            elif any(value == x for x, _ in stack):
+            if within[value]:
+                while within[value] and (last := inner.pop()) != value:
+                    within[last] -= 1
+                within[value] -= 1
+            elif opened[value]:
                 skip = ""
         elif skip and what == "open" and value in CONTAINERS:
             inner.append(value)
+            within[value] += 1
         if value in SKIPPED:
             if what == "open" and not skip and value not in VOID:
-                skip, inner = value, []
+                skip, inner, within = value, [], Counter()
             elif what == "close" and skip == value:
                 skip = ""
             if skip == "head" or value == "head":
@@ -176,14 +180,14 @@ def units(page: str) -> list[tuple[str, str, str, int]]:
                 own = _place(value, attrs)
                 said = "main" if place == "main" and own == "head" else own  # an article's own heading
                 stack.append((value, place))
+                opened[value] += 1
                 if not (place in ("comments", "advert", "notice") and said == "main" and value not in ("article", "main")):
                     place = said or place
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == value:
-                        place = stack[i][1]
-                        del stack[i:]
-                        break
+            elif opened[value]:
+                last = ""
+                while last != value:
+                    last, place = stack.pop()
+                    opened[last] -= 1
         out.append(("tag", value, "", block))
     return out
 

@@ -104,6 +104,15 @@ def test_best_fit_and_bounds():
     assert packing.lower_bound(np.array([], int), 100) == 0
 
 
+def test_unmatched_tags_are_linear():
+    import time
+
+    for page in ("<button>" + "<div>" * 50_000 + "</section>" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<button>" + "<div><ul>" * 25_000 + "</div>" * 25_000 + "<p>end"):
+        began = time.perf_counter()
+        html_extract.units(page)
+        assert time.perf_counter() - began < 4
+
+
 def test_bound_takes_thresholds_where_lengths_change_sides():
     lengths = np.array([1058] * 170 + [992] * 230)
     assert packing.lower_bound(lengths, 2048) == 285 == len(set(packing.best_fit(lengths, 2048)))
