@@ -67,6 +67,11 @@ def purge(relationships: DataFrame, evidence: DataFrame, errors: DataFrame, gone
     return retract(relationships, gone), retract(evidence, gone), retract(errors, gone)
 
 
+def without_project(tables: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:
+    """Every table's rows that don't name the project; what refers to the others isn't looked at."""
+    return {name: df.where(~F.col("project_id").eqNullSafe(F.lit(project_id))) for name, df in tables.items()}
+
+
 def delete_project(tables: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:
     """Every table without the project's rows and without what refers to them."""
     spark = next(iter(tables.values())).sparkSession

@@ -627,15 +627,16 @@ _LAYOUT = """concat('<?xml version="1.0"?>', chr(10), '<j:jasperReport xmlns:j="
 @on_tables(
     """WITH base AS (SELECT 'L' || p_partkey AS name, p_partkey % 2 = 0 AS stale, p_partkey, p_size, p_brand, p_name FROM part)
 SELECT name, stale, 0 AS band, 'groupHeader' AS section, p_brand AS "group", p_size AS band_height, 0 AS element, 'staticText' AS kind, CAST(p_partkey % 90 AS INTEGER) AS x, 1 AS y, 20 AS width, p_name || ' < ' || p_size AS text, '' AS "references" FROM base
-UNION ALL SELECT name, stale, 1, 'detail', NULL, 12, 0, 'textField', 2, NULL, 7, '$F{F' || p_size % 5 || '} + $P{a} + $F{ b }', '$F{F' || p_size % 5 || '} $F{b} $P{a}' FROM base
-UNION ALL SELECT name, stale, 1, 'detail', NULL, 12, 1, 'line', NULL, NULL, NULL, '', '' FROM base
-UNION ALL SELECT name, stale, 2, 'summary', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM base WHERE p_partkey % 3 = 0""", "part")
+UNION ALL SELECT name, stale, 1, 'detail', NULL, 12, 0, 'textField', 2, -1, 7, '$F{F' || p_size % 5 || '} + $P{a} + $F{ b }', '$F{F' || p_size % 5 || '} $F{b} $P{a}' FROM base
+UNION ALL SELECT name, stale, 1, 'detail', NULL, 12, 1, 'line', -1, -1, -1, '', '' FROM base
+UNION ALL SELECT name, stale, 2, 'summary', NULL, -1, -1, NULL, -1, -1, -1, NULL, NULL FROM base WHERE p_partkey % 3 = 0""", "part")
 def report_layout(part: DataFrame) -> DataFrame:
     built = ingest.build(part.select(F.concat(F.lit("l"), "p_partkey", F.lit(".jrxml")).alias("path"), F.expr(_LAYOUT).alias("text")), default_registry(), "layouts")
     path = F.concat(F.lit("l"), "p_partkey", F.lit(".jrxml"))
     files = part.select(naming.file_id(F.lit("layouts"), path).alias("file_id"), path.alias("path"), F.when(F.col("p_partkey") % 2 == 1, SUITE).when(F.col("p_partkey") % 4 == 0, "suite-1").alias("analyzed_by"))
     shown = graph.report_layout(built.entities, files, SUITE)
-    return shown.select("name", "stale", "band", "section", "group", "band_height", "element", "kind", "x", "y", "width", "text", F.array_join("references", " ").alias("references"))
+    known = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("band_height", "element", "x", "y", "width")]
+    return shown.select("name", "stale", "band", "section", "group", *known, "kind", "text", F.array_join("references", " ").alias("references"))
 
 
 @on_tables("""SELECT event_id, v.name, CAST(v.line AS INTEGER) AS line FROM events, (VALUES ('event', 1), ('event.type', 1), ('event.props', 2), ('event.props.k', 2), ('event.tags', 3), ('event.tags[].id', 3)) v(name, line)""", "events")
@@ -658,7 +659,7 @@ def images_of_report(suppliers: DataFrame) -> DataFrame:
 @on_tables("SELECT 'P' || (o_custkey % 9) || '_' || x AS name, 1 AS first_line FROM orders, (VALUES ('NUM'), ('GROSS')) v(x) WHERE o_orderkey = 5", "orders")
 def apex_items_in_file(orders: DataFrame) -> DataFrame:
     built = _built(orders)
-    files = orders.select(F.concat(F.lit("f"), F.col("o_orderkey"), F.lit(".sql")).alias("path")).withColumn("file_id", F.col("path"))
+    files = orders.select(F.concat(F.lit("f"), F.col("o_orderkey"), F.lit(".sql")).alias("path")).withColumn("file_id", naming.file_id(F.lit("orders"), F.col("path")))
     return graph.entities_in_file(built.relationships, built.entities, files, "f5.sql", ("ApexItem",)).select("name", "first_line")
 
 
@@ -711,7 +712,7 @@ def purge_deleted(g: Graph) -> DataFrame:
 @on_graph("SELECT 'entities' AS what, count(*) AS n FROM entities WHERE entity_type <> 'SqlQuery' UNION ALL SELECT 'relationships', count(*) FROM relationships WHERE relation_type <> 'QUERY_READS_TABLE'")
 def project_delete(g: Graph) -> DataFrame:
     tables = {"entities": g.entities.withColumn("project_id", F.col("entity_type")), "relationships": g.relationships.withColumn("project_id", F.when(F.col("relation_type") == "QUERY_READS_TABLE", "SqlQuery").otherwise("other"))}
-    left = lifecycle.delete_project(tables, "SqlQuery")
+    left = lifecycle.without_project(tables, "SqlQuery")
     return stats.count_by(left["entities"].select(F.lit("entities").alias("what")).unionByName(left["relationships"].select(F.lit("relationships").alias("what"))), "what")
 
 
