@@ -3,13 +3,14 @@ noise-contrastive estimation, over exact corpus counts.
 
 Tokens are words (A-Z as a-z) and one end a document. Counts of all training tokens are exact and
 live in a table by 64-bit word hash. The neural model predicts classes: each of the most frequent
-words is a class (sqrt(V) / 2 words of V distinct ones, LEAST_OWN to MOST_OWN, as the normalisers of
-all pairs cost the third power of their number), the end is one, and all
+words is a class (2 sqrt(V) words of V distinct ones, at least LEAST_OWN), the end is one, and all
 other words fall into surface classes by their last letters, one for about OWN_A_SURFACE own words;
 inside such a class a word has probability (c + 1) / (sum of c + 1 over the class's training words,
-plus 1 for all unknown ones). The class distribution given the two classes before is
-softmax(q . (C1 r1 + C2 r2) + b); its normalisers are computed for all pairs of classes in batched
-matrix products, so token log-probabilities are normalised exactly.
+plus 1 for all unknown ones). The class distribution given the two classes before, whose features make
+h = C1 r1 + C2 r2, is a softmax of two levels: of n classes the sqrt(n) most frequent stand on the first
+level beside blocks of sqrt(n) classes each, softmax(q . h + b) goes over these and, where a block comes,
+once more over its classes. So a token's log-probability is normalised exactly from about 3 sqrt(n)
+scores, which batches of tokens get by matrix products.
 
 Texts are split twice, for the counts and for class numbers, which are written once and read by
 training and scoring. Training goes over all training documents in ROUNDS rounds. A document's hash
@@ -22,7 +23,7 @@ At most about ``HEAD`` of the most frequent words are sent to tasks (16 bytes ea
 looked up by a join.
 
 Defined results: null text is empty and has the one end token; a null doc_id is not held out; repeated
-rows score alike; without training documents every count is 0 and the model is the base model over
+rows score alike up to the rounding of single precision; without training documents every count is 0 and the model is the base model over
 the end and the unknown words; an empty table gives no rows.
 """
 
@@ -44,11 +45,13 @@ from .common import column, materialise, whole_text
 
 HELD_OUT = (7, 2)
 HEAD = 1 << 17
-#: Own words at least and at most, own words for a surface class, and buckets of last letters.
-LEAST_OWN, MOST_OWN, OWN_A_SURFACE, LETTERS = 512, 4096, 13, 4096
+#: Own words at least, own words for a surface class, and buckets of last letters.
+LEAST_OWN, OWN_A_SURFACE, LETTERS = 512, 13, 4096
 DIM = 20
 NOISE = 48
 BATCH = 1024
+#: Tokens that are scored together.
+SCORED = 1 << 14
 RATE = 0.05
 ROUNDS = 2
 #: Training tokens of a part, and tokens that a part of a small corpus goes over at least.
@@ -118,6 +121,11 @@ class Vocabulary:
     def size(self) -> int:
         return self.own + self.surface + 1
 
+    @property
+    def kind(self) -> str:
+        """The type that class numbers are written in."""
+        return "<u2" if self.size < 1 << 16 else "<u4"
+
 
 class Places(dict):
     """Head index of a word, or the number of head words plus its surface class."""
@@ -136,7 +144,7 @@ class Places(dict):
 
 
 def own_words(types: int) -> int:
-    return min(MOST_OWN, max(LEAST_OWN, math.isqrt(types) // 2))
+    return max(LEAST_OWN, 2 * math.isqrt(types))
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
@@ -175,10 +183,51 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 # -- the model --------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Levels:
+    """The two levels of the classes: some that stand alone, then blocks of ``width`` classes."""
+
+    size: int
+
+    @property
+    def width(self) -> int:
+        return math.isqrt(self.size)
+
+    @property
+    def single(self) -> int:
+        return self.width
+
+    @property
+    def tops(self) -> int:
+        """Places of the first level; the places of the classes inside blocks follow."""
+        return self.single - (self.single - self.size) // self.width
+
+    def top(self, classes: np.ndarray) -> np.ndarray:
+        return np.where(classes < self.single, classes, self.single + (classes - self.single) // self.width)
+
+    def shares(self, class_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies of the first level's places, and of the classes inside blocks among each other."""
+        p = class_counts + 1
+        low = p[self.single :]
+        first = np.bincount(self.top(np.arange(self.size)), p, self.tops)
+        return first / first.sum(), low / low.sum()
+
+
+def _log_sums(s: np.ndarray) -> np.ndarray:
+    """Log of the row sums of exp(s); only rows whose sum leaves the range are shifted by their greatest score."""
+    with np.errstate(over="ignore", divide="ignore"):
+        z = np.exp(s) @ np.ones(s.shape[1], np.float32)
+        out = np.log(z)
+    for i in np.flatnonzero(~((z > 1e-30) & (z < 1e30))):
+        m = s[i].max()
+        out[i] = m + np.log(np.exp(s[i] - m).sum())
+    return out
+
+
 @dataclass
 class LogBilinear:
     r: np.ndarray  # contexts: a row for each class, the last for the start
-    q: np.ndarray  # targets
+    q: np.ndarray  # targets: the first level's places, then the classes inside blocks
     c1: np.ndarray
     c2: np.ndarray
     b: np.ndarray
@@ -186,9 +235,13 @@ class LogBilinear:
     @classmethod
     def start(cls, class_counts: np.ndarray, seed: int = 7) -> LogBilinear:
         rng, n = np.random.default_rng(seed), len(class_counts)
-        p = (class_counts + 1) / (class_counts + 1).sum()
+        p = np.concatenate(Levels(n).shares(class_counts))
         small = lambda rows: rng.normal(0, 0.1, (rows, DIM)).astype(np.float32)
-        return cls(small(n + 1), small(n), np.eye(DIM, dtype=np.float32), np.eye(DIM, dtype=np.float32) * np.float32(0.5), np.log(p).astype(np.float32))
+        return cls(small(n + 1), small(len(p)), np.eye(DIM, dtype=np.float32), np.eye(DIM, dtype=np.float32) * np.float32(0.5), np.log(p).astype(np.float32))
+
+    @property
+    def levels(self) -> Levels:
+        return Levels(len(self.r) - 1)
 
     def parts(self) -> list[np.ndarray]:
         return [self.r, self.q, self.c1, self.c2, self.b]
@@ -203,89 +256,100 @@ class LogBilinear:
             at += x.size
         return LogBilinear(*out)
 
-    def normalisers(self, far: np.ndarray) -> np.ndarray:
-        """Log of the softmax sum for each pair (class before last, of ``far``; last class)."""
-        left, near, out = self.r[far] @ self.c2, self.r @ self.c1, np.empty((len(far), len(self.r)), np.float32)
-        top = self.q.T
-        for i in range(len(far)):
-            s = (left[i] + near) @ top + self.b
-            m = s.max(1, keepdims=True)
-            out[i] = m[:, 0] + np.log(np.exp(s - m).sum(1))
+    def log_probabilities(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each target class given its row of ``hidden``."""
+        to, top = self.levels, self.levels.top(target)
+        q, out = np.ascontiguousarray(self.q[: to.tops].T), np.empty(len(top), np.float32)
+        for lo in range(0, len(top), BATCH):
+            s = hidden[lo : lo + BATCH] @ q
+            s += self.b[: to.tops]
+            out[lo : lo + BATCH] = s[np.arange(len(s)), top[lo : lo + BATCH]] - _log_sums(s)
+        order = np.argsort(top, kind="stable")
+        cuts = np.searchsorted(top[order], np.arange(to.single, to.tops + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            rows, lo = order[cuts[k] : cuts[k + 1]], to.tops + k * to.width
+            s = hidden[rows] @ self.q[lo : lo + to.width].T + self.b[lo : lo + to.width]
+            out[rows] += s[np.arange(len(rows)), target[rows] - to.single - k * to.width] - _log_sums(s)
         return out
 
 
-def all_normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
-    """The normalisers of all pairs, computed by tasks of some rows each."""
-    n = len(model.r)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = model.normalisers(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "row"])
-
-    got = spark.range(0, n, 1, min(n, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "id bigint, row binary").toArrow()
-    order = np.argsort(got.column("id").to_numpy())
-    return np.frombuffer(b"".join(got.column("row").to_pylist()), np.float32).reshape(n, n)[order]
-
-
 class Trainer:
-    """Noise-contrastive estimation with adaptive steps; noise is shared by a batch."""
+    """Noise-contrastive estimation with adaptive steps; noise is shared by a batch.
+
+    Each level has its own noise. Inside blocks the classes are told from noise over all blocks, so
+    that their scores hold within each of them.
+    """
 
     def __init__(self, model: LogBilinear, class_counts: np.ndarray, seed: int):
-        self.m = model.filled(model.flat())
-        p = (class_counts + 1) / (class_counts + 1).sum()
-        self.noise_log, self.cum = np.log(NOISE * p).astype(np.float32), np.cumsum(p)
+        self.m, self.to = model.filled(model.flat()), model.levels
+        shares = self.to.shares(class_counts)
+        self.noise_log = np.log(NOISE * np.concatenate(shares)).astype(np.float32)
+        self.cum = [np.cumsum(p) for p in shares]
         self.rng = np.random.default_rng(seed)
         self.second = [np.full(x.shape, 1e-6, np.float32) for x in self.m.parts()]
-        self.tokens = 0
 
-    @staticmethod
-    def _scatter(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(rows, grads[:, k], n) for k in range(grads.shape[1])], 1).astype(np.float32)
-
-    def step(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.m, len(target)
-        rf, rn = m.r[far], m.r[near]
-        hidden = rn @ m.c1 + rf @ m.c2
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
+    def _contrast(self, level: int, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(gradient of hidden, places of q, their gradients, those of b) for one level."""
+        m, cum = self.m, self.cum[level]
+        noise = np.minimum(np.searchsorted(cum, self.rng.random(NOISE)), len(cum) - 1) + level * self.to.tops
         qt, qn = m.q[target], m.q[noise]
         good = np.einsum("ij,ij->i", hidden, qt) + m.b[target] - self.noise_log[target]
         bad = hidden @ qn.T + (m.b[noise] - self.noise_log[noise])
         up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - sigmoid
         down = 1 / (1 + np.exp(-np.clip(bad, -30, 30)))  # sigmoid
-        dh = up[:, None] * qt - down @ qn
-        size = len(m.q)
-        dq = self._scatter(target, up[:, None] * hidden, size)
-        np.subtract.at(dq, noise, down.T @ hidden)
-        db = np.bincount(target, up, size).astype(np.float32)
-        np.subtract.at(db, noise, down.sum(0))
-        dr = self._scatter(near, dh @ m.c1.T, size + 1) + self._scatter(far, dh @ m.c2.T, size + 1)
-        for x, s, g in zip(m.parts(), self.second, (dr, dq, rn.T @ dh, rf.T @ dh, db), strict=True):
-            g = g / n
-            s += g * g
-            x += RATE * g / np.sqrt(s)
-        self.tokens += n
-
-
-def _sequence(ids: bytes, first: int, end: int) -> np.ndarray:
+        return up[:, None] * qt - down @ qn, np.concatenate([target, noise]), np.concatenate([up[:, None] * hidden, -down.T @ hidden]), np.concatenate([up, -down.sum(0)])
+
+    def _move(self, part: int, rows: np.ndarray, grads: np.ndarray) -> None:
+        """One step of the rows that have gradients; rows may repeat."""
+        order = np.argsort(rows, kind="stable")
+        at = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        at, g = at[first], np.add.reduceat(grads[order], first, axis=0)
+        s = self.second[part][at] + g * g
+        self.second[part][at] = s
+        self.m.parts()[part][at] += RATE * g / np.sqrt(s)
+
+    def step(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> None:
+        m, to, n = self.m, self.to, np.float32(1 / len(target))
+        rf, rn = m.r[far], m.r[near]
+        hidden = rn @ m.c1 + rf @ m.c2
+        dh, rows, dq, db = self._contrast(0, hidden, to.top(target))
+        low = np.flatnonzero(target >= to.single)
+        if len(low):
+            dh_low, rows_low, dq_low, db_low = self._contrast(1, hidden[low], target[low] - to.single + to.tops)
+            dh[low] += dh_low
+            rows, dq, db = (np.concatenate(x) for x in ((rows, rows_low), (dq, dq_low), (db, db_low)))
+        dh *= n
+        c1, c2 = dh @ m.c1.T, dh @ m.c2.T
+        for k, g in ((2, rn.T @ dh), (3, rf.T @ dh)):
+            self.second[k] += g * g
+            m.parts()[k][...] += RATE * g / np.sqrt(self.second[k])
+        self._move(0, np.concatenate([near, far]), np.concatenate([c1, c2]))
+        self._move(1, rows, dq * n)
+        self._move(4, rows, db * n)
+
+
+def _sequence(ids: bytes, kind: str, first: int, end: int) -> np.ndarray:
     """Two starts, the document's classes, and the end."""
-    at = np.frombuffer(ids, "<u2")
+    at = np.frombuffer(ids, kind)
     seq = np.empty(len(at) + 3, np.int32)
     seq[:2], seq[2:-1], seq[-1] = first, at, end
     return seq
 
 
 def train(placed: DataFrame, vocab: Vocabulary) -> LogBilinear:
-    """What the parts learn in all rounds from the training documents of ``placed``."""
-    end, first = vocab.size - 1, vocab.size
+    """What the parts learn in all rounds from the training documents of ``placed``.
+
+    Equal rows are counted, then dealt one by one, so that they don't all fall into one part.
+    """
+    end, first, kind = vocab.size - 1, vocab.size, vocab.kind
     model, parts = LogBilinear.start(vocab.class_counts), max(1, -(-vocab.tokens // PART_TOKENS))
-    key = F.xxhash64("doc_id", "ids")
-    rows = placed.where("not held_out").select("doc_id", "ids", F.pmod(key, F.lit(parts)).alias("part"), F.pmod(F.shiftright(key, 40), F.lit(ROUNDS)).alias("turn"))
+    rows = placed.where("not held_out").select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(ROUNDS)).alias("turn"))
 
     def learner(start: LogBilinear):
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-            seqs = [_sequence(x, first, end) for x in table.column("ids").to_pylist()]
+            seqs = [_sequence(x, kind, first, end) for x in table.column("ids").to_pylist()]
             far, near, target = (np.concatenate([s[i : len(s) - 2 + i] for s in seqs]) for i in range(3))
             trainer, n = Trainer(start, vocab.class_counts, 11), len(target)
             for _ in range(min(MOST_PASSES, max(1, LEAST_TOKENS // n))):
@@ -293,18 +357,21 @@ def train(placed: DataFrame, vocab: Vocabulary) -> LogBilinear:
                 for at in range(0, n, BATCH):
                     pick = order[at : at + BATCH]
                     trainer.step(far[pick], near[pick], target[pick])
-            flat = np.rint(trainer.m.flat().astype(np.float64) * GRAIN).astype(np.int64)
-            return pa.table({"i": pa.array(np.arange(len(flat), dtype=np.int32)), "v": pa.array(flat), "w": pa.array(np.full(len(flat), n, np.int64))})
+            flat = np.rint(trainer.m.flat().astype(np.float64) * GRAIN).astype(np.int64) * n
+            return pa.table({"i": pa.array(np.arange(-1, len(flat), dtype=np.int32)), "v": pa.array(np.concatenate([[n], flat]))})
 
         return run
 
     for turn in range(ROUNDS):
-        learned = rows.where(F.col("turn") == turn).select("part", "doc_id", "ids").groupBy("part").applyInArrow(learner(model), "i int, v bigint, w bigint")
-        whole = lambda c: F.col(c).cast("decimal(20,0)")
-        mean = learned.groupBy("i").agg(F.sum(whole("v") * whole("w")).cast("double").alias("v"), F.sum(whole("w")).cast("double").alias("w")).toArrow()
-        if len(mean):
-            order = np.argsort(mean.column("i").to_numpy())
-            model = model.filled((mean.column("v").to_numpy() / mean.column("w").to_numpy() / GRAIN)[order])
+        alike = rows.where(F.col("turn") == turn).groupBy("doc_id", "ids").agg(F.count("*").alias("n"))
+        each = alike.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
+        dealt = each.select(F.pmod(F.xxhash64("doc_id", "ids", "copy"), F.lit(parts)).alias("part"), "doc_id", "ids")
+        learned = dealt.groupBy("part").applyInArrow(learner(model), "i int, v bigint")
+        # place -1 holds the tokens, by which every part's parameters are weighted
+        total = learned.groupBy("i").agg(F.sum(F.col("v").cast("decimal(20,0)")).cast("double").alias("v")).toArrow()
+        if len(total):
+            v = total.column("v").to_numpy()[np.argsort(total.column("i").to_numpy())]
+            model = model.filled(v[1:] / v[0] / GRAIN)
     return model
 
 
@@ -334,7 +401,7 @@ def place(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 rare = np.flatnonzero(at >= head)
                 h, c = np.unique(np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in rare.tolist()), np.uint64, len(rare)).view(np.int64), return_counts=True)
                 base = float(base_part[at].sum()) + end_base - (len(at) + 1) * base_all
-                found = (len(at) + 1, len(at) - len(rare) + (vocab.ends > 0), base, float(class_part[at].sum()), h, c.astype(np.int32), vocab.classes[at].astype("<u2").tobytes())
+                found = (len(at) + 1, len(at) - len(rare) + (vocab.ends > 0), base, float(class_part[at].sum()), h, c.astype(np.int32), vocab.classes[at].astype(vocab.kind).tobytes())
                 for col, x in zip(cols, found, strict=True):
                     col.append(x)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in cols[4]]))).astype(np.int32))
@@ -354,20 +421,30 @@ def score(docs: DataFrame) -> DataFrame:
     vocab = vocabulary(counts, ends)
     placed = materialise(place(docs, vocab), "placed")
     model = train(placed, vocab)
-    norm, end, first = all_normalisers(docs.sparkSession, model), vocab.size - 1, vocab.size
+    end, first, kind = vocab.size - 1, vocab.size, vocab.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near_part, far_part = model.r @ model.c1, model.r @ model.c2
         for batch in batches:
-            lm = []
-            for ids, share in zip(batch.column("ids"), batch.column("share").to_pylist(), strict=True):
-                seq, total = _sequence(ids.as_py(), first, end), 0.0
-                for lo in range(0, len(seq) - 2, 1 << 16):
-                    part = seq[lo : lo + (1 << 16) + 2]
-                    f, n, t = part[:-2], part[1:-1], part[2:]
-                    s = np.einsum("ij,ij->i", near_part[n] + far_part[f], model.q[t]) + model.b[t] - norm[f, n]
-                    total += float(s.sum(dtype=np.float64))
-                lm.append(total / math.log(10) + share)
+            lm, held, size = np.zeros(batch.num_rows), [], 0
+
+            def flush() -> None:
+                row = np.repeat([k for k, _ in held], [len(s) - 2 for _, s in held])
+                far, near, target = (np.concatenate([s[i : len(s) - 2 + i] for _, s in held]) for i in range(3))
+                for lo in range(0, len(row), SCORED):
+                    at = slice(lo, lo + SCORED)
+                    got = model.log_probabilities(near_part[near[at]] + far_part[far[at]], target[at])
+                    lm[:] += np.bincount(row[at], got, len(lm))  # noqa: B023
+
+            for k, ids in enumerate(batch.column("ids")):
+                held.append((k, _sequence(ids.as_py(), kind, first, end)))
+                size += len(held[-1][1])
+                if size >= SCORED:
+                    flush()
+                    held, size = [], 0
+            if held:
+                flush()
+            lm = lm / math.log(10) + batch.column("share").to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("uid", "doc_id", "held_out", "n_tokens", "known", "base")), pa.array(lm, pa.float64())], ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "lm"])
 
     found = placed.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "share", "ids").mapInArrow(run, "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, lm double")

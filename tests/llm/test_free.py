@@ -347,8 +347,42 @@ def test_model_depends_on_the_documents_only(spark, monkeypatch):
     assert held and sum(x[1] for x in held) > 0.95 * sum(x[2] for x in held)
 
 
-def test_model_is_normalised():
-    model = lm_scoring.LogBilinear.start(np.array([5.0, 3.0, 2.0]))
-    norm = model.normalisers(np.arange(4))
-    s = np.array([[[(model.r[n] @ model.c1 + model.r[f] @ model.c2) @ model.q[t] + model.b[t] - norm[f, n] for t in range(3)] for n in range(4)] for f in range(4)])
-    assert np.allclose(np.exp(s).sum(2), 1, atol=1e-4)
+@pytest.mark.parametrize("n", [1, 3, 50, 731])
+def test_model_is_normalised(n):
+    """Probabilities of all classes add up to 1 before and after training, scores far out of range included."""
+    rng = np.random.default_rng(n)
+    counts = np.sort(rng.integers(1, 1000, n))[::-1].astype(float)
+    model = lm_scoring.LogBilinear.start(counts)
+    trainer = lm_scoring.Trainer(model, counts, 3)
+    for _ in range(30):
+        trainer.step(rng.integers(0, n + 1, 64), rng.integers(0, n + 1, 64), rng.integers(0, n, 64))
+    far = lm_scoring.LogBilinear(model.r, model.q * 2000, model.c1, model.c2, model.b)
+    for m in (model, trainer.m, far):
+        hidden = m.r[rng.integers(0, n + 1, 7)] @ m.c1 + m.r[rng.integers(0, n + 1, 7)] @ m.c2
+        got = m.log_probabilities(np.repeat(hidden, n, 0), np.tile(np.arange(n), 7)).reshape(7, n)
+        assert np.allclose(np.exp(got.astype(float)).sum(1), 1, atol=1e-3)
+
+
+def test_training_learns_pairs_in_blocks():
+    """A class inside a block that always follows another gets most of the probability there."""
+    n, rng = 400, np.random.default_rng(2)
+    trainer = lm_scoring.Trainer(lm_scoring.LogBilinear.start(np.ones(n)), np.ones(n), 1)
+    for _ in range(600):
+        near = rng.integers(0, n, 1024)
+        trainer.step(np.full(1024, n), near, (near + 100) % n)
+    m = trainer.m
+    got = m.log_probabilities(m.r[:n] @ m.c1 + m.r[n] @ m.c2, (np.arange(n) + 100) % n)
+    assert np.exp(got).mean() > 20 / n
+
+
+def test_classes_grow_with_the_words():
+    assert lm_scoring.own_words(10**8) == 20_000 and lm_scoring.own_words(100) == lm_scoring.LEAST_OWN
+
+
+def test_equal_rows_over_many_parts(spark, monkeypatch):
+    """A third of all rows equal and without an id, over many parts: all are scored, and alike."""
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 2_000)
+    rows = [(None, "a b c d e f g h")] * 600 + [(i, f"w{i} a b c d e f g") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = lm_scoring.score(docs).collect()
+    assert len(got) == 1800 and np.ptp([r.score for r in got if r.doc_id is None]) < 1e-6
