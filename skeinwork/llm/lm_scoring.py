@@ -51,7 +51,7 @@ DIM = 20
 NOISE = 48
 BATCH = 1024
 #: Tokens that are scored together.
-SCORED = 1 << 14
+SCORED = 1 << 15
 RATE = 0.05
 ROUNDS = 2
 #: Training tokens of a part, and tokens that a part of a small corpus goes over at least.
@@ -224,6 +224,20 @@ def _log_sums(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_place(places: np.ndarray, size: int) -> np.ndarray:
+    """An order of ``places`` (below ``size``), equal ones as they come; of two bytes each it is found without comparisons."""
+    return np.argsort(places.astype(np.uint16 if size <= 1 << 16 else np.int32), kind="stable")
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in the place of ``x``."""
+    with np.errstate(over="ignore"):
+        np.negative(x, out=x)
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 @dataclass
 class LogBilinear:
     r: np.ndarray  # contexts: a row for each class, the last for the start
@@ -264,7 +278,7 @@ class LogBilinear:
             s = hidden[lo : lo + BATCH] @ q
             s += self.b[: to.tops]
             out[lo : lo + BATCH] = s[np.arange(len(s)), top[lo : lo + BATCH]] - _log_sums(s)
-        order = np.argsort(top, kind="stable")
+        order = _by_place(top, to.tops)
         cuts = np.searchsorted(top[order], np.arange(to.single, to.tops + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             rows, lo = order[cuts[k] : cuts[k + 1]], to.tops + k * to.width
@@ -293,21 +307,23 @@ class Trainer:
         m, cum = self.m, self.cum[level]
         noise = np.minimum(np.searchsorted(cum, self.rng.random(NOISE)), len(cum) - 1) + level * self.to.tops
         qt, qn = m.q[target], m.q[noise]
-        good = np.einsum("ij,ij->i", hidden, qt) + m.b[target] - self.noise_log[target]
-        bad = hidden @ qn.T + (m.b[noise] - self.noise_log[noise])
-        up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - sigmoid
-        down = 1 / (1 + np.exp(-np.clip(bad, -30, 30)))  # sigmoid
+        up = _sigmoid(self.noise_log[target] - m.b[target] - np.einsum("ij,ij->i", hidden, qt))
+        down = hidden @ qn.T
+        down += m.b[noise] - self.noise_log[noise]
+        down = _sigmoid(down)
         return up[:, None] * qt - down @ qn, np.concatenate([target, noise]), np.concatenate([up[:, None] * hidden, -down.T @ hidden]), np.concatenate([up, -down.sum(0)])
 
-    def _move(self, part: int, rows: np.ndarray, grads: np.ndarray) -> None:
-        """One step of the rows that have gradients; rows may repeat."""
-        order = np.argsort(rows, kind="stable")
+    def _move(self, rows: np.ndarray, size: int, *grads: tuple[int, np.ndarray]) -> None:
+        """One step of the rows that have gradients, by part; rows may repeat."""
+        order = _by_place(rows, size)
         at = rows[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        at, g = at[first], np.add.reduceat(grads[order], first, axis=0)
-        s = self.second[part][at] + g * g
-        self.second[part][at] = s
-        self.m.parts()[part][at] += RATE * g / np.sqrt(s)
+        at = at[first]
+        for part, g in grads:
+            g = np.add.reduceat(g[order], first, axis=0)
+            s = self.second[part][at] + g * g
+            self.second[part][at] = s
+            self.m.parts()[part][at] += RATE * g / np.sqrt(s)
 
     def step(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> None:
         m, to, n = self.m, self.to, np.float32(1 / len(target))
@@ -324,9 +340,10 @@ class Trainer:
         for k, g in ((2, rn.T @ dh), (3, rf.T @ dh)):
             self.second[k] += g * g
             m.parts()[k][...] += RATE * g / np.sqrt(self.second[k])
-        self._move(0, np.concatenate([near, far]), np.concatenate([c1, c2]))
-        self._move(1, rows, dq * n)
-        self._move(4, rows, db * n)
+        self._move(np.concatenate([near, far]), len(m.r), (0, np.concatenate([c1, c2])))
+        dq *= n
+        db *= n
+        self._move(rows, len(m.q), (1, dq), (4, db))
 
 
 def _sequence(ids: bytes, kind: str, first: int, end: int) -> np.ndarray:
