@@ -20,7 +20,7 @@ kinds the fixed lexicons alone decide; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,15 +108,20 @@ def _features(votes: np.ndarray) -> np.ndarray:
     return np.hstack([v, np.log1p(up), np.ones((len(v), 1))])
 
 
-def spanning_parents(strength: np.ndarray) -> np.ndarray:
-    """Each voter's parent in the maximum spanning forest of ``strength`` (symmetric, 0 for no link), -1 for roots."""
-    m = len(strength)
+def _blocks(n: int) -> list[slice]:
+    return [slice(at, at + ROWS) for at in range(0, n, ROWS)]
+
+
+def spanning_parents(m: int, strength: Callable[[int], np.ndarray]) -> np.ndarray:
+    """Each voter's parent in the maximum spanning forest, -1 for roots. ``strength`` gives a voter's links
+    (symmetric, 0 for no link and for the voter itself) and is asked once for each."""
     parent, best, done = np.full(m, -1), np.full(m, -1.0), np.zeros(m, bool)
     for _ in range(m):
         at = int(np.argmax(np.where(done, -2.0, best)))
         done[at] = True
-        closer = ~done & (strength[at] > best) & (strength[at] > 0)
-        best[closer], parent[closer] = strength[at][closer], at
+        links = strength(at)
+        closer = ~done & (links > best) & (links > 0)
+        best[closer], parent[closer] = links[closer], at
     return parent
 
 
@@ -125,31 +130,49 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tupl
 
     A voter's table says how often it gives each vote in each class after each vote of its parent;
     what its parent rarely said leans on the voter's own table.
+
+    Votes stay single bytes and are read in blocks of rows. The two classes' weights of a row add up to 1, so
+    correlations follow from sums over pairs of voters that are made once; besides the votes these 4 bytes
+    a pair are all that grows.
     """
     n, m = votes.shape
     prior = min(max(float(labels.mean()), 1e-3), 0.5)
     post, sign = np.where(labels > 0, 0.8, 0.2), np.where(labels > 0, 1.0, -1.0)
-    says = [(votes == s).astype(np.float64) for s in (-1, 0, 1)]
     parent, rows = np.full(m, -1), np.arange(m)
+    pairs = np.zeros((m, m), np.float32)  # whole numbers, at most the number of rows
+    for at in _blocks(n):
+        v = votes[at].astype(np.float32)
+        pairs += v.T @ v
     for _ in range(rounds):
         right = np.clip(np.where(labels > 0, post, 1 - post).mean(), 0.6, 0.99)
         weight = np.stack([1 - post, post])  # class by row
         mass = weight.sum(1)
-        alone = np.stack([(weight @ x + 0.05) / (mass[:, None] + 0.15) for x in says])  # vote, class, voter
-        mean = (weight @ votes) / np.maximum(mass, 1e-9)[:, None]
-        cov = sum(((votes - mean[c]) * weight[c][:, None]).T @ (votes - mean[c]) for c in (0, 1)) / n
-        sd = np.sqrt(np.diag(cov)) + 1e-6
-        strength = np.abs(cov / np.outer(sd, sd))
-        np.fill_diagonal(strength, 0)
-        parent = spanning_parents(np.where(strength >= LEAST_CORRELATION, strength, 0))
+        said = np.zeros((3, 2, m))  # vote, class, voter
+        for at in _blocks(n):
+            for k, vote in enumerate((-1, 0, 1)):
+                said[k] += weight[:, at] @ (votes[at] == vote)
+        alone = (said + 0.05) / (mass[:, None] + 0.15)
+        mean = (said[2] - said[0]) / np.maximum(mass, 1e-9)[:, None]
+        sd = np.sqrt(np.maximum(np.diag(pairs) - mass @ mean**2, 0) / n) + 1e-6
+
+        def strength(i: int) -> np.ndarray:
+            out = np.abs((pairs[i] - (mass * mean[:, i]) @ mean) / n / (sd * sd[i]))  # noqa: B023
+            out[i] = 0
+            return np.where(out >= LEAST_CORRELATION, out, 0)
+
+        parent = spanning_parents(m, strength)
         above = np.where(parent < 0, rows, parent)
-        odds = np.empty((3, 3, m))  # vote of the parent, own vote, voter
-        for u in range(3):
-            given = np.stack([weight @ (says[u][:, above] * x) for x in says])  # vote, class, voter
-            table = (given + OWN_VOTES * alone) / (given.sum(0) + OWN_VOTES)
-            odds[u] = np.log(table[:, 1]) - np.log(table[:, 0])
+        given = np.zeros((3, 3, 2, m))  # vote of the parent, own vote, class, voter
+        for at in _blocks(n):
+            v, up = votes[at], votes[at][:, above]
+            for u in range(3):
+                for k in range(3):
+                    given[u, k] += weight[:, at] @ ((up == u - 1) & (v == k - 1))
+        table = (given + OWN_VOTES * alone) / (given.sum(1, keepdims=True) + OWN_VOTES)
+        odds = np.log(table[:, :, 1]) - np.log(table[:, :, 0])  # vote of the parent, own vote, voter
         odds[:, :, parent < 0] = (np.log(alone[:, 1]) - np.log(alone[:, 0]))[None][:, :, parent < 0]
-        score = np.log(prior / (1 - prior)) + odds[votes[:, above].astype(int) + 1, votes.astype(int) + 1, rows].sum(1) + sign * np.log(right / (1 - right))
+        told = np.concatenate([odds[votes[at][:, above].astype(int) + 1, votes[at].astype(int) + 1, rows].sum(1) for at in _blocks(n)])
+        score = np.log(prior / (1 - prior)) + told + sign * np.log(right / (1 - right))
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         still = np.abs(new - post).max() < 1e-4
         post = new
@@ -158,25 +181,31 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tupl
     return post, parent
 
 
-def linear_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last column is the constant.
+def linear_classifier(votes: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Logistic regression of soft labels on the features of ``votes`` by Newton steps, in blocks of rows;
+    the last weight is the constant's.
 
     A voter can't count against toxicity by speaking for it: columns that come out below zero are
     left out and the rest is fitted again.
     """
-    use = np.ones(x.shape[1], bool)
+    size = votes.shape[1] + 2
+    use = np.ones(size, bool)
     while True:
-        z, w = x[:, use], np.zeros(use.sum())
+        w = np.zeros(use.sum())
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            hess = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-            step = np.linalg.solve(hess, z.T @ (y - p) - ridge * w)
+            hess, grad = ridge * np.eye(len(w)), -ridge * w
+            for at in _blocks(len(y)):
+                z = _features(votes[at])[:, use]
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                hess += (z * (p * (1 - p))[:, None]).T @ z
+                grad += z.T @ (y[at] - p)
+            step = np.linalg.solve(hess, grad)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
-        out = np.zeros(x.shape[1])
+        out = np.zeros(size)
         out[use] = w
-        against = (out < 0) & (np.arange(len(out)) < len(out) - 1)
+        against = (out < 0) & (np.arange(size) < size - 1)
         if not against.any():
             return out
         use &= ~against
@@ -233,13 +262,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
 
     got = train.mapInArrow(run, "doc_id bigint, toxic int, votes binary").orderBy("doc_id", "votes").toArrow()
     y = got.column("toxic").to_numpy()
-    votes = np.frombuffer(b"".join(got.column("votes").to_pylist()), np.int8).reshape(len(y), len(voters.names)) if len(y) else np.zeros((0, len(voters.names)), np.int8)
+    votes = np.empty((len(y), len(voters.names)), np.int8)
+    for i, row in enumerate(got.column("votes")):
+        votes[i] = np.frombuffer(row.as_py(), np.int8)
+    del got
     if not len(y) or y.min() == y.max():
         weights = np.zeros(len(voters.names) + 2)
         weights[: len(LEXICONS)], weights[-1] = 3.0, -3.0
         return voters, weights
     posterior, _ = label_model(votes, y)
-    return voters, linear_classifier(_features(votes), posterior)
+    return voters, linear_classifier(votes, posterior)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -307,6 +307,24 @@ def test_label_model_knows_copies():
     assert all(voters.votes(t)[0] == 1 for t in ("(idiot)", '"Moron', "idiot!!!", "loser...", "\u201cclown\u201d")) and voters.votes("zorpel")[len(toxicity.LEXICONS)] == 1
 
 
+def test_label_model_in_blocks_is_the_whole_one(monkeypatch):
+    """Blocks of 7 rows give what one block gives, and the classifier's slope is zero where it stops."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(900) < 0.2).astype(int)
+    votes = np.where(rng.random((900, 12)) < np.where(y[:, None] == 1, 0.4, 0.03), 1, 0).astype(np.int8)
+    votes[:, 3] = np.where(rng.random(900) < 0.9, votes[:, 2], 0)
+    got = []
+    for rows in (7, 900):
+        monkeypatch.setattr(toxicity, "ROWS", rows)
+        post, parent = toxicity.label_model(votes, y)
+        got.append((post, parent, toxicity.linear_classifier(votes, post)))
+    assert np.allclose(got[0][0], got[1][0], atol=1e-9) and (got[0][1] == got[1][1]).all() and np.allclose(got[0][2], got[1][2], atol=1e-9)
+    assert parent[3] == 2 or parent[2] == 3
+    x, w = toxicity._features(votes), got[1][2]
+    slope = x.T @ (post - 1 / (1 + np.exp(-(x @ w)))) - w
+    assert np.abs(slope[w != 0]).max() < 1e-5
+
+
 def test_language_model(spark):
     import math
     from collections import Counter
