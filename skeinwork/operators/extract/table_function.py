@@ -19,4 +19,4 @@ def register(spark: SparkSession, registry: Registry, name: str = "drafts") -> N
             for row in registry.drafts(path or "", text or ""):
                 yield tuple(row[c] for c in COLUMNS)
 
-    spark.udtf.register(name, udtf(Drafts, returnType=DRAFT))
+    spark.udtf.register(name, udtf(Drafts, returnType=DRAFT, useArrow=True))
