@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .graph import resolve
 
+#: Ids of one path that may be broadcast.
+FEW_IDS = 100_000
+
 
 def resolve_one(ents: DataFrame, wanted: str) -> DataFrame:
     """(id, entity_type, name, chosen): the entity of that id, else all of that name; chosen where it is the only one."""
@@ -48,8 +51,10 @@ def path_filter(files: DataFrame, text: str) -> DataFrame:
 
 
 def markers(rels: DataFrame, files: DataFrame, path: str) -> DataFrame:
-    """Claims with a line in the file that is shown."""
-    shown = files.where(F.col("path") == path).select(F.col("file_id").alias("f"))
+    """Claims with a line in the file that is shown. Its ids are counted, so that few are sent to the claims and these
+    aren't sorted."""
+    shown = files.where(F.col("path") == path).select(F.col("file_id").alias("f")).distinct()
+    shown = F.broadcast(shown) if shown.count() <= FEW_IDS else shown
     return rels.where("start_line is not null").join(shown, F.col("file_id") == F.col("f"), "left_semi")
 
 
