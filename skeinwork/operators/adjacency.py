@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.folder import Folder
+from ..plans.store import materialise
 from ..schema import STRUCTURAL
 
 #: Edges of a bucket; there are never fewer buckets than partitions of a shuffle, or both sides would be dealt anew.
@@ -23,13 +24,14 @@ _IMPACT = "`from` string, `to` string, relation_type string, conf int, edge_id s
 _RING = "`from` string, `to` string"
 
 
-def walk_edges(rels: DataFrame, ents: DataFrame, direction: str, min_conf: int = 0) -> DataFrame:
-    """(from, to, relation_type, conf, edge_id, guess) of the edges that carry impact to a known entity."""
+def walk_edges(rels: DataFrame, ents: DataFrame | None, direction: str, min_conf: int = 0) -> DataFrame:
+    """(from, to, relation_type, conf, edge_id, guess) of the edges that carry impact to a known entity, or to
+    any where ``ents`` isn't given."""
     own, other = DIRECTIONS[direction]
     edges = rels.where(~F.col("relation_type").isin(*STRUCTURAL) & (F.col("conf") >= min_conf)).select(
         F.col(own).alias("from"), F.col(other).alias("to"), "relation_type", "conf", F.col("id").alias("edge_id"), (F.col("status") != "confirmed").alias("guess")
     )
-    return edges.join(ents.select(F.col("id").alias("known")), F.col("to") == F.col("known"), "left_semi")
+    return edges if ents is None else edges.join(ents.select(F.col("id").alias("known")), F.col("to") == F.col("known"), "left_semi")
 
 
 def both_ways(rels: DataFrame) -> DataFrame:
@@ -57,6 +59,8 @@ class Adjacency:
 def save(rels: DataFrame, ents: DataFrame, root: str, kinds: tuple[str, ...] = ("incoming", "outgoing", "around")) -> Adjacency:
     """Write the edges by each end, and (``around``) by both, and register them."""
     spark, names = rels.sparkSession, {}
+    # written once, as it is counted and laid for each kind
+    rels = materialise(rels.select("id", "source_id", "target_id", "relation_type", "conf", "status"), "edges")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rels.count() // EDGES_A_BUCKET))
     for kind in kinds:
         edges = both_ways(rels) if kind == "around" else walk_edges(rels, ents, kind)

@@ -25,8 +25,9 @@ def impact(rels: DataFrame, ents: DataFrame, root: str, direction: str = "incomi
     ``saved`` adjacency nothing is read of ``rels`` and ``ents``.
     """
     spark = rels.sparkSession
-    # without a saved adjacency the walk's edges are written once, so that a level reads six columns and joins nothing else
-    edges = materialise(walk_edges(rels, ents, direction, min_conf), "edges") if saved is None else saved.edges(direction).where(F.col("conf") >= min_conf)
+    # without a saved adjacency the walk's edges are written once, so that a level reads six columns; what is known is asked
+    # of the few entities that a level reaches, not of all edges
+    edges = materialise(walk_edges(rels, None, direction, min_conf), "edges") if saved is None else saved.edges(direction).where(F.col("conf") >= min_conf)
     frontier = spark.createDataFrame([(root, 0, 100, False, None, [root])], VISIT)
     visited, admitted, truncated = frontier, 1, False
     levels: list[DataFrame] = []
@@ -39,6 +40,9 @@ def impact(rels: DataFrame, ents: DataFrame, root: str, direction: str = "incomi
         rank = F.struct((-F.col("min_conf")).alias("m"), "inferred", (-F.col("conf")).alias("c"), "relation_type", "via")
         best = met.groupBy("id").agg(F.min_by(F.struct("min_conf", "inferred", "via", "relation_type", "conf", "path"), rank).alias("b")).select("id", "b.*")
         best = materialise(best.withColumn("depth", F.lit(level)), "level")
+        if saved is None:
+            known = ents.select(F.col("id").alias("known")).join(best.select(F.col("id").alias("reached")), F.col("known") == F.col("reached"), "left_semi")
+            best = materialise(best.join(known, F.col("id") == F.col("known"), "left_semi"), "level")
         n = best.count()
         if max_nodes is not None and n > (room := max(max_nodes - admitted, 0)):
             truncated, n = True, room
@@ -56,14 +60,14 @@ def impact(rels: DataFrame, ents: DataFrame, root: str, direction: str = "incomi
     return out.withColumn("truncated", F.lit(truncated))
 
 
-def neighborhood(rels: DataFrame, ents: DataFrame, root: str, depth: int = 1, max_nodes: int | None = 150, saved: Adjacency | None = None) -> tuple[DataFrame, DataFrame, bool]:
+def neighborhood(rels: DataFrame, ents: DataFrame, root: str, depth: int = 1, max_nodes: int | None = 150, saved: Adjacency | None = None, written: bool = False) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes (id, depth), edges among them, truncated): undirected walk over all edge types.
 
     Of a level that exceeds the budget the least ids are admitted. Edges come once each, both ends
-    among the nodes.
+    among the nodes. Edges that the caller has ``written`` are read as they are, as by several walks.
     """
     spark = rels.sparkSession
-    if saved is None:
+    if saved is None and not written:
         rels = materialise(rels, "edges")
     both = both_ways(rels) if saved is None else saved.edges("around")
     known = ents.select(F.col("id").alias("known"))
