@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,13 @@ class Words(dict):
 
     def __init__(self, shard: Shard, lang: str):
         super().__init__({b"": -1, b"\n": _END})
-        self.shard, self.lang = shard, lang
+        # its lists and not the shard: with a cycle a shard would stay until the collector's next full run
+        self.words, self.langs, self.lang = shard.words, shard.langs, lang
 
     def __missing__(self, word: bytes) -> int:
-        shard = self.shard
-        self[word] = number = len(shard.words)
-        shard.words.append(word)
-        shard.langs.append(self.lang)
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        self.langs.append(self.lang)
         return number
 
 
@@ -104,18 +105,20 @@ def suffix_array(ids: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
     A round joins the rank of the tokens from i with the rank of those as many places on, so that ranks
     tell twice as many tokens apart. Past the end stands 0.
     """
-    rank, known = ids.astype(np.int64), 1
+    rank, known = ids.astype(np.int32), 1
     while True:
-        after = np.zeros(len(rank), np.int64)
-        after[: max(0, len(rank) - known)] = rank[known:]
-        key = rank * (int(rank.max(initial=0)) + 1) + after
-        if 2 * known >= words:
-            return starts[np.argsort(key[starts])]
+        last = 2 * known >= words
+        # the last round orders only ``starts``
+        at = starts if last else np.arange(len(rank))
+        key = rank[at].astype(np.int64)
+        key *= int(rank.max(initial=0)) + 1
+        inside = at < len(rank) - known
+        key[inside] += rank[at[inside] + known]
         order = np.argsort(key)
-        sorted_key = key[order]
-        step = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank = np.empty(len(key), np.int64)
-        rank[order] = step
+        if last:
+            return starts[order]
+        key = key[order]
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1], dtype=np.int32)))
         known *= 2
 
 
@@ -164,8 +167,10 @@ def _shards(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[Shard]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             shard.add(text.as_py(), lang)
             if shard.size >= tokens:
-                yield shard
-                shard = Shard()
+                # handed over, so that it has gone before the next one grows
+                full, shard = [shard], Shard()
+                yield full.pop()
+                pa.default_memory_pool().release_unused()
     if shard.size:
         yield shard
 
@@ -179,10 +184,17 @@ def hash_counts(docs: DataFrame, tokens: int = SHARD_TOKENS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, tokens):
-            ids, words = shard.ids(), shard.hashes()
-            for n, at, counts in intervals(ids, room_to(ids == _END), 2):
-                h = words[ids[at]] if n == 1 else pair_hash(words[ids[at]], words[ids[at + 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(counts.astype(np.int32))], ["h", "c"])
+            own = [shard]
+            del shard
+            yield from counted(own.pop())
+
+    def counted(shard: Shard) -> Iterator[pa.RecordBatch]:
+        ids, words = shard.ids(), shard.hashes()
+        for n, at, counts in intervals(ids, room_to(ids == _END), 2):
+            h = words[ids[at]] if n == 1 else pair_hash(words[ids[at]], words[ids[at + 1]])
+            for lo in range(0, len(at), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(counts[part].astype(np.int32))], ["h", "c"])
 
     return _rows(docs).mapInArrow(run, "h bigint, c int").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -214,28 +226,35 @@ def gram_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for shard in _shards(batches, tokens):
-            ids, hashes = shard.ids(), shard.hashes()
-            end = ids == _END
-            langs, words = pa.array(shard.langs, pa.string()).dictionary_encode(), pa.array([w.decode() for w in shard.words], pa.string())
-            by_lang = np.bincount(langs.indices.to_numpy()[ids[~end]], minlength=len(langs.dictionary))
-            for lang, n in zip(langs.dictionary.to_pylist(), by_lang.tolist(), strict=True):
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([n], pa.int64())], ["lang", "words", "phrase", "f"])
-            numbers, at, counts = np.unique(ids, return_index=True, return_counts=True)
-            kept = _has(bits, hashes)[numbers] & (numbers != _END)
-            found = [(1, at[kept], counts[kept])]
-            # an n-gram ends where the pair that begins at its last word isn't frequent
-            last = np.append(~_has(bits, pair_hash(hashes[ids[:-1]], hashes[ids[1:]])), True)
-            room = room_to(last | end | np.append(end[1:], True)) + 1
-            room[end] = 0
-            found += intervals(ids, room, most_words, 2)
-            for n, at, counts in found:
-                take = [words.take(pa.array(ids[at + j])) for j in range(n)]
-                phrase = take[0] if n == 1 else pc.binary_join_element_wise(*take, " ")
-                lang = langs.dictionary.take(langs.indices.take(pa.array(ids[at])))
-                for lo in range(0, len(at), 1 << 16):
-                    part = slice(lo, lo + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([lang[part], pa.array(np.full(len(at[part]), n, np.int32)), phrase[part], pa.array(counts[part].astype(np.int64))], ["lang", "words", "phrase", "f"])
+            own = [shard]
+            del shard
+            yield from emitted_of(own.pop(), bits)
+
+    def emitted_of(shard: Shard, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, hashes = shard.ids(), shard.hashes()
+        end = ids == _END
+        langs, words = pa.array(shard.langs, pa.string()).dictionary_encode(), pa.array([w.decode() for w in shard.words], pa.string())
+        by_lang = np.bincount(langs.indices.to_numpy()[ids[~end]], minlength=len(langs.dictionary))
+        for lang, n in zip(langs.dictionary.to_pylist(), by_lang.tolist(), strict=True):
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([n], pa.int64())], ["lang", "words", "phrase", "f"])
+        # numbers are dense: each has its count and its first place without a sort
+        counts, at = np.bincount(ids, minlength=len(hashes)), np.zeros(len(hashes), np.int64)
+        at[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
+        kept = _has(bits, hashes) & (counts > 0)
+        kept[_END] = False
+        found = [(1, at[kept], counts[kept])]
+        # an n-gram ends where the pair that begins at its last word isn't frequent
+        last = np.append(~_has(bits, pair_hash(hashes[ids[:-1]], hashes[ids[1:]])), True)
+        room = room_to(last | end | np.append(end[1:], True)) + 1
+        room[end] = 0
+        for n, at, counts in chain(found, intervals(ids, room, most_words, 2)):
+            take = [words.take(pa.array(ids[at + j])) for j in range(n)]
+            phrase = take[0] if n == 1 else pc.binary_join_element_wise(*take, " ")
+            lang = langs.dictionary.take(langs.indices.take(pa.array(ids[at])))
+            for lo in range(0, len(at), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([lang[part], pa.array(np.full(len(at[part]), n, np.int32)), phrase[part], pa.array(counts[part].astype(np.int64))], ["lang", "words", "phrase", "f"])
 
     emitted = _rows(docs).mapInArrow(run, "lang string, words int, phrase string, f bigint")
     return emitted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
