@@ -68,6 +68,25 @@ def test_language_without_reference_passes(spark):
     assert got[100] and all(got.values())
 
 
+def test_every_language_has_a_reference(spark, monkeypatch):
+    """Junk of the last of 203 languages is seen, also of no stated language, with references broadcast and shuffled."""
+    rows = [(100 * k + i, " ".join(f"{'de la' if k == 202 else 'xu va'} {chr(97 + i)}{chr(97 + j % 26)}{'m' * (j // 26)}" for j in range(40)), f"l{k:03}") for k in range(203) for i in range(20 + (k < 202))]
+    junk = " ".join(f"%%{i}$$ ##{i * 7}&&" for i in range(90))
+    rows += [(90000, junk, "l202"), (90001, junk, None), (90002, rows[-1][1], None), (90003, junk, "few")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    default = None
+    for bound in (None, 3):
+        if bound:
+            monkeypatch.setattr(quality_rules, "BROADCAST_LANGUAGES", bound)
+        got = {r.doc_id: r for r in quality_rules.assess(df).collect()}
+        assert len(got) == len(rows) and {i for i, r in got.items() if not r.kept} == {90000, 90001}
+        assert got[90002].word_distance == pytest.approx(got[20219].word_distance)
+        seen = {i: (round(r.char_distance, 9), round(r.word_distance, 9)) for i, r in got.items()}
+        assert default in (None, seen)
+        default = seen
+    assert quality_rules.keep_good(df).count() == len(rows) - 2
+
+
 def test_js_distance(spark):
     one = spark.range(1)
     d = lambda p, q: one.select(quality_rules.js_distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q))).alias("d")).first().d
