@@ -31,12 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/skeinwork-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost
     executor costs no more than re-reading files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

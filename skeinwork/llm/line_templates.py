@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fresh, materialise, whole_text
+from .common import SPACE, column, fresh, materialise, whole_text
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -36,23 +36,25 @@ BROADCAST_LEAVES = 1 << 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, h, line_no, toks, leaf) of all lines; d and the text's hash h order documents, leaf is 0 for lines without a token.
+    """(d, h, line_no, line, leaf, variant) of all lines; d and the text's hash h order documents, line has its
+    tokens masked and parted by one space, leaf is 0 for lines without a token.
 
-    Only lines with a digit go through the masking pattern, and only lines with unusual white space
-    through the splitting pattern. leaf is never null and nothing is filtered here, so that no
-    expression is pushed down and evaluated twice.
+    Lines stay strings, as all that is asked of most of them is their number of tokens, their first ones and
+    a hash. Only lines with a digit or unusual white space go through the patterns that mask and split. leaf
+    is never null and nothing is filtered here, so that no expression is pushed down and evaluated twice.
     """
     doc = F.coalesce(column(docs, "doc_id", "bigint"), F.lit((1 << 63) - 1))
     rows = docs.select(doc.alias("d"), F.xxhash64(whole_text(docs)).alias("h"), F.posexplode(F.split(whole_text(docs), "\n")).alias("line_no", "line"))
-    masked = F.regexp_replace("line", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", FIELD)
-    rows = rows.select("d", "h", "line_no", F.col("line").alias("raw"), F.when(F.col("line").rlike("[0-9]"), masked).otherwise(F.col("line")).alias("line"))
-    plain = ~F.col("line").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$|^$")
-    split = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+"), "")
-    rows = rows.select("d", "h", "line_no", "raw", F.when(plain, F.split("line", " ")).otherwise(split("line")).alias("toks"))
-    bare = (F.size("toks") < MIN_TOKENS) & (F.size(F.array_remove("toks", FIELD)) == 0)
-    rows = rows.select("d", "h", "line_no", F.when(bare, split("raw")).otherwise(F.col("toks")).alias("toks"))
-    leaf = F.xxhash64(F.size("toks"), *[F.get("toks", F.lit(i)) for i in range(DEPTH)])
-    return rows.select("d", "h", "line_no", "toks", F.when(F.size("toks") > 0, leaf).otherwise(F.lit(0).cast("bigint")).alias("leaf"))
+    # one pass tells lines that need a pattern at all from the many that don't
+    rows = rows.select("*", F.col("line").rlike(r"[0-9\x09\x0B-\x0D]").alias("odd"))
+    spaced = F.col("odd") | F.col("line").contains("  ") | F.col("line").startswith(" ") | F.col("line").endswith(" ")
+    rows = rows.select("d", "h", "line_no", "odd", F.when(spaced, F.trim(F.regexp_replace("line", SPACE + "+", " "))).otherwise(F.col("line")).alias("raw"))
+    masked = F.regexp_replace("raw", r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*", FIELD)
+    rows = rows.select("d", "h", "line_no", "raw", F.when(F.col("odd"), masked).otherwise(F.col("raw")).alias("line"))
+    bare = F.col("line").isin(*[" ".join([FIELD] * n) for n in range(1, MIN_TOKENS)])
+    rows = rows.select("d", "h", "line_no", F.when(bare, F.col("raw")).otherwise(F.col("line")).alias("line"))
+    leaf = F.xxhash64(F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "))), F.substring_index("line", " ", DEPTH))
+    return rows.select("d", "h", "line_no", "line", F.when(F.col("line") != "", leaf).otherwise(F.lit(0).cast("bigint")).alias("leaf"), F.xxhash64("line").alias("variant"))
 
 
 def _voted(tokens: DataFrame) -> DataFrame:
@@ -73,40 +75,49 @@ def _general(tokens: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(d, h, line_no) of every line to drop."""
-    lines = materialise(_lines(docs).select("d", "h", "line_no", "leaf", F.xxhash64("toks").alias("variant")), "lines").where("leaf <> 0")
-    at = F.struct("d", "h", "line_no")
-    variants = materialise(lines.groupBy("leaf", "variant").agg(F.min(at).alias("first"), F.max(F.struct("d", "h")).alias("last"), F.count("*").alias("w")), "variants")
-    forks = variants.groupBy("leaf").agg(F.count("*").alias("n"), F.min(F.struct("first.d", "first.h")).alias("a"), F.max("last").alias("b")).where("n > 1 and a <> b").select(F.col("leaf").alias("f"))
+    """(d, h, line_no) of every line to drop; rows with the same d and text repeat theirs.
+
+    Least and greatest d and h are found by themselves, as numbers: documents differ where one of the two
+    does. The first line of a template is then sought among the lines of its least d alone.
+    """
+    ends = lambda lo, hi, hlo, hhi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.min(hlo).alias("hlo"), F.max(hhi).alias("hhi"))
+    lines = materialise(_lines(docs), "lines", "zstd").where("leaf <> 0")
+    variants = materialise(lines.groupBy("leaf", "variant").agg(F.count("*").alias("w"), *ends("d", "d", "h", "h")), "variants")
+    forks = variants.groupBy("leaf").agg(F.count("*").alias("n"), *ends("lo", "hi", "hlo", "hhi")).where("n > 1 and (lo <> hi or hlo <> hhi)").select(F.col("leaf").alias("f"))
     forks = materialise(forks, "forks")
     side = F.broadcast(forks) if forks.count() <= BROADCAST_LEAVES else forks
-    again = _lines(docs).join(side, F.col("leaf") == F.col("f"), "left_semi")
-    tokens = again.groupBy("leaf", F.xxhash64("toks").alias("variant")).agg(F.first("toks").alias("toks"), F.count("*").alias("w"))
-    tokens = materialise(tokens, "tokens")
+    again = lines.select("leaf", "variant", "line").join(side, F.col("leaf") == F.col("f"), "left_semi")
+    tokens = again.groupBy("leaf", "variant").agg(F.first("line").alias("line"), F.count("*").alias("w"))
+    tokens = materialise(tokens.select("leaf", "variant", F.split("line", " ").alias("toks"), "w"), "tokens")
     level1 = materialise(_general(tokens).select("leaf", "variant"), "level1").withColumnsRenamed({"leaf": "l", "variant": "v"})
     rest = tokens.join(level1, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v")), "left_anti")
     rest = rest.select(F.col("leaf").alias("trunk"), F.xxhash64("leaf", F.element_at("toks", -1)).alias("leaf"), "variant", "toks", "w")
     level2 = _general(materialise(rest, "rest")).select(F.col("trunk").alias("l"), F.col("variant").alias("v"), F.col("leaf").alias("own"))
     general = materialise(level1.withColumn("own", F.lit(0).cast("bigint")).unionByName(level2), "general")
     named = variants.join(general, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v")), "left")
-    named = materialise(named.select("leaf", "variant", "first", "last", F.coalesce("own", "variant").alias("own")), "named")
-    recurring = named.groupBy(F.col("leaf").alias("l"), F.col("own").alias("o")).agg(F.min("first").alias("start"), F.max("last").alias("end")).where(F.struct("start.d", "start.h") != F.col("end"))
-    recurring = materialise(recurring, "recurring")
-    gone = named.join(recurring, (F.col("leaf") == F.col("l")) & (F.col("own") == F.col("o"))).select(F.col("leaf").alias("l"), F.col("variant").alias("v"), "start")
+    named = materialise(named.select("leaf", "variant", "w", "lo", "hi", "hlo", "hhi", F.coalesce("own", "variant").alias("own")), "named")
+    recurring = named.groupBy(F.col("leaf").alias("l"), F.col("own").alias("o")).agg(*ends("lo", "hi", "hlo", "hhi")).where("lo <> hi or hlo <> hhi")
+    recurring = materialise(recurring.select("l", "o", F.col("lo").alias("start")), "recurring")
+    gone = named.join(recurring, (F.col("leaf") == F.col("l")) & (F.col("own") == F.col("o"))).select(F.col("leaf").alias("l"), F.col("variant").alias("v"), "own", "start")
     gone = materialise(gone, "gone")
-    return lines.join(gone, (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v"))).where(at != F.col("start")).select("d", "h", "line_no").distinct()
+    met = lines.select("d", "h", "line_no", "leaf", "variant").join(gone.hint("shuffle_hash"), (F.col("leaf") == F.col("l")) & (F.col("variant") == F.col("v")))
+    met = materialise(met.select("d", "h", "line_no", "leaf", "own", "start"), "met")
+    early = met.where("d = start")
+    first = early.groupBy(F.col("leaf").alias("l"), F.col("own").alias("o")).agg(F.min(F.struct("h", "line_no")).alias("first"))
+    late = early.join(first, (F.col("leaf") == F.col("l")) & (F.col("own") == F.col("o"))).where(F.struct("h", "line_no") != F.col("first"))
+    return met.where("d <> start").select("d", "h", "line_no").unionByName(late.select("d", "h", "line_no"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` without the dropped lines, and with n_lines and n_dropped.
 
     The lost line numbers of a document are one array, no longer than the document; they meet its
-    text in a sort-merge join at any size, as they grow with the documents.
+    text in a shuffled join at any size, as they grow with the documents.
     """
     d, h, lost, parts = fresh(docs, "d"), fresh(docs, "h"), fresh(docs, "lost"), fresh(docs, "parts")
-    gone = dropped_lines(docs).groupBy("d", "h").agg(F.collect_list("line_no").alias(lost)).withColumnsRenamed({"d": d, "h": h})
+    gone = dropped_lines(docs).groupBy("d", "h").agg(F.collect_set("line_no").alias(lost)).withColumnsRenamed({"d": d, "h": h})
     doc = F.coalesce(column(docs, "doc_id", "bigint"), F.lit((1 << 63) - 1))
-    out = docs.join(gone.hint("merge"), (doc == F.col(d)) & (F.xxhash64(whole_text(docs)) == F.col(h)), "left")
+    out = docs.join(gone.hint("shuffle_hash"), (doc == F.col(d)) & (F.xxhash64(whole_text(docs)) == F.col(h)), "left")
     # as (line number, line) pairs without the lost numbers: set operations on hashes, linear in the document
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost)
     whole = out.withColumn(parts, F.split(whole_text(docs), "\n"))

@@ -1,6 +1,7 @@
 """Quality rules, exact dedup, mixing and line templates against brute force on small tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -217,3 +218,31 @@ def test_second_family_of_a_leaf_is_general_too(spark):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r["__sk_parts"]) for r in out.collect()}
     assert out.columns == ["doc_id", "__sk_parts", "text", "n_lines", "n_dropped"]
     assert got == {i: (1, int(i not in (0, 50)), "x") for i, _ in rows}
+
+
+def test_lines_are_masked_once(spark, monkeypatch):
+    """Texts are cut and masked once; odd white space, digits, rows of one doc_id or without any against brute force."""
+    cut, calls, rnd = line_templates._lines, [], random.Random(9)
+    monkeypatch.setattr(line_templates, "_lines", lambda docs: calls.append(1) or cut(docs))
+    pool = ["seen on {} May\x0bby all", " seen  on x{}y May by all ", "  {} ", "\t", "", "{0} {0}", "{0}\r{0}\x0c", "<*>", "<*> {}", "one of\tthese three{} things", "one  of these {}x things\r", "straße № ٣ bleibt zu", "only here"]
+    rows = [(rnd.choice([1, 2, 3, None]), "\n".join(rnd.choice(pool).format(rnd.choice("78")) for _ in range(rnd.randint(1, 6)))) for _ in range(60)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_templates.clean(df).collect())
+
+    def key(line):
+        raw = words(line)
+        masked = ["<*>" if re.search("[0-9]", w) else w for w in raw]
+        return tuple(raw if len(raw) < 4 and set(masked) <= {"<*>"} else masked)
+
+    docs = sorted({(r.doc_id is None, r.doc_id or 0, r.h, r.text) for r in df.withColumn("h", F.xxhash64("text")).collect()})
+    met = {}
+    for at, (*_, text) in enumerate(docs):
+        for i, line in enumerate(text.split("\n")):
+            met.setdefault(key(line), []).append((at, i))
+    lost = {x for k, at in met.items() if k and len({d for d, _ in at}) > 1 for x in at[1:]}
+    want = Counter()
+    for at, (none, d, _, text) in enumerate(docs):
+        lines = text.split("\n")
+        kept = [x for i, x in enumerate(lines) if (at, i) not in lost]
+        want[(None if none else d, len(lines), len(lines) - len(kept), "\n".join(kept))] += (rows + rows[:5]).count((None if none else d, text))
+    assert got == want and len(calls) == 1
