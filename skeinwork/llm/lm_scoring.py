@@ -29,9 +29,10 @@ the end and the unknown words; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,8 +59,8 @@ ROUNDS = 2
 PART_TOKENS, LEAST_TOKENS, MOST_PASSES = 3_000_000, 400_000, 8
 #: Parameters are added up as multiples of this.
 GRAIN = 1 << 24
-#: Words whose place a task remembers.
-CACHE_WORDS = 400_000
+#: Words whose place a task remembers, about.
+CACHE_WORDS = 200_000
 #: Distinct words that a counting task holds before it hands them on.
 COUNT_WORDS = 400_000
 
@@ -68,8 +69,12 @@ def held_out(doc_id: Column, by: tuple[int, int] = HELD_OUT) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % by[0] == by[1], F.lit(False))
 
 
-def surface(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % LETTERS
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def surfaces(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, [w[-3:] for w in words]), np.int64, len(words)) % LETTERS
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -85,8 +90,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words = list(held)
-            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
-            rows = [pa.array(h), pa.array([surface(w) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())]
+            rows = [pa.array(hashes(words).view(np.int64)), pa.array(surfaces(words), pa.int32()), pa.array(list(held.values()), pa.int64())]
             held.clear()
             return pa.RecordBatch.from_arrays(rows, ["h", "g", "c"])
 
@@ -127,20 +131,31 @@ class Vocabulary:
         return "<u2" if self.size < 1 << 16 else "<u4"
 
 
-class Places(dict):
-    """Head index of a word, or the number of head words plus its surface class."""
+class Places:
+    """Numbers words as they come, and knows of each number its hash and its place: the head index of
+    the word, or the number of head words plus its surface class."""
 
     def __init__(self, hashes: np.ndarray, n_surface: int):
-        super().__init__()
-        self.head, self.n_surface = {int(h): i for i, h in enumerate(hashes.view(np.uint64))}, n_surface
-
-    def __missing__(self, word: bytes) -> int:
-        at = self.head.get(xxhash.xxh64_intdigest(word))
-        if at is None:
-            at = len(self.head) + surface(word) % self.n_surface
-        if len(self) < CACHE_WORDS:
-            self[word] = at
-        return at
+        head = hashes.view(np.uint64)
+        self.n_surface, self.order = n_surface, np.argsort(head)
+        self.head = head[self.order]
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.hashes, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)
+
+    def look_up(self) -> None:
+        """Finds hashes and places of the words that were numbered since the last call."""
+        words = list(itertools.islice(reversed(self.numbers), len(self.numbers) - len(self.hashes)))[::-1]
+        h = hashes(words)
+        if len(self.head):
+            near = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
+            at, rare = self.order[near].astype(np.int32), np.flatnonzero(self.head[near] != h)
+        else:
+            at, rare = np.empty(len(words), np.int32), np.arange(len(words))
+        at[rare] = len(self.head) + surfaces([words[i] for i in rare.tolist()]) % self.n_surface
+        self.hashes, self.places = np.concatenate([self.hashes, h]), np.concatenate([self.places, at])
 
 
 def own_words(types: int) -> int:
@@ -229,13 +244,17 @@ def _by_place(places: np.ndarray, size: int) -> np.ndarray:
     return np.argsort(places.astype(np.uint16 if size <= 1 << 16 else np.int32), kind="stable")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)), in the place of ``x``."""
-    with np.errstate(over="ignore"):
-        np.negative(x, out=x)
-        np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _sums(rows: np.ndarray, size: int, grads: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` (below ``size``) and the sum of each one's ``grads``.
+
+    Numbers are added by twos, as complex ones; ``cells`` numbers those of every row of the sums.
+    """
+    at = np.flatnonzero(np.bincount(rows, minlength=size))
+    place = np.empty(size, np.int64)
+    place[at] = np.arange(len(at))
+    out = np.zeros((len(at), grads.shape[1]), np.float32)
+    np.add.at(out.view(np.complex64).ravel(), cells.take(place.take(rows), axis=0).ravel(), grads.view(np.complex64).ravel())
+    return at, out
 
 
 @dataclass
@@ -282,7 +301,7 @@ class LogBilinear:
         cuts = np.searchsorted(top[order], np.arange(to.single, to.tops + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             rows, lo = order[cuts[k] : cuts[k + 1]], to.tops + k * to.width
-            s = hidden[rows] @ self.q[lo : lo + to.width].T + self.b[lo : lo + to.width]
+            s = hidden.take(rows, axis=0) @ self.q[lo : lo + to.width].T + self.b[lo : lo + to.width]
             out[rows] += s[np.arange(len(rows)), target[rows] - to.single - k * to.width] - _log_sums(s)
         return out
 
@@ -291,59 +310,86 @@ class Trainer:
     """Noise-contrastive estimation with adaptive steps; noise is shared by a batch.
 
     Each level has its own noise. Inside blocks the classes are told from noise over all blocks, so
-    that their scores hold within each of them.
+    that their scores hold within each of them. A row of ``q`` ends with its b and a zero, and one of
+    hidden numbers with 1 and 0, so that b needs no steps of its own and a row is made of pairs.
     """
 
     def __init__(self, model: LogBilinear, class_counts: np.ndarray, seed: int):
-        self.m, self.to = model.filled(model.flat()), model.levels
+        self.to = model.levels
         shares = self.to.shares(class_counts)
         self.noise_log = np.log(NOISE * np.concatenate(shares)).astype(np.float32)
         self.cum = [np.cumsum(p) for p in shares]
         self.rng = np.random.default_rng(seed)
-        self.second = [np.full(x.shape, 1e-6, np.float32) for x in self.m.parts()]
+        self.r, self.c = model.r.copy(), np.concatenate([model.c1, model.c2])
+        self.q = np.concatenate([model.q, model.b[:, None], np.zeros_like(model.b)[:, None]], axis=1)
+        self.second = {x: np.full(getattr(self, x).shape, 1e-6, np.float32) for x in "rqc"}
+        self.cells = {x: np.empty((0, 0), np.int64) for x in "rq"}
+
+    @property
+    def m(self) -> LogBilinear:
+        return LogBilinear(self.r, self.q[:, :DIM], self.c[:DIM], self.c[DIM:], self.q[:, DIM])
 
-    def _contrast(self, level: int, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(gradient of hidden, places of q, their gradients, those of b) for one level."""
-        m, cum = self.m, self.cum[level]
+    def _contrast(self, level: int, hidden: np.ndarray, target: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gradient of hidden, noise) for one level; the gradients of the targets' rows of q, then the noise's, go into ``grads``."""
+        cum, n = self.cum[level], len(target)
         noise = np.minimum(np.searchsorted(cum, self.rng.random(NOISE)), len(cum) - 1) + level * self.to.tops
-        qt, qn = m.q[target], m.q[noise]
-        up = _sigmoid(self.noise_log[target] - m.b[target] - np.einsum("ij,ij->i", hidden, qt))
-        down = hidden @ qn.T
-        down += m.b[noise] - self.noise_log[noise]
-        down = _sigmoid(down)
-        return up[:, None] * qt - down @ qn, np.concatenate([target, noise]), np.concatenate([up[:, None] * hidden, -down.T @ hidden]), np.concatenate([up, -down.sum(0)])
-
-    def _move(self, rows: np.ndarray, size: int, *grads: tuple[int, np.ndarray]) -> None:
-        """One step of the rows that have gradients, by part; rows may repeat."""
-        order = _by_place(rows, size)
-        at = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        at = at[first]
-        for part, g in grads:
-            g = np.add.reduceat(g[order], first, axis=0)
-            s = self.second[part][at] + g * g
-            self.second[part][at] = s
-            self.m.parts()[part][at] += RATE * g / np.sqrt(s)
+        qt, qn = self.q.take(target, axis=0), self.q.take(noise, axis=0)
+        shifted = -qn
+        shifted[:, DIM] += self.noise_log[noise]
+        with np.errstate(over="ignore"):
+            up = np.exp(np.einsum("ij,ij->i", hidden, qt) - self.noise_log.take(target))
+            down = hidden @ shifted.T
+            np.exp(down, out=down)
+        up = np.reciprocal(up + 1)[:, None]
+        down += 1
+        np.divide(np.float32(-1), down, out=down)
+        np.multiply(hidden, up, out=grads[:n])
+        np.matmul(down.T, hidden, out=grads[n:])
+        qt *= up
+        qt += down @ qn
+        return qt, noise
+
+    def _move(self, part: str, rows: np.ndarray, grads: np.ndarray) -> None:
+        """One step of the rows that have gradients; rows may repeat."""
+        x, second = getattr(self, part), self.second[part]
+        if len(self.cells[part]) < len(rows):
+            self.cells[part] = np.arange(len(rows) * x.shape[1] // 2).reshape(len(rows), -1)
+        at, g = _sums(rows, len(x), grads, self.cells[part])
+        s = second.take(at, axis=0)
+        s += g * g
+        second[at] = s
+        g *= RATE
+        g /= np.sqrt(s, out=s)
+        g += x.take(at, axis=0)
+        x[at] = g
 
     def step(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> None:
-        m, to, n = self.m, self.to, np.float32(1 / len(target))
-        rf, rn = m.r[far], m.r[near]
-        hidden = rn @ m.c1 + rf @ m.c2
-        dh, rows, dq, db = self._contrast(0, hidden, to.top(target))
-        low = np.flatnonzero(target >= to.single)
-        if len(low):
-            dh_low, rows_low, dq_low, db_low = self._contrast(1, hidden[low], target[low] - to.single + to.tops)
-            dh[low] += dh_low
-            rows, dq, db = (np.concatenate(x) for x in ((rows, rows_low), (dq, dq_low), (db, db_low)))
-        dh *= n
-        c1, c2 = dh @ m.c1.T, dh @ m.c2.T
-        for k, g in ((2, rn.T @ dh), (3, rf.T @ dh)):
-            self.second[k] += g * g
-            m.parts()[k][...] += RATE * g / np.sqrt(self.second[k])
-        self._move(np.concatenate([near, far]), len(m.r), (0, np.concatenate([c1, c2])))
-        dq *= n
-        db *= n
-        self._move(rows, len(m.q), (1, dq), (4, db))
+        to, n = self.to, len(target)
+        inside = target >= to.single
+        # tokens of classes inside blocks come last, so that those are one slice
+        order, singles = np.concatenate([np.flatnonzero(~inside), np.flatnonzero(inside)]), n - np.count_nonzero(inside)
+        rows, target = np.stack([near.take(order), far.take(order)], axis=1).ravel(), target.take(order)
+        x = self.r.take(rows, axis=0).reshape(n, 2 * DIM)
+        hidden = np.zeros((n, DIM + 2), np.float32)
+        hidden[:, DIM] = 1
+        np.matmul(x, self.c, out=hidden[:, :DIM])
+        first = n + NOISE
+        dq = np.empty((first + (n - singles + NOISE if singles < n else 0), DIM + 2), np.float32)
+        top = to.top(target)
+        dh, noise = self._contrast(0, hidden, top, dq[:first])
+        places = [top, noise]
+        if singles < n:
+            low = target[singles:] - to.single + to.tops
+            dh_low, noise = self._contrast(1, hidden[singles:], low, dq[first:])
+            dh[singles:] += dh_low
+            places += [low, noise]
+        dh = dh[:, :DIM] * np.float32(1 / n)
+        dx, dc = dh @ self.c.T, x.T @ dh
+        self.second["c"] += dc * dc
+        self.c += RATE * dc / np.sqrt(self.second["c"])
+        self._move("r", rows, dx.reshape(2 * n, DIM))
+        dq *= np.float32(1 / n)
+        self._move("q", np.concatenate(places), dq)
 
 
 def _sequence(ids: bytes, kind: str, first: int, end: int) -> np.ndarray:
@@ -367,13 +413,12 @@ def train(placed: DataFrame, vocab: Vocabulary) -> LogBilinear:
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
             seqs = [_sequence(x, kind, first, end) for x in table.column("ids").to_pylist()]
-            far, near, target = (np.concatenate([s[i : len(s) - 2 + i] for s in seqs]) for i in range(3))
-            trainer, n = Trainer(start, vocab.class_counts, 11), len(target)
+            tokens = np.stack([np.concatenate([s[i : len(s) - 2 + i] for s in seqs]) for i in range(3)], axis=1)
+            trainer, n = Trainer(start, vocab.class_counts, 11), len(tokens)
             for _ in range(min(MOST_PASSES, max(1, LEAST_TOKENS // n))):
                 order = trainer.rng.permutation(n)
                 for at in range(0, n, BATCH):
-                    pick = order[at : at + BATCH]
-                    trainer.step(far[pick], near[pick], target[pick])
+                    trainer.step(*tokens.take(order[at : at + BATCH], axis=0).T)
             flat = np.rint(trainer.m.flat().astype(np.float64) * GRAIN).astype(np.int64) * n
             return pa.table({"i": pa.array(np.arange(-1, len(flat), dtype=np.int32)), "v": pa.array(np.concatenate([[n], flat]))})
 
@@ -409,18 +454,43 @@ def place(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     end_base = math.log10(vocab.ends + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places(vocab.hashes, vocab.surface)
+        words = Places(vocab.hashes, vocab.surface)
+
+        def found(held: list[np.ndarray]) -> list[list]:
+            """The seven columns of some documents, given the numbers of their words."""
+            words.look_up()
+            sizes = [len(x) for x in held]
+            number, row = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+            at = words.places.take(number)
+            base, share = (np.bincount(row, x.take(at), len(held)) for x in (base_part, class_part))
+            rare = np.flatnonzero(at >= head)
+            pairs, c = np.unique(row.take(rare) * len(words.hashes) + number.take(rare), return_counts=True)
+            h, row = words.hashes.take(pairs % len(words.hashes)).view(np.int64), pairs // len(words.hashes)
+            cuts, ends = np.searchsorted(row, np.arange(len(held) + 1)), np.cumsum(sizes)
+            known = np.array(sizes) - np.bincount(row, c, len(held)).astype(np.int64) + (vocab.ends > 0)
+            n, ids = np.array(sizes) + 1, vocab.classes.take(at).astype(vocab.kind)
+            per = [(h[i:j], c[i:j].astype(np.int32)) for i, j in itertools.pairwise(cuts.tolist())]
+            if len(words.numbers) >= CACHE_WORDS:
+                words.clear()
+            return [n.tolist(), known.tolist(), (base + end_base - n * base_all).tolist(), share.tolist(), *map(list, zip(*per, strict=True)), [ids[j - k : j].tobytes() for j, k in zip(ends.tolist(), sizes, strict=True)]]
+
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
+            held, size = [], 0
+
+            def flush() -> None:
+                for col, x in zip(cols, found(held), strict=True):  # noqa: B023
+                    col.extend(x)
+
             for text in batch.column("text"):
-                words = text.as_py().lower().split()
-                at = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-                rare = np.flatnonzero(at >= head)
-                h, c = np.unique(np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in rare.tolist()), np.uint64, len(rare)).view(np.int64), return_counts=True)
-                base = float(base_part[at].sum()) + end_base - (len(at) + 1) * base_all
-                found = (len(at) + 1, len(at) - len(rare) + (vocab.ends > 0), base, float(class_part[at].sum()), h, c.astype(np.int32), vocab.classes[at].astype(vocab.kind).tobytes())
-                for col, x in zip(cols, found, strict=True):
-                    col.append(x)
+                split = text.as_py().lower().split()
+                held.append(np.fromiter(map(words.numbers.__getitem__, split), np.int64, len(split)))
+                size += len(split)
+                if size >= SCORED:
+                    flush()
+                    held, size = [], 0
+            if held:
+                flush()
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in cols[4]]))).astype(np.int32))
             flat = lambda k, kind: pa.array(np.concatenate(cols[k]) if cols[k] else np.empty(0, kind))
             yield pa.RecordBatch.from_arrays(
@@ -450,7 +520,9 @@ def score(docs: DataFrame) -> DataFrame:
                 far, near, target = (np.concatenate([s[i : len(s) - 2 + i] for _, s in held]) for i in range(3))
                 for lo in range(0, len(row), SCORED):
                     at = slice(lo, lo + SCORED)
-                    got = model.log_probabilities(near_part[near[at]] + far_part[far[at]], target[at])
+                    hidden = near_part.take(near[at], axis=0)
+                    hidden += far_part.take(far[at], axis=0)
+                    got = model.log_probabilities(hidden, target[at])
                     lm[:] += np.bincount(row[at], got, len(lm))  # noqa: B023
 
             for k, ids in enumerate(batch.column("ids")):

@@ -404,3 +404,71 @@ def test_equal_rows_over_many_parts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = lm_scoring.score(docs).collect()
     assert len(got) == 1800 and np.ptp([r.score for r in got if r.doc_id is None]) < 1e-6
+
+
+def test_words_are_hashed_once_a_task(spark, monkeypatch):
+    """What place tells of documents agrees with counting word by word; a rare word is hashed once however often it comes."""
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def withColumn(self, *_):
+            return self
+
+    calls, rows = [], Rows()
+
+    class Hashing:
+        @staticmethod
+        def xxh64_intdigest(word):
+            calls.append(word)
+            return zlib.crc32(word) + 1
+
+    monkeypatch.setattr(lm_scoring, "xxhash", Hashing)
+    monkeypatch.setattr(lm_scoring, "_rows", lambda _: rows)
+    head = np.array([zlib.crc32(w) + 1 for w in (b"a", b"b", b"c")], np.int64)
+    vocab = lm_scoring.Vocabulary(head, np.array([9, 8, 7]), 2, 2, np.array([0, 1, 3, 2, 3], np.int32), np.array([4.0, 6.0]), np.array([9.0, 8, 3, 12, 5]), 100, 40, 5)
+    lm_scoring.place(None, vocab)
+    texts = [b"a b rare1 A", b"", b"rare1 " * 1000, b"c rare2 c rare1 rare2", *(b"w%d a w%d" % (i % 7, i) for i in range(60))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([False] * len(texts)), pa.array(texts, pa.binary())], ["doc_id", "held_out", "text"])
+
+    def surface(word):
+        return zlib.crc32(word[-3:]) % lm_scoring.LETTERS % vocab.surface
+
+    def found():
+        return [r for b in rows.run(iter([batch])) for r in b.to_pylist()]
+
+    got = found()
+    assert len(calls) == len(set(calls)) == 3 + 2 + 60
+    monkeypatch.setattr(lm_scoring, "SCORED", 40)
+    monkeypatch.setattr(lm_scoring, "CACHE_WORDS", 10)
+    for again, r, text in zip(found(), got, texts, strict=True):
+        words = text.lower().split()
+        rare = [w for w in words if w not in (b"a", b"b", b"c")]
+        classes = [{b"a": 0, b"b": 1, b"c": 3}.get(w, 2 + surface(w)) for w in words]
+        share = sum({b"a": 0, b"b": 0, b"c": np.log10(8 / 6)}.get(w, -np.log10(vocab.class_words[surface(w)])) for w in words)
+        base = sum(np.log10({b"a": 10, b"b": 9, b"c": 8}.get(w, 1)) for w in words) + np.log10(6) - (len(words) + 1) * np.log10(141)
+        assert (r["n_tokens"], r["known"]) == (len(words) + 1, len(words) - len(rare) + 1)
+        assert r["base"] == pytest.approx(base) and r["share"] == pytest.approx(share)
+        assert r["ids"] == np.array(classes, "<u2").tobytes()
+        for x in (r, again):
+            assert dict(zip(x["h"], x["c"], strict=True)) == {zlib.crc32(w) + 1: rare.count(w) for w in rare}
+        assert {k: again[k] for k in ("n_tokens", "known", "base", "share", "ids")} == {k: r[k] for k in ("n_tokens", "known", "base", "share", "ids")}
+
+
+def test_sums_of_gradients():
+    """Rows that repeat in a batch move once, by the sum of their gradients."""
+    rng = np.random.default_rng(8)
+    rows, grads = rng.zipf(1.3, 3000) % 50, rng.normal(size=(3000, 6)).astype(np.float32)
+    at, got = lm_scoring._sums(rows, 60, grads, np.arange(9000).reshape(3000, 3))
+    want = np.zeros((60, 6))
+    np.add.at(want, rows, grads)
+    assert at.tolist() == sorted(set(rows.tolist())) and np.allclose(got, want[at], atol=1e-3)
+    n = 30
+    trainer = lm_scoring.Trainer(lm_scoring.LogBilinear.start(np.ones(n)), np.ones(n), 1)
+    before = trainer.m.flat()
+    trainer.step(np.array([n, 3, 3]), np.array([3, 3, 4]), np.array([1, 1, 20]))
+    m, b = trainer.m, trainer.m.filled(before)
+    assert sorted(set(np.flatnonzero((m.r != b.r).any(1)))) == [3, 4, n] and not trainer.q[:, -1].any()
