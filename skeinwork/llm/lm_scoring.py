@@ -10,7 +10,7 @@ plus 1 for all unknown ones). The class distribution given the two classes befor
 h = C1 r1 + C2 r2, is a softmax of two levels: of n classes the sqrt(n) most frequent stand on the first
 level beside blocks of sqrt(n) classes each, softmax(q . h + b) goes over these and, where a block comes,
 once more over its classes. So a token's log-probability is normalised exactly from about 3 sqrt(n)
-scores, which batches of tokens get by matrix products.
+scores, which batches of tokens get by matrix products; the first level's normalisers come from tables by class.
 
 Texts are split twice, for the counts and for class numbers, which are written once and read by
 training and scoring. Training goes over all training documents in ROUNDS rounds. A document's hash
@@ -51,6 +51,8 @@ LEAST_OWN, OWN_A_SURFACE, LETTERS = 512, 13, 4096
 DIM = 20
 NOISE = 48
 BATCH = 1024
+#: Numbers of a table of the first level's normalisers at most.
+MOST_CELLS = 1 << 24
 #: Tokens that are scored together.
 SCORED = 1 << 15
 RATE = 0.05
@@ -289,14 +291,21 @@ class LogBilinear:
             at += x.size
         return LogBilinear(*out)
 
-    def log_probabilities(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each target class given its row of ``hidden``."""
-        to, top = self.levels, self.levels.top(target)
-        q, out = np.ascontiguousarray(self.q[: to.tops].T), np.empty(len(top), np.float32)
-        for lo in range(0, len(top), BATCH):
+    def first_sums(self, hidden: np.ndarray) -> np.ndarray:
+        """Log of the first level's normaliser for each row of ``hidden``."""
+        to, out = self.levels, np.empty(len(hidden), np.float32)
+        q = np.ascontiguousarray(self.q[: to.tops].T)
+        for lo in range(0, len(hidden), BATCH):
             s = hidden[lo : lo + BATCH] @ q
             s += self.b[: to.tops]
-            out[lo : lo + BATCH] = s[np.arange(len(s)), top[lo : lo + BATCH]] - _log_sums(s)
+            out[lo : lo + BATCH] = _log_sums(s)
+        return out
+
+    def log_probabilities(self, hidden: np.ndarray, target: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+        """Natural log-probability of each target class given its row of ``hidden``; ``sums``: ``first_sums``, if known."""
+        to, top = self.levels, self.levels.top(target)
+        out = np.einsum("ij,ij->i", hidden, self.q.take(top, axis=0)) + self.b.take(top)
+        out -= self.first_sums(hidden) if sums is None else sums
         order = _by_place(top, to.tops)
         cuts = np.searchsorted(top[order], np.arange(to.single, to.tops + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
@@ -306,6 +315,45 @@ class LogBilinear:
         return out
 
 
+class Contexts:
+    """Hidden numbers and first-level normalisers of pairs of classes.
+
+    A score is a sum of what the two classes give, so its exp is a product: with the exps of both, by
+    class and place, a normaliser is one product of two rows. Rows are divided by their greatest
+    number; pairs whose product leaves the range, and all pairs where a table would have over
+    MOST_CELLS numbers, get their scores one by one.
+    """
+
+    def __init__(self, model: LogBilinear):
+        self.model, tops = model, model.levels.tops
+        self.parts = [model.r @ model.c1, model.r @ model.c2]
+        self.tables, self.greatest = [], []
+        if len(model.r) * tops <= MOST_CELLS:
+            for x, b in zip(self.parts, (model.b[:tops], np.float32(0)), strict=True):
+                s = x @ model.q[:tops].T + b
+                self.greatest.append(s.max(1))
+                s -= self.greatest[-1][:, None]
+                self.tables.append(np.exp(s, out=s))
+
+    def of(self, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hidden numbers, first level's log-normalisers)"""
+        hidden = self.parts[0].take(near, axis=0)
+        hidden += self.parts[1].take(far, axis=0)
+        if not self.tables:
+            return hidden, self.model.first_sums(hidden)
+        z = np.empty(len(near), np.float32)
+        for lo in range(0, len(near), BATCH // 4):
+            at = slice(lo, lo + BATCH // 4)
+            np.einsum("ij,ij->i", self.tables[0].take(near[at], axis=0), self.tables[1].take(far[at], axis=0), out=z[at])
+        with np.errstate(divide="ignore"):
+            sums = np.log(z)
+        sums += self.greatest[0].take(near)
+        sums += self.greatest[1].take(far)
+        lost = np.flatnonzero(~(z > 1e-28))
+        sums[lost] = self.model.first_sums(hidden[lost])
+        return hidden, sums
+
+
 class Trainer:
     """Noise-contrastive estimation with adaptive steps; noise is shared by a batch.
 
@@ -511,7 +559,7 @@ def score(docs: DataFrame) -> DataFrame:
     end, first, kind = vocab.size - 1, vocab.size, vocab.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_part, far_part = model.r @ model.c1, model.r @ model.c2
+        contexts = Contexts(model)
         for batch in batches:
             lm, held, size = np.zeros(batch.num_rows), [], 0
 
@@ -520,9 +568,8 @@ def score(docs: DataFrame) -> DataFrame:
                 far, near, target = (np.concatenate([s[i : len(s) - 2 + i] for _, s in held]) for i in range(3))
                 for lo in range(0, len(row), SCORED):
                     at = slice(lo, lo + SCORED)
-                    hidden = near_part.take(near[at], axis=0)
-                    hidden += far_part.take(far[at], axis=0)
-                    got = model.log_probabilities(hidden, target[at])
+                    hidden, sums = contexts.of(near[at], far[at])
+                    got = model.log_probabilities(hidden, target[at], sums)
                     lm[:] += np.bincount(row[at], got, len(lm))  # noqa: B023
 
             for k, ids in enumerate(batch.column("ids")):

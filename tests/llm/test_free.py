@@ -472,3 +472,23 @@ def test_sums_of_gradients():
     trainer.step(np.array([n, 3, 3]), np.array([3, 3, 4]), np.array([1, 1, 20]))
     m, b = trainer.m, trainer.m.filled(before)
     assert sorted(set(np.flatnonzero((m.r != b.r).any(1)))) == [3, 4, n] and not trainer.q[:, -1].any()
+
+
+@pytest.mark.parametrize("scale", [1, 30, 2000])
+def test_normalisers_from_tables(monkeypatch, scale):
+    """Normalisers of pairs of classes agree with those of their scores, scores far out of range included, with and without tables."""
+    n, rng = 300, np.random.default_rng(9)
+    start = lm_scoring.LogBilinear.start(np.arange(n, 0, -1.0))
+    model = lm_scoring.LogBilinear(start.r * 3, start.q * scale, start.c1, start.c2, start.b)
+    near, far = rng.integers(0, n + 1, 3000), rng.integers(0, n + 1, 3000)
+    hidden = model.r[near] @ model.c1 + model.r[far] @ model.c2
+    scores = (hidden.astype(float) @ model.q[: model.levels.tops].T + model.b[: model.levels.tops]).T
+    most = scores.max(0)
+    want = most + np.log(np.exp(scores - most).sum(0))
+    for cells, tables in ((lm_scoring.MOST_CELLS, 2), (10, 0)):
+        monkeypatch.setattr(lm_scoring, "MOST_CELLS", cells)
+        contexts = lm_scoring.Contexts(model)
+        got, sums = contexts.of(near, far)
+        assert len(contexts.tables) == tables and np.allclose(got, hidden, atol=1e-6) and np.allclose(sums, want, rtol=1e-4, atol=1e-4)
+    every = model.log_probabilities(np.repeat(got[:5], n, 0), np.tile(np.arange(n), 5), np.repeat(sums[:5], n))
+    assert np.allclose(np.exp(every.astype(float)).reshape(5, n).sum(1), 1, atol=1e-3)
