@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..schema import READS, REVIEWABLE, STRUCTURAL, WRITES
 
+#: Ids of one path that may be broadcast.
+FEW_IDS = 100_000
+
 
 def _other_end(edges: DataFrame, entities: DataFrame, end: str) -> DataFrame:
     ends = entities.select(F.col("id").alias("other_id"), "entity_type", "name")
@@ -53,11 +56,13 @@ def tables_of_file(rels: DataFrame, ents: DataFrame, files: DataFrame, path: str
 
 
 def entities_in_file(rels: DataFrame, ents: DataFrame, files: DataFrame, path: str, types: Sequence[str] | None = None) -> DataFrame:
-    """Entities that a file mentions, each with its first line there; of ``types`` only, as for its page items."""
+    """Entities that a file mentions, each with its first line there; of ``types`` only, as for its page items. The file's
+    ids are counted, so that few are sent to the edges and these aren't shuffled."""
     if types is not None:
         ents = ents.where(F.col("entity_type").isin(*types))
-    own = files.where(F.col("path") == path).select(F.col("file_id").alias("f"))
-    seen = rels.join(own, F.col("file_id") == F.col("f")).select(F.explode(F.array("source_id", "target_id")).alias("e"), "start_line")
+    own = files.where(F.col("path") == path).select(F.col("file_id").alias("f")).distinct()
+    own = F.broadcast(own) if own.count() <= FEW_IDS else own
+    seen = rels.join(own, F.col("file_id") == F.col("f"), "left_semi").select(F.explode(F.array("source_id", "target_id")).alias("e"), "start_line")
     first = seen.groupBy("e").agg(F.min("start_line").alias("first_line"))
     return ents.join(first, F.col("id") == F.col("e")).select("id", "entity_type", "name", "first_line")
 

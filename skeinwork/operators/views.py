@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import resolve
-
-#: Ids of one path that may be broadcast.
-FEW_IDS = 100_000
+from .graph import FEW_IDS, resolve
 
 
 def resolve_one(ents: DataFrame, wanted: str) -> DataFrame:
